@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat, mixing, packing, quality, rules, simhash
 from . import substring_dedup as substrings
 from . import suffix_array_dedup as suffixes
 
@@ -20,7 +21,37 @@ def op2_suffix_array_dedup(spark, sf_dir):
     return suffixes.digest(suffixes.suffix_array_dedup(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_array_dedup)}
+def op3_chat_formatting(spark, sf_dir):
+    return chat.maximal_chats(table(spark, sf_dir, "conversations"))
+
+
+def op4_quality_classifier(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_source_mixing(spark, sf_dir):
+    return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
+
+
+def op8_packing(spark, sf_dir):
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
+
+
+def op9_quality_rules(spark, sf_dir):
+    return rules.digest(rules.quality_rules(table(spark, sf_dir, "documents")))
+
+
+def op10_simhash_near_dedup(spark, sf_dir):
+    return simhash.digest(simhash.simhash_groups(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_suffix_array_dedup, op3_chat_formatting, op4_quality_classifier,
+        op6_source_mixing, op8_packing, op9_quality_rules, op10_simhash_near_dedup,
+    )
+}
 
 SQL = {
     "op1_substring_dedup": r"""
@@ -47,4 +78,7 @@ kept AS (SELECT doc_id, string_agg(substr(x, 2 * f + 1, 2 * (t - f)), '' ORDER B
 SELECT h.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
   CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(y)) AS kept_sha256
 FROM h LEFT JOIN cut USING (doc_id) JOIN kept USING (doc_id)""",
+    "op3_chat_formatting": chat.SQL,
+    "op6_source_mixing": mixing.SQL,
+    "op9_quality_rules": rules.SQL,
 }
