@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, mixing, packing, quality, rules, simhash
+from . import chat, mixing, packing, quality, rules, simhash, topk
 from . import substring_dedup as substrings
 from . import suffix_array_dedup as suffixes
 
@@ -29,6 +29,10 @@ def op4_quality_classifier(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_exact_topk(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % topk.EVERY == 0)
+
+
 def op6_source_mixing(spark, sf_dir):
     return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
 
@@ -49,7 +53,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_suffix_array_dedup, op3_chat_formatting, op4_quality_classifier,
-        op6_source_mixing, op8_packing, op9_quality_rules, op10_simhash_near_dedup,
+        op5_exact_topk, op6_source_mixing, op8_packing, op9_quality_rules, op10_simhash_near_dedup,
     )
 }
 
@@ -79,6 +83,7 @@ SELECT h.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed
   CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(y)) AS kept_sha256
 FROM h LEFT JOIN cut USING (doc_id) JOIN kept USING (doc_id)""",
     "op3_chat_formatting": chat.SQL,
+    "op5_exact_topk": topk.SQL,
     "op6_source_mixing": mixing.SQL,
     "op9_quality_rules": rules.SQL,
 }
