@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, mixing, packing, quality, rules, simhash, topk
+from . import chat, lm, mixing, packing, quality, rules, simhash, topk
 from . import substring_dedup as substrings
 from . import suffix_array_dedup as suffixes
 
@@ -37,6 +37,10 @@ def op6_source_mixing(spark, sf_dir):
     return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op7_lm_scoring(spark, sf_dir):
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark, sf_dir):
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
@@ -53,7 +57,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_suffix_array_dedup, op3_chat_formatting, op4_quality_classifier,
-        op5_exact_topk, op6_source_mixing, op8_packing, op9_quality_rules, op10_simhash_near_dedup,
+        op5_exact_topk, op6_source_mixing, op7_lm_scoring, op8_packing, op9_quality_rules, op10_simhash_near_dedup,
     )
 }
 

@@ -15,8 +15,6 @@ Results in edge cases
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -66,6 +64,14 @@ def _judge(length: int):
     return run
 
 
+def _place(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", (F.col("start") + F.col("from")).alias("lo"), (F.col("start") + F.col("to")).alias("hi"))
+
+
+def _ranges(docs: DataFrame, length: int) -> DataFrame:
+    return repeated_windows(docs, "byte", length, min(ANCHOR, length), _judge(length), "from int, to int", _place)[0]
+
+
 def _cut(length: int):
     def run(batches):
         for batch in batches:
@@ -89,14 +95,31 @@ def _cut(length: int):
 def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, spans (removed byte ranges) and kept (the remaining bytes)."""
     docs = keyed(docs, id_col, text_col)
-
-    def place(rows):
-        return rows.select("doc_id", (F.col("start") + F.col("from")).alias("lo"), (F.col("start") + F.col("to")).alias("hi"))
-
-    ranges, _ = repeated_windows(docs, "byte", length, min(ANCHOR, length), _judge(length), "from int, to int", place)
+    ranges = _ranges(docs, length)
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<from:long,to:long>>, kept binary"
     return docs.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_cut(length), schema)
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """``docs`` with the repeated bytes cut out of their texts; a character cut in part goes whole."""
+    ranges = _ranges(keyed(docs, id_col, text_col), length)
+    at, names = docs.columns.index(text_col), list(docs.columns)
+
+    def run(batches):
+        for batch in batches:
+            data, offs = text_buffer(batch.column(at))
+            texts = batch.column(at).to_pylist()
+            for i, cuts in enumerate(batch.column(len(names)).to_pylist()):
+                if cuts:
+                    body = data[offs[i] : offs[i + 1]]
+                    texts[i] = body[~covered(len(body), cuts, length)].tobytes().decode("utf-8", "ignore")
+            columns = list(batch.columns[: len(names)])
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    joined = docs.join(ranges.toDF("_cut_id", "_cut_ranges"), docs[id_col] == F.col("_cut_id"), "left").drop("_cut_id")
+    return joined.mapInArrow(run, docs.schema)
+
+
 def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
