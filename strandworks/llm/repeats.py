@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import SLICE_BYTES, anchor_runs, byte_codes, release, slices, stage, text_buffer, words
 
-#: Occurrences from which the windows of an anchor are routed one by one (all of them are still compared).
+#: Different pieces from which the windows of an anchor are routed one by one (all of them are still compared).
 HOT = 2000
+#: Most hot anchors that are sent to every task; beyond it they are joined by shuffle.
+FEW = 1 << 18
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -78,9 +80,7 @@ def _pieces(unit: str, length: int, k: int):
             raw = data.tobytes()
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             lists = batch.column(2).combine_chunks() if isinstance(batch.column(2), pa.ChunkedArray) else batch.column(2)
-            both = lists.flatten()
-            known, at = np.unique(both.field(0).to_numpy(zero_copy_only=False).view(np.uint64), return_index=True)
-            hot = both.field(1).to_numpy(zero_copy_only=False)[at].astype(bool)
+            known = np.unique(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
             key, body, doc, lo, size = [], [], [], [], []
             split: dict[int, list[bytes]] = {}
             for row, base, tokens, to in token_rows(data, offs, unit, length):
@@ -91,10 +91,8 @@ def _pieces(unit: str, length: int, k: int):
                     d, start = int(row[r[x]]), int(s[x] + base[r[x]])
                     if unit == "word" and d not in split:
                         split = {d: raw[offs[d] : offs[d + 1]].split()}
-                    is_hot = hot[place[x]]
-                    for a, m in [(start + q, 1) for q in range(n[x])] if is_hot else [(start, int(n[x]))]:
-                        b = raw[offs[d] + a : offs[d] + a + m + length - 1] if unit == "byte" else b" ".join(split[d][a : a + m + length - 1])
-                        key.append(None if is_hot else int(h[x].view(np.int64))), body.append(b), doc.append(ids[d]), lo.append(a), size.append(m)
+                    b = raw[offs[d] + start : offs[d] + start + n[x] + length - 1] if unit == "byte" else b" ".join(split[d][start : start + n[x] + length - 1])
+                    key.append(int(h[x].view(np.int64))), body.append(b), doc.append(ids[d]), lo.append(start), size.append(int(n[x]))
                 if sum(map(len, body[:1])) * len(body) > 4 * SLICE_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(body, pa.binary()), pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), pa.array(size, pa.int32())], ["shard", "body", "doc_id", "start", "size"])
                     key, body, doc, lo, size = [], [], [], [], []
@@ -103,6 +101,26 @@ def _pieces(unit: str, length: int, k: int):
     return run
 
 
+PIECES = "shard long, body binary, doc_id long, start int, size int"
+
+
+def _windows(unit: str, length: int):
+    """Every piece as its single windows."""
+
+    def run(batches):
+        for part in (batch.slice(i, 500) for batch in batches for i in range(0, batch.num_rows, 500)):
+            rows = []
+            for shard, body, doc, start, size in zip(*(c.to_pylist() for c in part.columns)):
+                split = body if unit == "byte" else body.split(b" ")
+                for q in range(size):
+                    window = split[q : q + length]
+                    rows.append((shard, window if unit == "byte" else b" ".join(window), doc, start + q, 1))
+            types = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], part.schema.names)
+
+    return run
+
+
 def repeated_windows(docs: DataFrame, unit: str, length: int, k: int, judge, judged: str, place) -> tuple[DataFrame, list[str]]:
     """Windows to remove, as ranges of window starts per document, and the staged tables they rest on.
 
@@ -112,13 +130,18 @@ def repeated_windows(docs: DataFrame, unit: str, length: int, k: int, judge, jud
     """
     spark = docs.sparkSession
     anchors, at_anchors = stage(docs.mapInArrow(_anchors(unit, length, k), "anchor long, doc_id long, n int"), "anchors")
-    often = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", (F.col("n") > HOT).alias("hot"))
-    marked = anchors.select("anchor", "doc_id").join(often, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "hot")).alias("marks"))
+    often = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    marked = anchors.select("anchor", "doc_id").join(often, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("marks"))
     found = docs.join(marked, "doc_id").select("doc_id", "text", "marks")
-    pieces = found.mapInArrow(_pieces(unit, length, k), "shard long, body binary, doc_id long, start int, size int")
-    pieces = pieces.withColumn("body_hash", F.xxhash64("body")).withColumn("shard", F.coalesce("shard", "body_hash"))
-    pieces, at_pieces = stage(pieces, "pieces")
+    pieces, at_pieces = stage(found.mapInArrow(_pieces(unit, length, k), PIECES).withColumn("body_hash", F.xxhash64("body")), "pieces")
     release(spark, at_anchors)
+    hot = pieces.select("shard", "body_hash").distinct().groupBy("shard").count().where(F.col("count") > HOT).select("shard")
+    n_hot = hot.count()
+    if n_hot:
+        hot, _ = stage(hot.coalesce(1) if n_hot <= FEW else hot, "hot")
+        hot = F.broadcast(hot) if n_hot <= FEW else hot
+        single = pieces.join(hot, "shard", "left_semi").drop("body_hash").mapInArrow(_windows(unit, length), PIECES).withColumn("body_hash", F.xxhash64("body"))
+        pieces = pieces.join(hot, "shard", "left_anti").union(single.withColumn("shard", F.col("body_hash")).select(pieces.columns))
     distinct = pieces.groupBy("shard", "body_hash", "body").agg(
         F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"), F.max("size").alias("size")
     )
