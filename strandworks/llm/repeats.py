@@ -176,6 +176,15 @@ def shards(batches, limit: int):
         yield pa.Table.from_batches(held)
 
 
+def lone_pieces(shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pieces (in order of shard) are their shard's only one, and the number of each piece's shard.
+
+    All windows of a piece hold its anchor, each at another offset, so a piece repeats none of its own windows.
+    """
+    group = np.cumsum(np.concatenate(([True], shard[1:] != shard[:-1]))) - 1 if len(shard) else np.zeros(0, int)
+    return np.bincount(group)[group] == 1, group
+
+
 def covered(n_tokens: int, ranges, length: int) -> np.ndarray:
     """Which tokens lie in a window that starts in one of the ranges; ranges beyond the text are cut off."""
     step = np.zeros(n_tokens + 1, np.int64)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import text_buffer
-from .repeats import covered, keyed, repeated_windows, shards
+from .repeats import covered, keyed, lone_pieces, repeated_windows, shards
 
 LENGTH, ANCHOR = 20, 6
 #: Bytes of distinct pieces for one automaton; a single anchor's pieces are at most HOT short rows.
@@ -107,15 +107,21 @@ def first_windows(pieces: list[list], length: int) -> list[list[tuple[int, int]]
 def _judge(length: int):
     def run(batches):
         for table in shards(batches, SHARD_BYTES):
-            doc, start = table.column("doc_id").to_pylist(), table.column("start").to_pylist()
-            piece, lo, hi, fdoc, fstart = [], [], [], [], []
-            for p, found in enumerate(first_windows([b.split(b" ") for b in table.column("body").to_pylist()], length)):
+            doc, start, size = (table.column(c).to_pylist() for c in ("doc_id", "start", "size"))
+            alone, _ = lone_pieces(table.column("shard").to_numpy())
+            # a lone piece is the first to hold its windows
+            piece = np.flatnonzero(alone).tolist()
+            lo, hi, fdoc, fstart = [0] * len(piece), [size[p] for p in piece], [doc[p] for p in piece], [start[p] for p in piece]
+            rest = np.flatnonzero(~alone)
+            bodies = table.column("body").take(pa.array(rest)).to_pylist()
+            rest = rest.tolist()
+            for p, found in zip(rest, first_windows([b.split(b" ") for b in bodies], length)):
                 before = None
                 for i, (q, s) in enumerate(found):
                     if before == (q, s - 1):
                         hi[-1] = i + 1
                     else:
-                        piece.append(p), lo.append(i), hi.append(i + 1), fdoc.append(doc[q]), fstart.append(start[q] + s)
+                        piece.append(p), lo.append(i), hi.append(i + 1), fdoc.append(doc[rest[q]]), fstart.append(start[rest[q]] + s)
                     before = (q, s)
             at = pa.array(piece, pa.int64())
             keys = [table.column(c).combine_chunks().take(at) for c in ("shard", "body_hash")]
