@@ -1,0 +1 @@
+"""Nothing streams here: every input is a closed table, read once."""
