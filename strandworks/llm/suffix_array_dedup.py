@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import text_buffer
-from .repeats import covered, keyed, repeated_windows, shards
+from .repeats import covered, keyed, lone_pieces, repeated_windows, shards
 from .suffix_sort import suffix_buckets
 
 LENGTH, ANCHOR = 200, 32
@@ -45,18 +45,22 @@ def shard_repeats(bodies: list[bytes], length: int, **limits) -> np.ndarray:
 def _judge(length: int):
     def run(batches):
         for table in shards(batches, SHARD_BYTES):
-            bodies = table.column("body").to_pylist()
-            hit = shard_repeats(bodies, length)
             size, n = table.column("size").to_numpy(), table.column("n").to_numpy()
-            begin = np.concatenate(([0], np.cumsum([len(b) + 1 for b in bodies])))[:-1]
-            piece, lo, hi = [], [], []
-            for p, (b, m, copies) in enumerate(zip(begin.tolist(), size.tolist(), n.tolist())):
-                if copies > 1:
-                    piece.append(p), lo.append(0), hi.append(m)
-                    continue
-                edge = np.flatnonzero(np.diff(np.concatenate(([False], hit[b : b + m], [False]))))
-                for i in range(0, len(edge), 2):
-                    piece.append(p), lo.append(int(edge[i])), hi.append(int(edge[i + 1]))
+            alone, group = lone_pieces(table.column("shard").to_numpy())
+            # a lone piece has nothing to meet; where every piece has copies, every window repeats
+            single = np.bincount(group, n == 1) > 0
+            sort = np.flatnonzero(~alone & single[group])
+            bodies = table.column("body").take(pa.array(sort)).to_pylist()
+            hit = shard_repeats(bodies, length) if bodies else np.zeros(0, bool)
+            ends = np.cumsum([len(b) + 1 for b in bodies])
+            whole = np.flatnonzero(n > 1)
+            piece, lo, hi = whole.tolist(), [0] * len(whole), size[whole].tolist()
+            for p, b in zip(sort.tolist(), [0, *ends.tolist()]):
+                if n[p] == 1:
+                    edge = np.flatnonzero(np.diff(np.concatenate(([False], hit[b : b + size[p]], [False]))))
+                    piece += [p] * (len(edge) // 2)
+                    lo += edge[::2].tolist()
+                    hi += edge[1::2].tolist()
             at = pa.array(piece, pa.int64())
             keys = [table.column(c).combine_chunks().take(at) for c in ("shard", "body_hash")]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["shard", "body_hash", "from", "to"])
