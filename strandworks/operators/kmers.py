@@ -55,12 +55,18 @@ def spanning_tokens(seq: Column, intervals: Column, k: int) -> Column:
     return F.sort_array(tokens)
 
 
-def explode_tokens(reads: DataFrame, intervals: DataFrame, k: int, *keep: str) -> DataFrame:
-    """explode_kmers with expansion intervals (read_id, intervals)."""
-    x = reads.where(F.length("seq") > k).join(intervals, "read_id", "left")
+def with_tokens(reads: DataFrame, k: int, intervals: DataFrame | None = None) -> DataFrame:
+    """tokens of reads longer than k, in order: their k-mers, or those around expansion intervals (read_id, intervals)."""
+    x = reads.where(F.length("seq") > k)
+    if intervals is None:
+        return x.withColumn("tokens", S.kmers("seq", k))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    tokens = spanning_tokens(F.col("seq"), F.coalesce("intervals", none), k)
-    return x.select(*keep, F.explode(tokens).alias("t")).select(*keep, "t.pos", "t.kmer")
+    spanning = spanning_tokens(F.col("seq"), F.coalesce("intervals", none), k)
+    return x.join(intervals, "read_id", "left").withColumn("tokens", F.transform(spanning, lambda t: t.kmer)).drop("intervals")
+
+
+def count_tokens(tokens: DataFrame, *by: str) -> DataFrame:
+    return tokens.select(*by, F.explode("tokens").alias("kmer")).groupBy(*by, "kmer").agg(F.count("*").alias("cnt"))
 
 
 def count_stats(counts: DataFrame, *by: str) -> DataFrame:
@@ -94,13 +100,23 @@ def nodes_from_counts(counts: DataFrame, cutoff: int) -> DataFrame:
     return counts.where(F.col("cnt") > cutoff).select(A, F.xxhash64(A, "kmer").alias("node_id"), F.col("kmer").alias("seq"), "cnt")
 
 
-def tag_occurrences(steps: DataFrame) -> DataFrame:
-    """occ: how often the k-mer or the next one occurred before in the read; repeats get their own read tag."""
-    def before(c):
-        return F.row_number().over(Window.partitionBy(A, "read_id", c).orderBy("pos")) - 1
+def steps_of(tokens: DataFrame, *keep: str) -> DataFrame:
+    """Consecutive tokens of each read, all within its row: pos, kmer, next, occ and the read's tag.
+
+    occ is how often the token or the next one occurred before in the read; a read
+    that repeats one gets a tag of its own there.
+    """
+    ts = F.col("tokens")
 
-    occ = F.greatest(before("kmer"), F.coalesce(F.when(F.col("next").isNotNull(), before("next")), F.lit(0)))
-    return steps.withColumn("occ", occ).withColumn("read", F.when(F.col("occ") == 0, F.col("read_id").cast("string")).otherwise(F.concat_ws("-multipleOccurenceKmer-", F.col("read_id").cast("string"), F.col("occ").cast("string"))))
+    def before(i, first):
+        return F.size(F.filter(ts, lambda t, j: (j >= first) & (j < i) & (t == F.get(ts, i))))
+
+    occ = lambda i: F.when(F.col("once"), F.lit(0)).otherwise(F.greatest(before(i, 0), F.when(i + 1 < F.size(ts), before(i + 1, 1)).otherwise(0)))
+    step = F.transform(ts, lambda t, i: F.struct(i.alias("pos"), t.alias("kmer"), F.get(ts, i + 1).alias("next"), occ(i).alias("occ")))
+    rows = tokens.withColumn("once", F.size(F.array_distinct("tokens")) == F.size("tokens"))
+    rows = rows.select(A, "read_id", *keep, F.explode(step).alias("s")).select(A, "read_id", *keep, "s.*")
+    name = F.col("read_id").cast("string")
+    return rows.withColumn("read", F.when(F.col("occ") == 0, name).otherwise(F.concat_ws("-multipleOccurenceKmer-", name, F.col("occ").cast("string"))))
 
 
 def mate_tags(steps: DataFrame) -> DataFrame:
@@ -113,20 +129,13 @@ def mate_tags(steps: DataFrame) -> DataFrame:
     return steps.where("mate = 1").unionByName(second.select(steps.columns))
 
 
-def steps_of(tokens: DataFrame, *keep: str) -> DataFrame:
-    """Consecutive tokens of a read: kmer and next."""
-    return tokens.withColumn("next", F.lead("kmer").over(Window.partitionBy(A, *keep, "read_id").orderBy("pos")))
-
-
 def thread_reads(tokens: DataFrame, nodes: DataFrame, k: int, paired: bool = False) -> Graph:
     """Edges between consecutive tokens that are both nodes, with the reads on nodes and edges.
 
-    ``tokens``: assembly_id, read_id, pos, kmer and, for pairs, pair_id and mate
+    ``tokens``: assembly_id, read_id, tokens and, for pairs, pair_id and mate
     (a pair too short in its first mate is just its second).
     """
-    steps = tag_occurrences(steps_of(tokens, *(["mate"] if paired else [])))
-    if paired:
-        steps = mate_tags(steps)
+    steps = mate_tags(steps_of(tokens, "pair_id", "mate")) if paired else steps_of(tokens)
     seqs = nodes.select(A, F.col("seq").alias("kmer"), F.col("node_id").alias("src"))
     on = steps.join(seqs, [A, "kmer"])
     links = on.where("next IS NOT NULL").join(seqs.toDF(A, "next", "dst"), [A, "next"])

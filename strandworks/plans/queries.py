@@ -12,6 +12,7 @@ from ..operators import kmers as K
 from ..operators import population as P
 from ..operators import reads as R
 from ..operators import regions as I
+from ..operators.staging import staged
 from ..sources import writers as W
 from . import fixtures as X
 from .assemble import Settings, assemble, build, filtered
@@ -204,9 +205,8 @@ def k01_kmer_counts(spark, d):
 
 def _graph(spark, d, k=KLEN, cut=CUT):
     r = X.reads(spark, d).withColumn("assembly_id", F.col("sample"))
-    tokens = K.explode_kmers(r, k, "assembly_id", "read_id")
-    counts = tokens.groupBy("assembly_id", "kmer").agg(F.count("*").alias("cnt"))
-    return K.thread_reads(tokens, K.nodes_from_counts(counts, cut), k)
+    tokens = K.with_tokens(r, k).select("assembly_id", "read_id", "tokens")
+    return K.thread_reads(tokens, staged(K.nodes_from_counts(K.count_tokens(tokens, "assembly_id"), cut)), k)
 
 
 def _named(g, edges):
