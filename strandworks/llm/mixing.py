@@ -63,14 +63,15 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, total: float | None =
     size in characters, by default that of the input.
     """
     docs = docs.drop("copy", "mix_key")
-    means = rates(docs, weights, total, source_col, text_col)
+    means = rates(docs, weights, total, source_col, text_col).toDF("_mix_source", "_mix_mean")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    mean = F.col("_mix_mean")
     # the table of sources is small unless sources are as many as documents; Spark checks its size and picks the join
-    known = docs.join(means, F.col(source_col).eqNullSafe(F.col("mix_source")))
-    chunks = F.greatest(F.ceil(F.col("mean") / CHUNK), F.lit(1)).cast("int")
-    draws = F.transform(F.sequence(F.lit(1), chunks), lambda j: poisson(F.col("mean") / chunks, uniform(F.concat_ws(":", F.lit(seed), key, j.cast("string")))))
+    known = docs.join(means, F.col(source_col).eqNullSafe(F.col("_mix_source")))
+    chunks = F.greatest(F.ceil(mean / CHUNK), F.lit(1)).cast("int")
+    draws = F.transform(F.sequence(F.lit(1), chunks), lambda j: poisson(mean / chunks, uniform(F.concat_ws(":", F.lit(seed), key, j.cast("string")))))
     count = F.aggregate(draws, F.lit(0), lambda a, b: a + b)
-    copies = known.withColumn("copy", F.explode(F.when(count > 0, F.sequence(F.lit(1), count)))).drop("mix_source", "mean")
+    copies = known.withColumn("copy", F.explode(F.when(count > 0, F.sequence(F.lit(1), count)))).drop("_mix_source", "_mix_mean")
     mixed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), key, F.col("copy").cast("string"))))
     return mixed.orderBy("mix_key", id_col, "copy")
 
