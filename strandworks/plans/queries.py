@@ -560,7 +560,7 @@ def h10_scaled_sites(spark, d):
     return H.scale(H.country_totals(_places(spark, d)), F.col("cnt"), 1000.0, 20000.0, "radius")
 
 
-@query(f"WITH {_COUNTS} SELECT haplotype, country, sum(cnt)::BIGINT AS cnt, sum(cnt) / sum(sum(cnt)) OVER (PARTITION BY haplotype) AS frac FROM counts GROUP BY ALL")
+@query(f"WITH {_COUNTS}, p AS (SELECT haplotype, country, sum(cnt)::BIGINT AS cnt FROM counts GROUP BY ALL) SELECT *, cnt / sum(cnt) OVER (PARTITION BY haplotype) AS frac FROM p")
 def h11_country_pieces(spark, d):
     return H.country_pieces(_places(spark, d), _places(spark, d))
 
