@@ -93,54 +93,61 @@ def _tail(data, offs, head):
     return both[_find(head, both) < 0], t, pairs, to
 
 
-_OUT = "kind int, batch long, part int, tuning boolean, items binary, ids binary, folds binary, offs binary, text binary, head array<long>"
+_BATCH = "batch long, tuning boolean, ids binary, folds binary, offs binary, text binary"
+_ITEMS = "batch long, part int, items binary"
+#: Head counts travel in pieces of CHUNK numbers, summed in LANES lanes a piece.
+CHUNK, LANES = 512, 16
+
+
+def _batches(batches):
+    """Texts by the batch, those of the tuning fold apart."""
+    name, pack = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1)
+    names, types = ["batch", "tuning", "ids", "folds", "offs", "text"], [pa.int64(), pa.bool_()] + [pa.binary()] * 4
+    for record in batches:
+        data, offs = text_buffer(record.column(1))
+        column, folds = record.column(0), record.column(2).to_numpy().astype(np.int8)
+        ids, none = column.fill_null(0).to_numpy().astype(np.int64), column.is_null().to_numpy(zero_copy_only=False)
+        for i, j in slices(offs, BATCH_BYTES):
+            for tuning in (False, True):
+                own = np.flatnonzero((folds[i:j] == TUNING) == tuning) + i
+                if not len(own):
+                    continue
+                parts = [data[offs[r] : offs[r + 1]] for r in own]
+                po = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
+                keys = np.stack((ids[own], none[own].astype(np.int64)))
+                row = ([name], [tuning], [keys.tobytes()], [folds[own].tobytes()], [po.tobytes()], [pack.compress(np.concatenate(parts).tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types)], names)
+                name += 1
 
 
 def _send(shared, n_groups):
-    """Rows of kind 0: a batch of texts; 1: its items of one group with their training counts; 2: a task's head counts."""
+    """A batch's tail items with their training counts, one row a group; and the task's head counts, as groups below 0."""
+    names, types = ["batch", "part", "items"], [pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches):
         head = shared.value
         total = np.zeros(len(head) + 2, np.int64)
-        name, pack = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1)
-        names = [f.split()[0] for f in _OUT.split(", ")]
-        types = [pa.int32(), pa.int64(), pa.int32(), pa.bool_()] + [pa.binary()] * 5 + [pa.list_(pa.int64())]
-
-        def rows(cols):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
-
         for record in batches:
-            data, offs = text_buffer(record.column(1))
-            ids, folds = record.column(0), record.column(2).to_numpy().astype(np.int8)
-            ids = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
-            for i, j in slices(offs, BATCH_BYTES):
-                for tuning in (False, True):
-                    own = np.flatnonzero((folds[i:j] == TUNING) == tuning) + i
-                    if not len(own):
-                        continue
-                    parts = [data[offs[r] : offs[r + 1]] for r in own]
-                    text, po = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-                    tail, t, pairs, to = _tail(text, po, head)
-                    train = np.repeat(folds[own] != HELD_OUT, np.diff(to))
-                    both = np.concatenate((t[train], pairs[train]))
-                    at = _find(head, both)
-                    total[: len(head)] += np.bincount(at[at >= 0], minlength=len(head))
-                    total[-2:] += (int(train.sum()), int((folds[own] != HELD_OUT).sum()))
-                    count = np.bincount(np.searchsorted(tail, both[at < 0]), minlength=len(tail)).astype(np.uint32)
-                    # which tail items are tokens, so that their group can count distinct ones
-                    is_token = np.zeros(len(tail), np.uint32)
-                    rest = t[_find(head, t) < 0]
-                    is_token[np.searchsorted(tail, rest)] = 1
-                    part = _groups(tail, n_groups)
-                    cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))[: len(part)]
-                    ends = np.append(cut[1:], len(part))
-                    n = len(cut)
-                    blobs = [tail[a:b].tobytes() + (count[a:b] * np.uint32(2) + is_token[a:b]).tobytes() for a, b in zip(cut, ends)]
-                    yield rows([[1] * n, [name] * n, part[cut], [tuning] * n, blobs, *[[None] * n] * 5])
-                    keys = np.stack((ids[0][own].astype(np.int64), ids[1][own].astype(np.int64)))
-                    yield rows([[0], [name], [-1], [tuning], [None], [keys.tobytes()], [folds[own].tobytes()], [po.astype(np.int64).tobytes()], [pack.compress(text.tobytes())], [None]])
-                    name += 1
-        yield rows([[2], [-1], [-1], [False], [None], [None], [None], [None], [None], [total]])
+            for name, _, folds, po, text in _texts(record):
+                tail, t, pairs, to = _tail(text, po, head)
+                train = np.repeat(folds != HELD_OUT, np.diff(to))
+                both = np.concatenate((t[train], pairs[train]))
+                at = _find(head, both)
+                total[: len(head)] += np.bincount(at[at >= 0], minlength=len(head))
+                total[-2:] += (int(train.sum()), int((folds != HELD_OUT).sum()))
+                count = np.bincount(np.searchsorted(tail, both[at < 0]), minlength=len(tail)).astype(np.uint32)
+                # which tail items are tokens, so that their group can count distinct ones
+                is_token = np.zeros(len(tail), np.uint32)
+                is_token[np.searchsorted(tail, t[_find(head, t) < 0])] = 1
+                part = _groups(tail, n_groups)
+                cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))[: len(part)]
+                ends = np.append(cut[1:], len(part))
+                blobs = [tail[a:b].tobytes() + (count[a:b] * np.uint32(2) + is_token[a:b]).tobytes() for a, b in zip(cut, ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([name] * len(cut), part[cut], blobs), types)], names)
+        lane = TaskContext.get().partitionId() % LANES
+        pieces = [total[i : i + CHUNK].tobytes() for i in range(0, len(total), CHUNK)]
+        parts = [-1 - (i * LANES + lane) for i in range(len(pieces))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([-1] * len(parts), parts, pieces), types)], names)
 
     return run
 
@@ -154,6 +161,10 @@ def _count(frame):
     """Counts of one group over the corpus, sent back to every batch in the order it sent its items."""
     import pandas as pd
 
+    part = int(frame["part"].iloc[0])
+    if part < 0:  # a piece of the head counts
+        total = np.sum([np.frombuffer(b, np.int64) for b in frame["items"]], axis=0, dtype=np.int64)
+        return pd.DataFrame({"batch": [-1], "part": [part], "counts": [total.tobytes()], "distinct": [0]})
     got = [_unpack(b) for b in frame["items"]]
     items, back = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
     marks = np.concatenate([g[1] for g in got])
@@ -163,7 +174,6 @@ def _count(frame):
     ends = np.cumsum([len(g[0]) for g in got])
     out = [np.minimum(c, 2**32 - 1).astype(np.uint32).tobytes() for c in np.split(count[back], ends[:-1])]
     distinct = int((token & (count > 0)).sum())
-    part = int(frame["part"].iloc[0])
     return pd.DataFrame({"batch": [*frame["batch"], -1], "part": part, "counts": [*out, b""], "distinct": [0] * len(out) + [distinct]})
 
 
@@ -208,13 +218,17 @@ def _own_counts(items, to):
     return out
 
 
-def _rows(batch):
-    for record in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
-        ids, folds, offs, text, found = record
+def _texts(batch):
+    """batch, ids, folds, offsets and bytes of the rows of a batch table (batch, ids, folds, offs, text, ...)."""
+    for name, ids, folds, offs, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
         data = np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8) if text else np.zeros(0, np.uint8)
+        yield name, np.frombuffer(ids, np.int64).reshape(2, -1), np.frombuffer(folds, np.int8), np.frombuffer(offs, np.int64), data
+
+
+def _rows(batch):
+    for (_, *row), found in zip(_texts(batch), batch.column(5).to_pylist()):
         counts = [np.frombuffer(x["counts"], np.uint32) for x in sorted(found or (), key=lambda x: x["part"])]
-        ids = np.frombuffer(ids, np.int64).reshape(2, -1)
-        yield ids, np.frombuffer(folds, np.int8), np.frombuffer(offs, np.int64), data, np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
+        yield *row, np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
 
 
 def _tuning(shared):
@@ -290,20 +304,22 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_groups = max(8, math.ceil(size / 8 / GROUP_ITEMS))
     shared = spark.sparkContext.broadcast(head)
-    sent, at_sent = stage(docs.mapInArrow(_send(shared, n_groups), _OUT), "batches")
-    found = sent.where("kind = 1").select("batch", "part", "items").groupBy("part").applyInPandas(_count, "batch long, part int, counts binary, distinct long")
-    found, _ = stage(found, "counts")
-    sums = sent.where("kind = 2").select(F.posexplode("head").alias("i", "n")).where("n > 0").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    texts, _ = stage(docs.mapInArrow(_batches, _BATCH), "batches")
+    plain = ["batch", "ids", "folds", "offs", "text"]
+    sent = texts.select(plain).mapInArrow(_send(shared, n_groups), _ITEMS)
+    found, _ = stage(sent.groupBy("part").applyInPandas(_count, "batch long, part int, counts binary, distinct long"), "counts")
     totals = np.zeros(len(head) + 2, np.int64)
-    totals[sums.column("i").to_numpy()] = sums.column("n").to_numpy()
+    # LANES numbers for each head item, whatever the corpus
+    for r in found.where("part < 0").select("part", "counts").toLocalIterator():
+        i = (-1 - r.part) // LANES * CHUNK
+        totals[i : i + CHUNK] += np.frombuffer(r.counts, np.int64)
     in_words = np.isin(head, top[0].astype(np.int64).view(np.uint64))
     distinct = int((in_words & (totals[:-2] > 0)).sum()) + (found.agg(F.sum("distinct")).first()[0] or 0)
     model = _Model(head, totals[:-2], int(totals[-2]), int(totals[-1]), distinct)
     back = found.where("batch >= 0").groupBy("batch").agg(F.collect_list(F.struct("part", "counts")).alias("found"))
-    texts = sent.where("kind = 0").select("batch", "tuning", "ids", "folds", "offs", "text")
 
     def joined(rows):
-        return rows.join(back, "batch", "left").select("ids", "folds", "offs", "text", "found")
+        return rows.join(back, "batch", "left").select(*plain, "found")
 
     held = joined(texts.where("tuning")).mapInArrow(_tuning(spark.sparkContext.broadcast(model)), "b int, p2 int, p1 int, n long")
     # at most 64 buckets x rounded logarithms, whatever the corpus
