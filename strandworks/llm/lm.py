@@ -308,6 +308,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     plain = ["batch", "ids", "folds", "offs", "text"]
     sent = texts.select(plain).mapInArrow(_send(shared, n_groups), _ITEMS)
     found, _ = stage(sent.groupBy("part").applyInPandas(_count, "batch long, part int, counts binary, distinct long"), "counts")
+    release(spark)  # the items' shuffle is done with; only now does nothing refer to it
     totals = np.zeros(len(head) + 2, np.int64)
     # LANES numbers for each head item, whatever the corpus
     for r in found.where("part < 0").select("part", "counts").toLocalIterator():
