@@ -121,8 +121,8 @@ def _windows(unit: str, length: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, unit: str, length: int, k: int, judge, judged: str, place) -> tuple[DataFrame, list[str]]:
-    """Windows to remove, as ranges of window starts per document, and the staged tables they rest on.
+def repeated_windows(docs: DataFrame, unit: str, length: int, k: int, judge, judged: str, place) -> DataFrame:
+    """Windows to remove, as ranges of window starts per document.
 
     ``judge`` reads the distinct pieces of whole shards, in order of the shard and
     then of the first occurrence, and returns (shard, body_hash, *judged*);
@@ -136,9 +136,9 @@ def repeated_windows(docs: DataFrame, unit: str, length: int, k: int, judge, jud
     pieces, at_pieces = stage(found.mapInArrow(_pieces(unit, length, k), PIECES).withColumn("body_hash", F.xxhash64("body")), "pieces")
     release(spark, at_anchors)
     hot = pieces.select("shard", "body_hash").distinct().groupBy("shard").count().where(F.col("count") > HOT).select("shard")
-    n_hot = hot.count()
+    n_hot, at_hot = hot.count(), []
     if n_hot:
-        hot, _ = stage(hot.coalesce(1) if n_hot <= FEW else hot, "hot")
+        hot, *at_hot = stage(hot.coalesce(1) if n_hot <= FEW else hot, "hot")
         hot = F.broadcast(hot) if n_hot <= FEW else hot
         single = pieces.join(hot, "shard", "left_semi").drop("body_hash").mapInArrow(_windows(unit, length), PIECES).withColumn("body_hash", F.xxhash64("body"))
         pieces = pieces.join(hot, "shard", "left_anti").union(single.withColumn("shard", F.col("body_hash")).select(pieces.columns))
@@ -150,7 +150,9 @@ def repeated_windows(docs: DataFrame, unit: str, length: int, k: int, judge, jud
         .repartition("shard").sortWithinPartitions("shard", "doc_id", "start").mapInArrow(judge, f"shard long, body_hash long, {judged}")
     )
     ranges = place(pieces.drop("body", "size").join(verdicts, ["shard", "body_hash"]))
-    return ranges.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), [at_pieces]
+    ranges, _ = stage(ranges.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
+    release(spark, at_pieces, *at_hot)  # before the texts are shuffled once more
+    return ranges
 
 
 def shards(batches, limit: int):

@@ -161,7 +161,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return rows.where(earlier).select("doc_id", lo.alias("lo"), (F.col("start") + F.col("to")).alias("hi"))
 
     judged = "from int, to int, first_doc long, first_start int"
-    ranges, _ = repeated_windows(docs, "word", length, min(ANCHOR, length), _judge(length), judged, place)
+    ranges = repeated_windows(docs, "word", length, min(ANCHOR, length), _judge(length), judged, place)
     return docs.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_cut(length), "doc_id long, n_words long, n_removed long, kept string")
 
 

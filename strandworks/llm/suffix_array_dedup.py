@@ -73,7 +73,7 @@ def _place(rows: DataFrame) -> DataFrame:
 
 
 def _ranges(docs: DataFrame, length: int) -> DataFrame:
-    return repeated_windows(docs, "byte", length, min(ANCHOR, length), _judge(length), "from int, to int", _place)[0]
+    return repeated_windows(docs, "byte", length, min(ANCHOR, length), _judge(length), "from int, to int", _place)
 
 
 def _cut(length: int):
