@@ -219,13 +219,5 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of ``docs`` with the least id of each group; one row an id.  Rows without an id cannot be told apart and stay."""
-    groups = simhash_groups(docs, id_col, text_col)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_keep_id")).distinct()
-    kept = docs.join(keep, docs[id_col] == F.col("_keep_id"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(docs[id_col].isNull()))
-
-
 def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
