@@ -141,10 +141,14 @@ def length_stats(reads: DataFrame) -> DataFrame:
     return reads.groupBy("sample").agg(F.avg(n).alias("mean_len"), F.median(n).alias("median_len"), F.max(n).alias("max_len"))
 
 
-def tandem_candidates(reads: DataFrame, k: int, max_unit: int) -> DataFrame:
-    """Maximal stretches where seq[i] = seq[i+u], of at least 2u and 2k bases: read_id, unit, start, size."""
+def tandem_candidates(reads: DataFrame, k: int, max_unit: int | None = None) -> DataFrame:
+    """Maximal stretches where seq[i] = seq[i+u], of at least 2u and 2k bases: read_id, unit, start, size.
+
+    Units of up to half the read, or up to ``max_unit`` bases.
+    """
     seq = F.col("seq")
-    rows = reads.select("read_id", "seq", F.explode(F.sequence(F.lit(1), F.lit(max_unit))).alias("u"))
+    half = F.floor(F.length(seq) / 2).cast("int")
+    rows = reads.select("read_id", "seq", F.explode(S.upto(half if max_unit is None else F.lit(max_unit))).alias("u")).withColumn("u", F.col("u") + 1)
     same = F.filter(S.upto(F.length(seq) - F.col("u")), lambda i: (seq.substr(i + 1, F.lit(1)) == seq.substr(i + F.col("u") + 1, F.lit(1))) & (seq.substr(i + 1, F.lit(1)) != "N"))
     stretches = S.merge_intervals(F.transform(same, lambda i: F.struct(i.alias("start"), (i + 1).alias("end"))), 1)
     found = rows.where(F.col("u") < F.length(seq)).select("read_id", "seq", "u", F.explode(stretches).alias("s"))
@@ -167,8 +171,11 @@ def locate_tandems(reads: DataFrame, units: DataFrame, min_repeats: int, min_siz
     # candidate reads share the unit doubled, found by the k-mers of its length
     at = F.filter(S.upto(F.length(seq) - F.length(u) + 1), lambda i: seq.substr(i + 1, F.length(u)) == u)
     sized = units.select("unit", F.length("unit").alias("_len")).where("_len > 0")
-    probes = reads.select("read_id", "seq", F.explode(F.array_distinct(F.flatten(F.array(*[S.kmers("seq", n) for n in range(1, 13)])))).alias("unit"))
-    hits = probes.join(sized, "unit").select("read_id", "seq", "unit", F.explode(at).alias("pos"))
+    lengths = sized.agg(F.array_sort(F.collect_set("_len")).alias("_lens"))
+    spans = reads.crossJoin(F.broadcast(lengths)).select("read_id", "seq", F.explode("_lens").alias("_len"))
+    kmers = F.transform(S.upto(F.length(seq) - F.col("_len") + 1), lambda i: seq.substr(i + 1, F.col("_len")))
+    probes = spans.select("read_id", "seq", "_len", F.explode(F.array_distinct(kmers)).alias("unit"))
+    hits = probes.join(sized, ["unit", "_len"]).select("read_id", "seq", "unit", F.explode(at).alias("pos"))
     n = F.length("unit")
     phase = Window.partitionBy("read_id", "unit", F.col("pos") % n).orderBy("pos")
     islands = hits.withColumn("_g", F.col("pos") - n * F.row_number().over(phase))

@@ -161,7 +161,7 @@ def b16_homopolymers(spark, d):
 
 def _tandems(spark, d):
     refs = X.references(spark, d).withColumnRenamed("id", "read_id")
-    return refs, R.tandem_candidates(refs, 5, 6)
+    return refs, R.tandem_candidates(refs, 5)
 
 
 @query()
