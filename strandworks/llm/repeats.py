@@ -5,9 +5,14 @@ window has an anchor, a k-gram chosen by content alone, so equal windows have
 equal anchors at equal offsets.  Anchors are counted over the whole corpus with
 map-side sums; only runs of windows whose anchor occurs at least twice are cut
 out as *pieces* and sent to the shard of their anchor, where the operator's own
-index decides which windows repeat.  Equal pieces are merged before they travel,
-and an anchor with more than ``HOT`` occurrences is spread over the shards
-window by window, so no shard holds a third of the corpus.
+index decides which windows repeat.  Equal pieces are merged before they travel.
+An anchor with more than ``HOT`` different pieces is refined: its pieces are cut
+into runs that share a longer anchor as well, in rounds up to anchors as long as
+the window, where all pieces of a shard are equal.  So no shard holds a third of
+the corpus, and the index decides in every shard.
+
+A row is known by its id and ``row``, a hash of id and text, so rows that repeat
+an id with other texts are judged and cut each by their own text.
 """
 
 from __future__ import annotations
@@ -16,9 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SLICE_BYTES, anchor_runs, byte_codes, release, slices, stage, text_buffer, words
+from .common import SLICE_BYTES, anchor_runs, byte_codes, mix64, power, release, slices, stage, text_buffer, words
 
-#: Different pieces from which the windows of an anchor are routed one by one (all of them are still compared).
+#: Different pieces of an anchor from which longer anchors tell them apart (all of them are still compared).
 HOT = 2000
 #: Most hot anchors that are sent to every task; beyond it they are joined by shuffle.
 FEW = 1 << 18
@@ -29,6 +34,11 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def row_key(id_col, text_col):
+    """Hash of id and text; rows of one id are told apart by it."""
+    return F.xxhash64(id_col.cast("long"), text_col.cast("string"))
+
+
 def token_rows(data: np.ndarray, offs: np.ndarray, unit: str, length: int):
     """Bounded parts of a batch: row numbers, first token of each part row, tokens and their offsets."""
     for i, j in slices(offs, SLICE_BYTES):
@@ -68,93 +78,133 @@ def _anchors(unit: str, length: int, k: int):
             r, h = r[order], h[order]
             first = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (h[1:] != h[:-1]))))[: len(r)]
             n = np.diff(np.concatenate((first, [len(r)])))
-            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), ids.take(pa.array(r[first])), pa.array(n.astype(np.int32))], ["anchor", "doc_id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), ids.take(pa.array(r[first])), pa.array(n.astype(np.int32))], ["anchor", "row", "n"])
 
     return run
 
 
+PIECES = "shard long, body binary, row long, doc_id long, start int, size int"
+
+
+def _bodies(raw: bytes, offs, unit: str, length: int, row, first, size) -> list[bytes]:
+    """Text of every run of windows: ``size`` windows from token ``first`` of ``row``."""
+    if unit == "byte":
+        return [raw[a : a + n] for a, n in zip((offs[row] + first).tolist(), (size + length - 1).tolist())]
+    out, at, own = [], -1, []
+    for r, a, n in zip(row.tolist(), first.tolist(), size.tolist()):
+        if r != at:
+            at, own = r, raw[offs[r] : offs[r + 1]].split()
+        out.append(b" ".join(own[a : a + n + length - 1]))
+    return out
+
+
 def _pieces(unit: str, length: int, k: int):
+    """Runs of windows with a marked anchor, from rows of (row, doc_id, text, marks)."""
+
     def run(batches):
         for batch in batches:
-            data, offs = text_buffer(batch.column(1))
+            data, offs = text_buffer(batch.column(2))
             raw = data.tobytes()
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            lists = batch.column(2).combine_chunks() if isinstance(batch.column(2), pa.ChunkedArray) else batch.column(2)
-            known = np.unique(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-            key, body, doc, lo, size = [], [], [], [], []
-            split: dict[int, list[bytes]] = {}
+            known = np.unique(batch.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
             for row, base, tokens, to in token_rows(data, offs, unit, length):
                 r, s, n, h = anchor_runs(tokens, to, k, length)
-                place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                keep = np.flatnonzero(known[place] == h) if len(known) else []
-                for x in keep:
-                    d, start = int(row[r[x]]), int(s[x] + base[r[x]])
-                    if unit == "word" and d not in split:
-                        split = {d: raw[offs[d] : offs[d + 1]].split()}
-                    b = raw[offs[d] + start : offs[d] + start + n[x] + length - 1] if unit == "byte" else b" ".join(split[d][start : start + n[x] + length - 1])
-                    key.append(int(h[x].view(np.int64))), body.append(b), doc.append(ids[d]), lo.append(start), size.append(int(n[x]))
-                if sum(map(len, body[:1])) * len(body) > 4 * SLICE_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(body, pa.binary()), pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), pa.array(size, pa.int32())], ["shard", "body", "doc_id", "start", "size"])
-                    key, body, doc, lo, size = [], [], [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(body, pa.binary()), pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), pa.array(size, pa.int32())], ["shard", "body", "doc_id", "start", "size"])
+                if not len(known) or not len(r):
+                    continue
+                keep = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+                r, s, n, h = r[keep], s[keep], n[keep], h[keep]
+                at, first = row[r], s + base[r]
+                body = _bodies(raw, offs, unit, length, at, first, n)
+                own = pa.array(at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(body, pa.binary()), batch.column(0).take(own), batch.column(1).take(own), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))],
+                    ["shard", "body", "row", "doc_id", "start", "size"],
+                )
 
     return run
 
 
-PIECES = "shard long, body binary, doc_id long, start int, size int"
-
-
-def _windows(unit: str, length: int):
-    """Every piece as its single windows."""
+def _refined(unit: str, length: int, k: int):
+    """Pieces cut into runs that share an anchor of ``k`` tokens too; shard becomes a hash of both anchors."""
 
     def run(batches):
-        for part in (batch.slice(i, 500) for batch in batches for i in range(0, batch.num_rows, 500)):
-            rows = []
-            for shard, body, doc, start, size in zip(*(c.to_pylist() for c in part.columns)):
-                split = body if unit == "byte" else body.split(b" ")
-                for q in range(size):
-                    window = split[q : q + length]
-                    rows.append((shard, window if unit == "byte" else b" ".join(window), doc, start + q, 1))
-            types = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], part.schema.names)
+        for batch in batches:
+            data, offs = text_buffer(batch.column(1))
+            raw, start = data.tobytes(), batch.column(4).to_numpy()
+            shard = batch.column(0).to_numpy().view(np.uint64)
+            for row, base, tokens, to in token_rows(data, offs, unit, length):
+                r, s, n, h = anchor_runs(tokens, to, k, length)
+                at, first = row[r], s + base[r]
+                body = _bodies(raw, offs, unit, length, at, first, n)
+                own = pa.array(at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(mix64(shard[at] * power(k) + h).view(np.int64)), pa.array(body, pa.binary()), batch.column(2).take(own), batch.column(3).take(own), pa.array((start[at] + first).astype(np.int32)), pa.array(n.astype(np.int32))],
+                    ["shard", "body", "row", "doc_id", "start", "size"],
+                )
 
     return run
 
 
+def _hashed(pieces: DataFrame) -> DataFrame:
+    """128 bits that stand for a piece's text within its shard."""
+    return pieces.withColumns({"h1": F.xxhash64("body"), "h2": F.xxhash64(F.lit(2), "body")})
+
+
+def _spread(pieces: DataFrame, unit: str, length: int, k: int) -> tuple[DataFrame, list[str]]:
+    """``pieces`` with the shards above HOT refined by longer anchors, round by round."""
+    ready, paths = None, []
+    for longer in sorted({k + (length - k) * i // 3 for i in (1, 2, 3)} - {k}):
+        hot, at = stage(pieces.select("shard", "h1", "h2").distinct().groupBy("shard").count().where(F.col("count") > HOT).select("shard"), "hot")
+        paths.append(at)
+        n_hot = hot.count()
+        if not n_hot:
+            break
+        hot = F.broadcast(hot) if n_hot <= FEW else hot
+        cold = pieces.join(hot, "shard", "left_anti").select(*pieces.columns)
+        ready = cold if ready is None else ready.unionByName(cold)
+        fine, at = stage(_hashed(pieces.join(hot, "shard", "left_semi").select(*pieces.columns).drop("h1", "h2").mapInArrow(_refined(unit, length, longer), PIECES)), "fine")
+        paths.append(at)
+        # a longer anchor that occurs once has nothing to meet
+        pieces = fine.join(fine.groupBy("shard").count().where("count > 1").select("shard"), "shard", "left_semi").select(*fine.columns)
+    return pieces if ready is None else ready.unionByName(pieces), paths
+
+
 def repeated_windows(docs: DataFrame, unit: str, length: int, k: int, judge, judged: str, place) -> DataFrame:
-    """Windows to remove, as ranges of window starts per document.
+    """Windows to remove, as ranges of window starts: row, doc_id and ranges of the rows that have some.
 
     ``judge`` reads the distinct pieces of whole shards, in order of the shard and
-    then of the first occurrence, and returns (shard, body_hash, *judged*);
+    then of the first occurrence, and returns (shard, h1, h2, *judged*);
     ``place`` turns a judged row beside an occurrence into a filter and a range.
     """
     spark = docs.sparkSession
-    anchors, at_anchors = stage(docs.mapInArrow(_anchors(unit, length, k), "anchor long, doc_id long, n int"), "anchors")
+    docs = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), "doc_id", "text")
+    anchors, at_anchors = stage(docs.select("row", "text").mapInArrow(_anchors(unit, length, k), "anchor long, row long, n int"), "anchors")
     often = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    marked = anchors.select("anchor", "doc_id").join(often, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("marks"))
-    found = docs.join(marked, "doc_id").select("doc_id", "text", "marks")
-    pieces, at_pieces = stage(found.mapInArrow(_pieces(unit, length, k), PIECES).withColumn("body_hash", F.xxhash64("body")), "pieces")
+    # equal rows have one key: a set, merged on the map side
+    marked = anchors.select("anchor", "row").join(often, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("marks"))
+    found = docs.join(marked, "row").select("row", "doc_id", "text", "marks")
+    pieces, at_pieces = stage(_hashed(found.mapInArrow(_pieces(unit, length, k), PIECES)), "pieces")
     release(spark, at_anchors)
-    hot = pieces.select("shard", "body_hash").distinct().groupBy("shard").count().where(F.col("count") > HOT).select("shard")
-    n_hot, at_hot = hot.count(), []
-    if n_hot:
-        hot, *at_hot = stage(hot.coalesce(1) if n_hot <= FEW else hot, "hot")
-        hot = F.broadcast(hot) if n_hot <= FEW else hot
-        single = pieces.join(hot, "shard", "left_semi").drop("body_hash").mapInArrow(_windows(unit, length), PIECES).withColumn("body_hash", F.xxhash64("body"))
-        pieces = pieces.join(hot, "shard", "left_anti").union(single.withColumn("shard", F.col("body_hash")).select(pieces.columns))
-    distinct = pieces.groupBy("shard", "body_hash", "body").agg(
+    pieces, at_fine = _spread(pieces, unit, length, k)
+    distinct = pieces.groupBy("shard", "h1", "h2", "body").agg(
         F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"), F.max("size").alias("size")
     )
     verdicts = (
-        distinct.select("shard", "body_hash", "body", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "n", "size")
-        .repartition("shard").sortWithinPartitions("shard", "doc_id", "start").mapInArrow(judge, f"shard long, body_hash long, {judged}")
+        distinct.select("shard", "h1", "h2", "body", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "n", "size")
+        .repartition("shard").sortWithinPartitions("shard", "doc_id", "start").mapInArrow(judge, f"shard long, h1 long, h2 long, {judged}")
     )
-    ranges = place(pieces.drop("body", "size").join(verdicts, ["shard", "body_hash"]))
-    ranges, _ = stage(ranges.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
-    release(spark, at_pieces, *at_hot)  # before the texts are shuffled once more
+    ranges = place(pieces.drop("body", "size").join(verdicts, ["shard", "h1", "h2"]))
+    ranges, _ = stage(ranges.groupBy("row", "doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
+    release(spark, at_pieces, *at_fine)  # before the texts are shuffled once more
     return ranges
 
 
+def beside(docs: DataFrame, ranges: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the ranges of each row in a last column, _ranges."""
+    r = ranges.toDF("_row", "_id", "_ranges")
+    own = (row_key(docs[id_col], docs[text_col]) == r["_row"]) & docs[id_col].cast("long").eqNullSafe(r["_id"])
+    return docs.join(r, own, "left").select(*[docs[c] for c in docs.columns], r["_ranges"])
+
+
 def shards(batches, limit: int):
     """Tables of whole shards: consecutive pieces, cut where the shard changes and ``limit`` bytes are reached."""
     held, size, last = [], 0, None
@@ -162,7 +212,7 @@ def shards(batches, limit: int):
         if not batch.num_rows:
             continue
         shard = batch.column(0).to_numpy()
-        ends = np.cumsum(np.diff(np.frombuffer(batch.column(2).cast(pa.large_binary()).buffers()[1], np.int64, len(shard) + 1)))
+        ends = np.cumsum(np.diff(np.frombuffer(batch.column(3).cast(pa.large_binary()).buffers()[1], np.int64, len(shard) + 1)))
         change = np.flatnonzero(np.concatenate(([shard[0] != last], shard[1:] != shard[:-1])))
         begin, used = 0, 0
         for c in change:

@@ -12,8 +12,10 @@ Results in edge cases
   * null text has no words; texts with fewer than ``length`` words lose nothing.
   * "earlier" is a smaller doc_id, or an earlier start in the same document;
     windows are judged on the input, so a removed window still counts as earlier.
-  * ``doc_id`` is the key.  Rows that repeat it stand at the same place, so they
-    are not earlier than each other.  A null ``doc_id`` keeps its whole text.
+  * rows that repeat a ``doc_id``, with equal or other texts, stand at the same
+    place: of equal windows in them the one of the least start is the earliest, and
+    windows of that start are not earlier than each other.  Each row is cut by its
+    own text.  A null ``doc_id`` counts as an id before all others.
   * other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
@@ -24,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import text_buffer
-from .repeats import covered, keyed, lone_pieces, repeated_windows, shards
+from .repeats import beside, covered, keyed, lone_pieces, repeated_windows, shards
 
 LENGTH, ANCHOR = 20, 6
-#: Bytes of distinct pieces for one automaton; a single anchor's pieces are at most HOT short rows.
+#: Bytes of distinct pieces for one automaton; a single shard's pieces are at most HOT short rows.
 SHARD_BYTES = 1 << 19
 
 
@@ -124,10 +126,10 @@ def _judge(length: int):
                         piece.append(p), lo.append(i), hi.append(i + 1), fdoc.append(doc[rest[q]]), fstart.append(start[rest[q]] + s)
                     before = (q, s)
             at = pa.array(piece, pa.int64())
-            keys = [table.column(c).combine_chunks().take(at) for c in ("shard", "body_hash")]
+            keys = [table.column(c).combine_chunks().take(at) for c in ("shard", "h1", "h2")]
             yield pa.RecordBatch.from_arrays(
                 [*keys, pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(fdoc, pa.int64()), pa.array(fstart, pa.int32())],
-                ["shard", "body_hash", "from", "to", "first_doc", "first_start"],
+                ["shard", "h1", "h2", "from", "to", "first_doc", "first_start"],
             )
 
     return run
@@ -157,12 +159,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def place(rows):
         lo = F.col("start") + F.col("from")
-        earlier = ~((F.col("first_doc") == F.col("doc_id")) & (F.col("first_start") == lo))
-        return rows.where(earlier).select("doc_id", lo.alias("lo"), (F.col("start") + F.col("to")).alias("hi"))
+        earlier = ~(F.col("first_doc").eqNullSafe(F.col("doc_id")) & (F.col("first_start") == lo))
+        return rows.where(earlier).select("row", "doc_id", lo.alias("lo"), (F.col("start") + F.col("to")).alias("hi"))
 
     judged = "from int, to int, first_doc long, first_start int"
     ranges = repeated_windows(docs, "word", length, min(ANCHOR, length), _judge(length), judged, place)
-    return docs.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_cut(length), "doc_id long, n_words long, n_removed long, kept string")
+    return beside(docs, ranges).mapInArrow(_cut(length), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def digest(result: DataFrame) -> DataFrame:

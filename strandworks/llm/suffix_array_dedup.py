@@ -2,14 +2,16 @@
 
 Method: each shard sorts its suffixes by external induced sorting
 (:mod:`.suffix_sort`); neighbours whose common prefix reaches ``length`` start a
-repeated string.  :mod:`.repeats` routes the text to shards.
+repeated string.  :mod:`.repeats` routes the text to shards.  A usual shard is
+larger than the sorter's limits, so its tuples go through scratch files and its
+S* suffixes through several levels of induction.
 
 Results in edge cases
   * null text counts as empty; empty and short texts lose nothing.
   * both (all) occurrences of a repeated string go, the first included, also
     within one document; matches never cross documents.
-  * ``doc_id`` is the key.  Rows that repeat it are judged like other rows: an
-    equal row is another occurrence.  A null ``doc_id`` keeps its whole text.
+  * rows that repeat a ``doc_id``, or have none, are judged like other rows, each by
+    its own text: an equal row is another occurrence.
   * other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
@@ -20,20 +22,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import text_buffer
-from .repeats import covered, keyed, lone_pieces, repeated_windows, shards
-from .suffix_sort import suffix_buckets
+from .repeats import beside, covered, keyed, lone_pieces, repeated_windows, shards
+from .suffix_sort import scratch, suffix_buckets
 
 LENGTH, ANCHOR = 200, 32
 #: Bytes of distinct pieces that one suffix array covers; a larger single shard is sorted whole, from disk.
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 22
 
 
 def shard_repeats(bodies: list[bytes], length: int, **limits) -> np.ndarray:
     """For the pieces laid end to end (one separator each): which positions start a repeated string."""
-    text = np.frombuffer(b"".join(x for b in bodies for x in (b, b"\0")), np.uint8).astype(np.int32) + 2
-    ends = np.cumsum([len(b) + 1 for b in bodies])
-    text[ends - 1] = 1
-    text = np.append(text, np.int32(0))
+    text = scratch(sum(len(b) + 1 for b in bodies) + 1, np.int32)
+    at = 0
+    for i in range(0, len(bodies), 1000):
+        part = bodies[i : i + 1000]
+        end = at + sum(len(b) + 1 for b in part)
+        text[at:end] = np.frombuffer(b"".join(x for b in part for x in (b, b"\0")), np.uint8).astype(np.int32) + 2
+        text[at + np.cumsum([len(b) + 1 for b in part]) - 1] = 1
+        at = end
+    text[at] = 0
     hit = np.zeros(len(text), bool)
     for pos, lcp in suffix_buckets(text, length, **limits):
         i = np.flatnonzero(lcp >= length)
@@ -62,14 +69,14 @@ def _judge(length: int):
                     lo += edge[::2].tolist()
                     hi += edge[1::2].tolist()
             at = pa.array(piece, pa.int64())
-            keys = [table.column(c).combine_chunks().take(at) for c in ("shard", "body_hash")]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["shard", "body_hash", "from", "to"])
+            keys = [table.column(c).combine_chunks().take(at) for c in ("shard", "h1", "h2")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["shard", "h1", "h2", "from", "to"])
 
     return run
 
 
 def _place(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", (F.col("start") + F.col("from")).alias("lo"), (F.col("start") + F.col("to")).alias("hi"))
+    return rows.select("row", "doc_id", (F.col("start") + F.col("from")).alias("lo"), (F.col("start") + F.col("to")).alias("hi"))
 
 
 def _ranges(docs: DataFrame, length: int) -> DataFrame:
@@ -101,7 +108,7 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = keyed(docs, id_col, text_col)
     ranges = _ranges(docs, length)
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<from:long,to:long>>, kept binary"
-    return docs.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_cut(length), schema)
+    return beside(docs, ranges).mapInArrow(_cut(length), schema)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -121,8 +128,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    joined = docs.join(ranges.toDF("_cut_id", "_cut_ranges"), docs[id_col] == F.col("_cut_id"), "left").drop("_cut_id")
-    return joined.mapInArrow(run, docs.schema)
+    return beside(docs, ranges, id_col, text_col).mapInArrow(run, docs.schema)
 
 
 def digest(result: DataFrame) -> DataFrame:

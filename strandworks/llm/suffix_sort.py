@@ -1,11 +1,14 @@
 """Suffix and common-prefix arrays of one shard by external induced sorting.
 
 Suffix tuples (position, common prefix with the tuple before it) move through a
-bucket priority queue: it yields tuples by first symbol and, within a symbol, in
-the order of insertion, and keeps only ``budget`` tuples in memory, the rest in
-a file of the task's own temporary folder.  The order of the S* suffixes comes
-from naming the S* substrings and sorting the reduced text the same way, until
-it has at most ``base`` symbols and is sorted in memory by prefix doubling.
+priority queue of buckets: it yields tuples by first symbol and, within a symbol,
+in the order of insertion, and keeps only ``budget`` tuples in memory, the rest
+in a scratch file of the task.  The text, its types and its runs are scratch
+files too, mapped and filled a block at a time.  The order of the S* suffixes
+comes from naming the S* substrings and inducing the order of the reduced text
+the same way, level by level, until it has at most ``base`` symbols and is sorted
+in memory by prefix doubling.  Reduced texts have large alphabets: there a bucket
+is a range of symbols, and the tuples of a range are ordered at once.
 """
 
 from __future__ import annotations
@@ -15,36 +18,47 @@ import tempfile
 import numpy as np
 
 _FAR = np.int32(2**31 - 1)
+#: Symbols handled at once where a text is read or a bucket of several symbols is ordered.
+BLOCK = 1 << 18
+
+
+def scratch(n: int, dtype) -> np.ndarray:
+    """An array in a scratch file of this task; the file goes with the array."""
+    return np.memmap(tempfile.TemporaryFile(), dtype, "w+", shape=(n,)) if n else np.zeros(0, dtype)
 
 
 class SpillQueue:
-    """Tuples by symbol, first in first out within a symbol; spilled beyond ``budget`` tuples."""
+    """Tuples by bucket, first in first out within a bucket; spilled beyond ``budget`` tuples."""
+
+    #: Spills and induced levels since the task's process began; tests read them.
+    spills = 0
 
     def __init__(self, budget: int):
         self.budget, self.held, self.memory, self.disk, self.file = budget, 0, {}, {}, None
 
-    def push(self, symbol: int, rows: np.ndarray) -> None:
-        self.memory.setdefault(symbol, []).append(rows)
+    def push(self, bucket: int, rows: np.ndarray) -> None:
+        self.memory.setdefault(bucket, []).append(rows)
         self.held += len(rows)
         if self.held > self.budget:
             self.spill()
 
     def spill(self) -> None:
+        SpillQueue.spills += 1
         self.file = self.file or tempfile.TemporaryFile()
         self.file.seek(0, 2)
-        for symbol, parts in self.memory.items():
+        for bucket, parts in self.memory.items():
             rows = np.concatenate(parts)
-            self.disk.setdefault(symbol, []).append((self.file.tell(), len(rows)))
+            self.disk.setdefault(bucket, []).append((self.file.tell(), len(rows)))
             self.file.write(rows.tobytes())
         self.memory, self.held = {}, 0
 
-    def pop(self, symbol: int) -> np.ndarray:
-        """All tuples of a symbol so far, (n, 2) of position and common prefix."""
+    def pop(self, bucket: int) -> np.ndarray:
+        """All tuples of a bucket so far, (n, 2)."""
         parts = []
-        for at, n in self.disk.pop(symbol, ()):
+        for at, n in self.disk.pop(bucket, ()):
             self.file.seek(at)
             parts.append(np.frombuffer(self.file.read(n * 8), np.int32).reshape(n, 2))
-        parts += (kept := self.memory.pop(symbol, []))
+        parts += (kept := self.memory.pop(bucket, []))
         self.held -= sum(map(len, kept))
         return np.concatenate(parts) if parts else np.zeros((0, 2), np.int32)
 
@@ -78,50 +92,68 @@ def prefix_doubling(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def _packed(text: np.ndarray, bits: int, per: int) -> np.ndarray:
-    out = np.zeros(len(text) + 1, np.uint64)
-    padded = np.concatenate((text.astype(np.uint64), np.zeros(per, np.uint64)))
-    for k in range(per):
-        out[: len(text)] = (out[: len(text)] << np.uint64(bits)) | padded[k : k + len(text)]
-    return out
-
-
 def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
     """Common prefix of the suffixes at a and b, exact below ``cap``, else at least ``cap``."""
-    n, bits = len(text), max(1, int(text.max()).bit_length())
-    per = 63 // bits
-    packed = _packed(text, bits, per)
-    out, live, off = np.zeros(len(a), np.int32), np.arange(len(a)), 0
-    while len(live) and off < cap:
-        x, y = np.minimum(a[live] + off, n), np.minimum(b[live] + off, n)
-        same = packed[x] == packed[y]
-        stop = ~same
-        diff = packed[x[stop]] ^ packed[y[stop]]
-        lead = per - 1 - (np.floor(np.log2(np.maximum(diff >> np.uint64(1), 1).astype(np.float64) * 2)).astype(np.int64) // bits)
-        # a float may round up to the next power of two: count symbol by symbol near it
-        lead = np.clip(lead - 1, 0, per)
-        for _ in range(2):
-            shift = np.maximum((per - 1 - lead) * bits, 0).astype(np.uint64)
-            lead = np.where((lead < per) & ((diff >> shift) == 0), lead + 1, lead)
-        out[live[stop]] = off + lead
-        out[live[same]] = off + per
-        live, off = live[same], off + per
+    n, out = len(text), np.zeros(len(a), np.int32)
+    for i in range(0, len(a), BLOCK):
+        live, off, step = np.arange(i, min(i + BLOCK, len(a))), 0, 8
+        while len(live) and off < cap:
+            # neighbours that differ soon are many and those that share much few: the steps grow
+            k = np.arange(off, off + step)
+            x, y = np.minimum(a[live, None] + k, n - 1), np.minimum(b[live, None] + k, n - 1)
+            differ = (text[x] != text[y]) | (a[live, None] + k >= n) | (b[live, None] + k >= n)
+            stop = differ.any(axis=1)
+            out[live[stop]] = off + differ[stop].argmax(axis=1)
+            out[live[~stop]] = off + step
+            live, off, step = live[~stop], off + step, 32
     return out
 
 
+def _types(text: np.ndarray):
+    """S types and the symbols to the end of each run (itself and one more counted), filled from the right, block by block."""
+    n = len(text)
+    small, run = scratch(n, np.bool_), scratch(n, np.int32)
+    end, after = n - 1, True  # the run that the block to the right begins with: its last position and type
+    for hi in range(n, 0, -BLOCK):
+        lo = max(0, hi - BLOCK)
+        t = np.asarray(text[lo : min(hi + 1, n)])
+        i = np.arange(lo, hi)
+        change = np.append(t[1:] != t[:-1], True) if hi == n else t[1:] != t[:-1]
+        last = np.flatnonzero(change)
+        if not len(last):
+            stop, rising = np.full(hi - lo, end), np.full(hi - lo, after)
+        else:
+            place = np.searchsorted(last, i - lo)
+            inside = place < len(last)
+            stop = np.where(inside, lo + last[np.minimum(place, len(last) - 1)], end)
+            up = np.array([True if lo + x == n - 1 else t[x] < t[x + 1] for x in last[-1:]]) if hi == n else t[last[-1:]] < t[last[-1:] + 1]
+            ups = np.append(t[last[:-1]] < t[last[:-1] + 1], up)
+            rising = np.where(inside, ups[np.minimum(place, len(last) - 1)], after)
+        small[lo:hi], run[lo:hi] = rising, stop - i + 1
+        end, after = int(stop[0]), bool(rising[0])
+    return small, run
+
+
+def _stars(small: np.ndarray) -> np.ndarray:
+    """S suffixes that follow an L suffix."""
+    parts = []
+    for lo in range(1, len(small), BLOCK):
+        hi = min(lo + BLOCK, len(small))
+        parts.append(lo + np.flatnonzero(small[lo:hi] & ~small[lo - 1 : hi - 1]))
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def _names(text: np.ndarray, star: np.ndarray) -> np.ndarray:
     """Rank of each S* substring, both end symbols included; one that ends early sorts after longer ones."""
-    bits = int(text.max() + 1).bit_length()
+    n, bits = len(text), int(text.max() + 1).bit_length()
     per, end = max(1, 63 // bits), (1 << bits) - 1
     length = np.append(star[1:] - star[:-1] + 1, 1)
-    rank, live, off = np.zeros(len(star), np.int64), np.arange(len(star)), 0
-    padded = np.concatenate((text.astype(np.uint64), np.full(per, 0, np.uint64)))
+    rank, live, off, top = np.zeros(len(star), np.int64), np.arange(len(star)), 0, 1
     while len(live):
         word = np.zeros(len(live), np.uint64)
         for k in range(per):
-            inside = length[live] > off + k
-            at = np.minimum(star[live] + off + k, len(text))
-            word = (word << np.uint64(bits)) | np.where(inside, padded[at], np.uint64(end))
+            got = text[np.minimum(star[live] + off + k, n - 1)].astype(np.uint64)
+            word = (word << np.uint64(bits)) | np.where(length[live] > off + k, got, np.uint64(end))
         o = np.lexsort((word, rank[live]))
         r, w = rank[live][o], word[o]
         new = np.concatenate(([True], (r[1:] != r[:-1]) | (w[1:] != w[:-1])))
@@ -131,7 +163,8 @@ def _names(text: np.ndarray, star: np.ndarray) -> np.ndarray:
         full[live] += sub
         rank = np.unique(full, return_inverse=True)[1].astype(np.int64)
         off += per
-        live = live[length[live] > off]
+        # a substring whose rank no other has is told apart already
+        live = live[(length[live] > off) & (np.bincount(rank)[rank[live]] > 1)]
     return rank
 
 
@@ -153,9 +186,14 @@ class _Induce:
 
     def read(self, rows: np.ndarray) -> None:
         """rows: (n, 2), the second the common prefix with the tuple read before."""
+        for i in range(0, len(rows), BLOCK):
+            self._read(rows[i : i + BLOCK])
+
+    def _read(self, rows: np.ndarray) -> None:
         pos, lcp = rows[:, 0], rows[:, 1]
         left = pos - 1
-        go = np.flatnonzero((left >= 0) & self.wanted[left])
+        go = np.flatnonzero(left >= 0)
+        go = go[self.wanted(left[go])]
         low = np.minimum.accumulate(lcp)
         if len(go):
             symbol = self.text[left[go]]
@@ -187,7 +225,120 @@ class _Induce:
                 self.queue.push(c, out[i:j])
 
 
-def suffix_buckets(text: np.ndarray, cap: int, base: int = 1 << 22, budget: int = 1 << 22):
+def _ordered(symbol: np.ndarray, kind: np.ndarray, order: np.ndarray, pusher: np.ndarray) -> np.ndarray:
+    """Order of the tuples of a range by (symbol, kind, place of arrival); those pushed from within the range
+    (``pusher`` >= 0) arrive in the order of their pushers, found by refining until nothing moves."""
+    key, inner = order.copy(), np.flatnonzero(pusher >= 0)
+    while True:
+        found = np.lexsort((key, kind, symbol))
+        place = np.empty(len(found), np.int64)
+        place[found] = np.arange(len(found))
+        new = place[pusher[inner]]
+        if np.array_equal(new, key[inner]):
+            return found
+        key[inner] = new
+
+
+def _scan_ranges(text, wanted, seeds, cuts, budget, down):
+    """One direction over ranges of symbols: yields (range, positions in order, which of them were seeds).
+
+    ``seeds(r)`` are the range's given suffixes in order of reading; they are read
+    after those that were pushed with their symbol.
+    """
+    queue = SpillQueue(budget)
+    try:
+        ranges = range(len(cuts) - 1)
+        for r in reversed(ranges) if down else ranges:
+            came, given = queue.pop(r)[:, 0].astype(np.int64), seeds(r)
+            pos = np.concatenate((came, given))
+            kind = np.repeat([0, 2], (len(came), len(given)))
+            order, pusher = np.arange(len(pos)), np.full(len(pos), -1)
+            new = np.arange(len(pos))
+            while len(new):  # what the tuples of this range push into it
+                left = pos[new] - 1
+                own = left >= 0
+                own[own] = wanted(left[own])
+                symbol = text[np.maximum(left, 0)]
+                own &= (symbol >= cuts[r]) & (symbol < cuts[r + 1])
+                left, by = left[own], new[own]
+                new = np.arange(len(pos), len(pos) + len(left))
+                pos, pusher = np.concatenate((pos, left)), np.concatenate((pusher, by))
+                kind, order = np.concatenate((kind, np.ones(len(left), int))), np.concatenate((order, np.zeros(len(left), int)))
+            symbol = text[pos].astype(np.int64)
+            found = _ordered(-symbol if down else symbol, kind, order, pusher)
+            pos, kind = pos[found], kind[found]
+            left = pos - 1
+            go = left >= 0
+            go[go] = wanted(left[go])
+            left = left[go]
+            to = np.searchsorted(cuts, text[left], "right") - 1
+            out = to != r
+            left, to = left[out], to[out]
+            o = np.argsort(to, kind="stable")
+            left, to = left[o], to[o]
+            at = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))[: len(to)]
+            for i, j in zip(at.tolist(), [*at[1:].tolist(), len(to)]):
+                queue.push(int(to[i]), np.stack((left[i:j], left[i:j]), axis=1).astype(np.int32))
+            yield r, pos, kind == 2
+    finally:
+        queue.close()
+
+
+#: Reduced texts that were ordered by induction since the task's process began; tests read it.
+induced = [0]
+
+
+def induced_order(text: np.ndarray, base: int, budget: int) -> np.ndarray:
+    """Suffix order of a text over a large alphabet that ends with its only 0."""
+    n = len(text)
+    if n <= base:
+        return prefix_doubling(text)
+    induced[0] += 1
+    text32 = scratch(n, np.int32)
+    text32[:] = text
+    text = text32
+    small, _ = _types(text)
+    star = _stars(small)
+    stars = star[star_order(_names(text, star), base, budget)]
+    # ranges of symbols of about BLOCK suffixes, one symbol at least
+    total = np.cumsum(np.bincount(text))
+    cuts = [0]
+    while cuts[-1] < len(total):
+        before = total[cuts[-1] - 1] if cuts[-1] else 0
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(total, before + min(BLOCK, budget), "right"))))
+    cuts = np.array(cuts)
+    of = np.searchsorted(cuts, text[stars], "right") - 1
+    first = np.searchsorted(of, np.arange(len(cuts)))
+    large = scratch(n, np.int32)
+    bounds, at = {}, 0
+    for r, pos, seed in _scan_ranges(text, lambda p: ~small[p], lambda r: stars[first[r] : first[r + 1]], cuts, budget, False):
+        pos = pos[~seed]
+        large[at : at + len(pos)] = pos
+        bounds[r] = (at, at + len(pos))
+        at += len(pos)
+    out, at = np.empty(n, np.int64), n
+
+    def seeds(r):
+        a, b = bounds[r]
+        given = large[a:b][::-1].astype(np.int64)
+        return np.append(given, n - 1) if r == 0 else given
+
+    for r, pos, _ in _scan_ranges(text, lambda p: small[p], seeds, cuts, budget, True):
+        out[at - len(pos) : at] = pos[::-1]
+        at -= len(pos)
+    return out
+
+
+def star_order(names: np.ndarray, base: int, budget: int) -> np.ndarray:
+    """Order of the S* suffixes from the names of their substrings."""
+    if int(names.max()) + 1 == len(names):
+        order = np.empty(len(names), np.int64)
+        order[names] = np.arange(len(names))
+        return order
+    return induced_order(names, base, budget)
+
+
+def suffix_buckets(text: np.ndarray, cap: int, base: int = 1 << 16, budget: int = 1 << 18):
     """The suffix array of ``text`` with common prefixes, one first symbol at a time, largest first.
 
     ``text`` holds small non-negative integers and ends with its only 0.  Yields
@@ -195,28 +346,19 @@ def suffix_buckets(text: np.ndarray, cap: int, base: int = 1 << 22, budget: int
     whole order); prefixes are exact below ``cap`` and at least ``cap`` otherwise.
     """
     n, sigma = len(text), int(text.max()) + 1
-    change = np.flatnonzero(np.append(text[1:] != text[:-1], True))
-    nxt = change[np.searchsorted(change, np.arange(n))]
-    run = (nxt - np.arange(n) + 1).astype(np.int32)
-    small = np.append(text[nxt[:-1]] < text[np.minimum(nxt[:-1] + 1, n - 1)], True)  # S type
-    star = np.flatnonzero(small & np.append(False, ~small[:-1]))
-    names = _names(text, star)
-    if int(names.max()) + 1 == len(star):
-        order = np.empty(len(star), np.int64)
-        order[names] = np.arange(len(star))
-    elif len(star) <= base:
-        order = prefix_doubling(names)
-    else:
-        order = np.concatenate([p for p, _ in suffix_buckets(names, 0, base, budget)][::-1])
-    stars = star[order]
-    lcps = np.append(0, common_prefix(text, stars[:-1], stars[1:], cap)).astype(np.int32) if cap else np.zeros(len(stars), np.int32)
+    small, run = _types(text)
+    star = _stars(small)
+    if n == 1:
+        star = np.zeros(1, np.int64)
+    stars = star[star_order(_names(text, star), base, budget)]
+    lcps = np.append(0, common_prefix(text, stars[:-1], stars[1:], cap)).astype(np.int32)
     symbols = np.unique(text)
     first = np.searchsorted(text[stars], symbols)
     last = np.searchsorted(text[stars], symbols, "right")
 
     queue, done = SpillQueue(budget), SpillQueue(budget)
     try:
-        scan = _Induce(text, ~small, queue, sigma)
+        scan = _Induce(text, lambda p: ~small[p], queue, sigma)
         for c, i, j in zip(symbols.tolist(), first.tolist(), last.tolist()):
             end = -1
             while len(rows := queue.pop(c)):
@@ -227,7 +369,7 @@ def suffix_buckets(text: np.ndarray, cap: int, base: int = 1 << 22, budget: int
                 rows = np.stack((stars[i:j].astype(np.int32), lcps[i:j]), axis=1)
                 rows[0, 1] = min(run[end], run[stars[i]]) if end >= 0 else 0
                 scan.read(rows)
-        scan = _Induce(text, small, queue, sigma)
+        scan = _Induce(text, lambda p: small[p], queue, sigma)
         for c in symbols[::-1].tolist():
             parts = []
             if c == 0:

@@ -4,11 +4,13 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from strandworks.llm import repeats
+from strandworks.llm import repeats, suffix_sort
+from strandworks.llm import suffix_array_dedup as suffix_array_dedup_module
 from strandworks.llm.substring_dedup import SuffixAutomaton, digest as words_digest, substring_dedup
-from strandworks.llm.suffix_array_dedup import digest as bytes_digest, suffix_array_dedup
+from strandworks.llm.suffix_array_dedup import digest as bytes_digest, suffix_array_dedup, without_repeats
 from strandworks.llm.suffix_sort import suffix_buckets
 
 
@@ -86,8 +88,50 @@ def test_edges(spark, dedup):
     text = " ".join(f"word{i}" for i in range(90))
     rows = [(1, text, 1, "a", 2, 3), (1, text, 1, "a", 2, 3), (None, text, 1, None, None, None), (2, text, 0, "", 0, 0), (3, None, 0, "", 0, 0)]
     got = sorted(((r.doc_id or -1), r.n_removed > 0) for r in dedup(spark.createDataFrame(rows, schema)).collect())
-    both = dedup is suffix_array_dedup
-    assert got == [(-1, False), (1, both), (1, both), (2, True), (3, False)]
+    # a null id is before all others: only its row keeps its words, and no row keeps its bytes
+    assert got == [(-1, dedup is suffix_array_dedup), (1, True), (1, True), (2, True), (3, False)]
+
+
+def test_rows_of_one_id_are_cut_by_their_own_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in ("one", "two", "three"))
+    rows = [(0, a), (1, a), (1, c), (2, b), (None, b), (None, c + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id if r.doc_id is not None else -1), r.n_removed, r.n_words) for r in substring_dedup(docs).collect())
+    assert got == sorted([(0, 0, 60), (1, 60, 60), (1, 60, 60), (2, 60, 60), (-1, 0, 60), (-1, 0, 61)])
+    rows = [(1, a), (1, c), (2, a), (None, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, bytes(r.kept).decode()) for r in suffix_array_dedup(docs).collect()}
+    assert got == {(1, ""), (1, c), (2, ""), (None, b)}
+    assert {(r.doc_id, r.text) for r in without_repeats(docs).collect()} == got
+    got = {(r.doc_id, r.kept) for r in substring_dedup(docs).collect()}
+    assert got == {(1, a), (1, c), (2, ""), (None, b)}
+
+
+def test_the_querys_own_judge_spills_and_recurses():
+    """One shard at production limits: pieces beyond the queue's budget and the base of the recursion."""
+    r = random.Random(4)
+    vocab = ["".join(r.choices("abcdefgh", k=r.randrange(2, 8))) for _ in range(400)]
+    shared = [" ".join(r.choices(vocab, k=60)) for _ in range(40)]
+    bodies = []
+    for i in range(2500):
+        text = " ".join(r.choices(vocab, k=60))
+        bodies.append((text[: r.randrange(150)] + r.choice(shared) + text)[:368].encode() if i % 5 == 0 else text.encode()[:368])
+    bodies = list(dict.fromkeys(bodies))
+    n = len(bodies)
+    batch = pa.table({
+        "shard": [7] * n, "h1": list(range(n)), "h2": [0] * n, "body": pa.array(bodies, pa.binary()), "doc_id": list(range(n)), "start": pa.array([0] * n, pa.int32()),
+        "n": [1] * n, "size": pa.array([len(b) - 199 for b in bodies], pa.int32())}).combine_chunks().to_batches()
+    spills, levels = suffix_sort.SpillQueue.spills, suffix_sort.induced[0]
+    got = {i: set() for i in range(n)}
+    for out in suffix_array_dedup_module._judge(200)(iter(batch)):
+        for x in out.to_pylist():
+            got[x["h1"]] |= set(range(x["from"], x["to"]))
+    seen = {}
+    for b in bodies:
+        for s in range(len(b) - 199):
+            seen[b[s : s + 200]] = seen.get(b[s : s + 200], 0) + 1
+    assert got == {i: {s for s in range(len(b) - 199) if seen[b[s : s + 200]] > 1} for i, b in enumerate(bodies)} and any(got.values())
+    assert suffix_sort.SpillQueue.spills > spills and suffix_sort.induced[0] > levels
 
 
 def test_long_rows_are_cut_in_parts(spark, monkeypatch):
@@ -109,14 +153,22 @@ def test_long_rows_are_cut_in_parts(spark, monkeypatch):
         assert parts[unit, 300] == parts[unit, 1 << 20]
 
 
-def test_suffix_array_spills_and_recurses():
+@pytest.mark.parametrize("block", [3, 1 << 18])
+def test_suffix_array_spills_and_recurses(monkeypatch, block):
+    monkeypatch.setattr(suffix_sort, "BLOCK", block)
     r = np.random.default_rng(1)
-    for _ in range(60):
-        text = np.append(r.integers(1, r.integers(2, 5), r.integers(1, 50)), 0).astype(np.int32)
+
+    def shared(a, b):
+        return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    for i in range(60):
+        unit = r.integers(1, r.integers(2, 5), r.integers(1, 50))
+        text = np.append(unit if i % 3 else np.tile(unit[:5], 12), 0).astype(np.int32)
         order = sorted(range(len(text)), key=lambda i: text[i:].tolist())
         for base, budget in ((1 << 22, 1 << 22), (2, 3)):
-            got = np.concatenate([p for p, _ in suffix_buckets(text, 100, base, budget)][::-1])
-            assert got.tolist() == order
+            out = list(suffix_buckets(text, 100, base, budget))[::-1]
+            assert np.concatenate([p for p, _ in out]).tolist() == order
+            assert np.concatenate([x for _, x in out]).tolist() == [0] + [shared(text[a:], text[b:]) for a, b in zip(order, order[1:])]
 
 
 def test_automaton_finds_first_ends():
