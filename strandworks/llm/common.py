@@ -20,8 +20,10 @@ _TABLE = np.random.default_rng(20260101).integers(1, 2**63, 256, dtype=np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share, spark.checkpoint.dir; without one only a local master has its own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return path or os.path.join(tempfile.gettempdir(), "checkpoints")
 
 

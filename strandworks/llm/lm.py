@@ -37,8 +37,8 @@ from .repeats import keyed
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
 #: Frequent items counted in every task (words and bigrams together), and the documents of the sample that names them.
 HEAD, SAMPLE_DOCS = 1 << 17, 20_000
-#: Text of a batch; items of a counting group.
-BATCH_BYTES, GROUP_ITEMS = 2 << 20, 1 << 20
+#: Text of a batch; items of a counting group at most; groups for each shuffle partition at least, so that all have their share.
+BATCH_BYTES, GROUP_ITEMS, GROUPS_EACH = 2 << 20, 1 << 20, 4
 ROUNDS, BINS = 60, 20
 
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -135,14 +135,14 @@ def _send(shared, n_groups):
                 at = _find(head, both)
                 total[: len(head)] += np.bincount(at[at >= 0], minlength=len(head))
                 total[-2:] += (int(train.sum()), int((folds != HELD_OUT).sum()))
-                count = np.bincount(np.searchsorted(tail, both[at < 0]), minlength=len(tail)).astype(np.uint32)
+                count = np.bincount(np.searchsorted(tail, both[at < 0]), minlength=len(tail)).astype(np.uint64)
                 # which tail items are tokens, so that their group can count distinct ones
-                is_token = np.zeros(len(tail), np.uint32)
+                is_token = np.zeros(len(tail), np.uint64)
                 is_token[np.searchsorted(tail, t[_find(head, t) < 0])] = 1
                 part = _groups(tail, n_groups)
                 cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))[: len(part)]
                 ends = np.append(cut[1:], len(part))
-                blobs = [tail[a:b].tobytes() + (count[a:b] * np.uint32(2) + is_token[a:b]).tobytes() for a, b in zip(cut, ends)]
+                blobs = [tail[a:b].tobytes() + (count[a:b] * np.uint64(2) + is_token[a:b]).tobytes() for a, b in zip(cut, ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([name] * len(cut), part[cut], blobs), types)], names)
         lane = TaskContext.get().partitionId() % LANES
         pieces = [total[i : i + CHUNK].tobytes() for i in range(0, len(total), CHUNK)]
@@ -153,8 +153,8 @@ def _send(shared, n_groups):
 
 
 def _unpack(blob):
-    n = len(blob) // 12
-    return np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.uint32, n, 8 * n)
+    n = len(blob) // 16
+    return np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.uint64, n, 8 * n)
 
 
 def _count(frame):
@@ -168,11 +168,12 @@ def _count(frame):
     got = [_unpack(b) for b in frame["items"]]
     items, back = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
     marks = np.concatenate([g[1] for g in got])
-    count = np.bincount(back, (marks >> np.uint32(1)).astype(np.float64), len(items)).astype(np.int64)
+    count = np.zeros(len(items), np.int64)
+    np.add.at(count, back, (marks >> np.uint64(1)).astype(np.int64))
     token = np.zeros(len(items), bool)
-    token[back[(marks & np.uint32(1)) > 0]] = True
+    token[back[(marks & np.uint64(1)) > 0]] = True
     ends = np.cumsum([len(g[0]) for g in got])
-    out = [np.minimum(c, 2**32 - 1).astype(np.uint32).tobytes() for c in np.split(count[back], ends[:-1])]
+    out = [c.tobytes() for c in np.split(count[back], ends[:-1])]
     distinct = int((token & (count > 0)).sum())
     return pd.DataFrame({"batch": [*frame["batch"], -1], "part": part, "counts": [*out, b""], "distinct": [0] * len(out) + [distinct]})
 
@@ -227,8 +228,8 @@ def _texts(batch):
 
 def _rows(batch):
     for (_, *row), found in zip(_texts(batch), batch.column(5).to_pylist()):
-        counts = [np.frombuffer(x["counts"], np.uint32) for x in sorted(found or (), key=lambda x: x["part"])]
-        yield *row, np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
+        counts = [np.frombuffer(x["counts"], np.int64) for x in sorted(found or (), key=lambda x: x["part"])]
+        yield *row, np.concatenate(counts) if counts else np.zeros(0, np.int64)
 
 
 def _tuning(shared):
@@ -302,7 +303,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     top = [counted.where(F.col("kind") == k).orderBy(F.desc("n"), "item").limit(HEAD // 2).select("item").toArrow().column(0).to_numpy() for k in (0, 1)]
     head = np.unique(np.concatenate(top).astype(np.int64).view(np.uint64))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_groups = max(8, math.ceil(size / 8 / GROUP_ITEMS))
+    n_groups = max(GROUPS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / 8 / GROUP_ITEMS))
     shared = spark.sparkContext.broadcast(head)
     texts, _ = stage(docs.mapInArrow(_batches, _BATCH), "batches")
     plain = ["batch", "ids", "folds", "offs", "text"]

@@ -6,7 +6,8 @@ space.  At most ``EXEMPLARS`` labelled rows (the least by hash of their id) are
 exemplars: this documented bound fixes the size of what is broadcast, EXEMPLARS x
 LATENT floats and the projection.  Every document is compared with every
 exemplar by exact blocked cosine products, and its ``NEIGHBOURS`` nearest vote
-for their labels, weighted by similarity.
+for their labels, weighted by similarity; of equally near exemplars the smaller
+ids vote.
 
 Results in edge cases
   * null, empty and blank texts have a zero vector, similar to nothing: their
@@ -73,7 +74,7 @@ def _vectors(batches):
     for batch in batches:
         data, offs = text_buffer(batch.column(1))
         x = features(data, offs).astype(np.float16)
-        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "vector"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "place", "vector"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: str = "quality", folds: int = FOLDS) -> dict:
@@ -85,10 +86,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     )
     chosen = usable.orderBy(F.md5(F.concat(F.lit(seed), text_id)), "doc_id", "label").limit(EXEMPLARS)
     rows = keyed(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "label", "text"])
-    got = rows.select("doc_id", "text", "label").mapInArrow(_vectors, "label double, vector binary").toArrow()
+    got = rows.select("doc_id", "text", "label", F.xxhash64("text").alias("place")).mapInArrow(_vectors, "doc_id long, label double, place long, vector binary").toArrow()
     y = got.column("label").to_numpy()
     x = np.frombuffer(b"".join(got.column("vector").to_pylist()), np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
-    order = np.lexsort((*x.T[:8], y))  # the same model whatever the order of the rows
+    order = np.lexsort((got.column("place").to_numpy(), y, got.column("doc_id").to_numpy()))  # the same model whatever the order of the rows
     x, y = x[order], y[order]
     if not len(y):
         return {"share": 0.5, "y": y}
@@ -114,9 +115,12 @@ def vote(model: dict, x: np.ndarray) -> np.ndarray:
         z = x[i : i + 512] @ model["projection"]
         norm = np.linalg.norm(z, axis=1, keepdims=True)
         cosine = (z / np.maximum(norm, 1e-9)) @ model["latent"].T
-        nearest = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, nearest, axis=1), 0).astype(np.float64) ** 4 + 1e-9
-        score = (weight * y[nearest]).sum(axis=1) / weight.sum(axis=1)
+        # the k nearest; of those equally near to the last one, the first exemplars
+        last = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+        nearer, level = cosine > last, cosine == last
+        chosen = nearer | (level & (np.cumsum(level, axis=1) <= k - nearer.sum(axis=1, keepdims=True)))
+        weight = np.where(chosen, np.maximum(cosine, 0).astype(np.float64) ** 4 + 1e-9, 0)
+        score = (weight @ y) / weight.sum(axis=1)
         out[i : i + 512] = np.where(norm[:, 0] < 1e-6, empty, score)
     return np.clip(out, 0, 1)
 

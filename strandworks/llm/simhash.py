@@ -1,15 +1,17 @@
 """SimHash near-dedup: 64-bit fingerprints, linked at ``RADIUS`` or fewer differing bits.
 
-Method: vantage-point trees over Hamming space.  Random 64-bit fingerprints lie
-about 32 bits apart, so a vantage point over all 64 bits prunes next to nothing
-at radius 4.  The shards are therefore made in subspaces: the bits form six
-blocks, and a pair within four bits agrees on two whole blocks, so in at least
-one of the 15 subspaces of two blocks its projected distance to any vantage
-point is equal and it falls in the same shard.  A shard of more than ``SPLIT``
-fingerprints is cut into rings by distance to a vantage point, ring borders
-overlapping by the radius; inside a shard a vantage-point tree prunes by the
-triangle bound and yields links that span each local group, not all pairs.
-Components come from star contraction over the links.
+Method: vantage-point trees over Hamming space.  Over all 64 bits random
+fingerprints lie 32 +- 4 bits apart and a border of width 4 would hold most of
+them, so the trees stand in three subspaces, thirds of the bits: of a pair within
+four bits at least one third differs in one bit at most.  In each subspace a tree
+of shared vantage points halves the fingerprints by distance, level by level,
+until a shard holds about ``LEAF``; a point whose distance equals a level's radius
+lies on the border and goes to both sides (triangle bound: a partner on the far
+side is at most one bit further), so each pair meets in a shard.  Inside a shard a
+vantage-point tree over all bits prunes by the triangle bound and yields links
+that span each local group, not all pairs.  A shard that stays above ``TILE``
+(near copies that no vantage point parts) is cut in blocks, and each pair of
+blocks is one task's work.  Components come from star contraction over the links.
 
 Results in edge cases
   * null, empty and blank texts have fingerprint zero and link like any other.
@@ -20,7 +22,7 @@ Results in edge cases
 
 from __future__ import annotations
 
-from itertools import accumulate, combinations
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import release, stage, text_buffer
-from .repeats import keyed
+from .repeats import FEW, keyed
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
-BLOCKS = (11, 11, 11, 11, 10, 10)
-#: Shards above this many fingerprints are cut into rings of distance; groups above SMALL use the tree.
-SPLIT, SMALL, RING = 20_000, 16, 8
+#: Widths of the subspaces, and the distance in one of them that a pair within RADIUS cannot exceed in all.
+THIRDS = (22, 21, 21)
+NEAR = RADIUS // len(THIRDS)
+#: Fingerprints of a shard to aim at; above TILE a shard is cut in blocks.
+LEAF, TILE = 2048, 16_384
+#: Fingerprints from which the radii of the vantage points are taken (balance only), and salts of hot components.
+SAMPLE, SALTS = 50_000, 16
 
 
 def fingerprint(body: bytes, shingle: int = SHINGLE, seed: int = SEED) -> bytes:
@@ -133,58 +139,120 @@ def tree_links(points: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _shard_links(batches):
-    """Batches hold whole shards in order (shard ids may span batches)."""
-    held_shard, held_fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def links(shard, fp):
-        u = fp.view(np.uint64)
-        begin = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else np.zeros(0, int)
-        size = np.diff(np.append(begin, len(shard)))
-        of = np.repeat(size, size)
-        left, right = [], []
-        for j in range(1, min(SMALL, int(size.max(initial=1)))):
-            m = np.flatnonzero((shard[j:] == shard[:-j]) & (of[j:] <= SMALL))
-            m = m[_near(u[m], u[m + j])]
-            left.append(fp[m]), right.append(fp[m + j])
-        for b, n in zip(begin[size > SMALL], size[size > SMALL]):
-            pairs = np.array(tree_links(fp[b : b + n]), np.int64).reshape(-1, 2) + b
-            left.append(fp[pairs[:, 0]]), right.append(fp[pairs[:, 1]])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+    """Links of whole tiles (shard, pair of blocks), in order; the two blocks of a tile are compared with each other only."""
+
+    def links(shard, pair, block, fp):
+        begin = np.flatnonzero(np.concatenate(([True], (shard[1:] != shard[:-1]) | (pair[1:] != pair[:-1]))))
+        out = []
+        for i, j in zip(begin, [*begin[1:], len(shard)]):
+            if j - i < 2:
+                continue
+            g = _Groups(fp[i:j].view(np.uint64))
+            first, rest = np.flatnonzero(block[i:j] == block[i]), np.flatnonzero(block[i:j] != block[i])
+            g.cross(first, rest if len(rest) else first)
+            out.append(fp[i:j][np.array(g.links, np.int64).reshape(-1, 2)])
+        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
+    held = []  # parts of the last tile, which may go on in the next batch
     for batch in batches:
-        shard = np.concatenate((held_shard, batch.column(0).to_numpy()))
-        fp = np.concatenate((held_fp, batch.column(1).to_numpy()))
-        cut = int(np.searchsorted(shard, shard[-1])) if len(shard) else 0
+        if not batch.num_rows:
+            continue
+        now = [batch.column(i).to_numpy() for i in range(4)]
+        if held and (now[0][0] != held[-1][0][-1] or now[1][0] != held[-1][1][-1]):
+            yield links(*[np.concatenate(c) for c in zip(*held)])
+            held = []
+        last = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
+        cut = int(last[-1]) + 1 if len(last) else 0
         if cut:
-            yield links(shard[:cut], fp[:cut])
-        held_shard, held_fp = shard[cut:], fp[cut:]
-    if len(held_shard):
-        yield links(held_shard, held_fp)
+            yield links(*[np.concatenate(c) for c in zip(*held, [c[:cut] for c in now])])
+            held = []
+        held.append([c[cut:] for c in now])
+    if held:
+        yield links(*[np.concatenate(c) for c in zip(*held)])
 
 
-def _subspaces():
-    """Masks of the fifteen pairs of blocks, as signed 64-bit numbers."""
+def subspaces() -> list[int]:
+    """Masks of the thirds of the 64 bits."""
     at, masks = 0, []
-    for width in BLOCKS:
+    for width in THIRDS:
         masks.append(((1 << width) - 1) << at)
         at += width
-    return [m - (1 << 64) if (m := a | b) >> 63 else m for a, b in combinations(masks, 2)]
+    return masks
+
+
+def vantage_points(points: DataFrame, levels: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each subspace the vantage points of its levels and their radii, the median distance of a bounded sample.
+
+    The sample is the ``SAMPLE`` least fingerprints by hash; it sets the balance of the halves, not what is found.
+    """
+    sample = points.select("fp").orderBy(F.xxhash64(F.lit("vantage"), "fp"), "fp").limit(SAMPLE).toArrow().column(0).to_numpy().view(np.uint64)
+    trees = []
+    for mask, width in zip(subspaces(), THIRDS):
+        own = sample & np.uint64(mask)
+        # points half the width apart part the fingerprints independently of each other
+        candidates, chosen = np.unique(own[:1024]), own[:1]
+        while len(chosen) < levels:
+            skew = np.abs(2 * np.bitwise_count(candidates[:, None] ^ chosen[None, :]).astype(int) - width)
+            chosen = np.append(chosen, candidates[int((skew**2).sum(axis=1).argmin())])
+        chosen = chosen[:levels]
+        radii = []
+        for c in chosen:
+            d = np.bitwise_count(own ^ c).astype(int)
+            m = int(np.median(d))
+            radii.append(m if (d <= m).mean() + (d < m).mean() <= 1 else m - 1)
+        trees.append((chosen, np.array(radii, int)))
+    return trees
+
+
+def tree_shards(fp: np.ndarray, mask: int, tree: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Index of each fingerprint and its shard in one subspace; those on a border have several."""
+    own, at, leaf = fp & np.uint64(mask), np.arange(len(fp)), np.zeros(len(fp), np.int64)
+    for vantage, radius in zip(*tree):
+        d = np.bitwise_count(own ^ vantage).astype(int)[at]
+        border = np.flatnonzero((d <= radius) & (d > radius - NEAR))
+        leaf = np.concatenate((leaf * 2 + (d > radius), leaf[border] * 2 + 1))
+        at = np.concatenate((at, at[border]))
+    return at, leaf
+
+
+def _placed(trees):
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1 << 14):
+                fp = batch.column(0).slice(i, 1 << 14).to_numpy()
+                for space, (mask, tree) in enumerate(zip(subspaces(), trees)):
+                    at, leaf = tree_shards(fp.view(np.uint64), mask, tree)
+                    yield pa.RecordBatch.from_arrays([pa.array(leaf * len(THIRDS) + space), pa.array(fp[at])], ["shard", "fp"])
+
+    return run
 
 
 def fingerprint_links(points: DataFrame) -> DataFrame:
     """Links (a, b) that span the groups of the distinct fingerprints in column fp."""
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(_subspaces())])
-    exploded = points.select("fp", F.explode(keys).alias("shard"))
-    # a shard's vantage point is its least fingerprint; only shards of two or more matter
-    sizes = exploded.groupBy("shard").agg(F.count("*").alias("n"), F.min("fp").alias("vantage")).where("n > 1")
-    at = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage"))).cast("int")
-    ring = F.floor(at / RING).cast("int")
-    rings = F.when(at % RING >= RING - RADIUS, F.array(ring, ring + 1)).otherwise(F.array(ring))
-    placed = exploded.join(sizes, "shard").select("fp", "shard", F.explode(F.when(F.col("n") > SPLIT, rings).otherwise(F.array(F.lit(-1)))).alias("ring"))
-    shards = placed.select(F.when(F.col("ring") < 0, F.col("shard")).otherwise(F.xxhash64("shard", "ring")).alias("shard"), "fp")
-    return shards.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(_shard_links, "a long, b long").distinct()
+    n = points.count()
+    if not n:
+        return points.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    trees = vantage_points(points, max(0, int(n / LEAF).bit_length()))
+    placed = points.select("fp").mapInArrow(_placed(trees), "shard long, fp long")
+    large = placed.groupBy("shard").count().where(F.col("count") > TILE).select("shard", F.ceil(F.col("count") / (TILE // 2)).cast("int").alias("blocks"))
+    large, _ = stage(large, "large")
+    usual = F.broadcast(large) if large.count() <= FEW else large
+    dealt = placed.join(usual, "shard", "left").withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("blocks"))).cast("int"))
+    others = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    tiles = dealt.select("shard", "fp", "block", F.explode(others).alias("other"))
+    pair = F.least("block", "other").cast("long") * (1 << 31) + F.greatest("block", "other")
+    tiles = tiles.select("shard", pair.alias("pair"), F.col("block").cast("long").alias("block"), "fp")
+    return tiles.repartition("shard", "pair").sortWithinPartitions("shard", "pair", "block").mapInArrow(_shard_links, "a long, b long").distinct()
+
+
+def by_key(rows: DataFrame, few: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """``rows`` beside the one row of ``few`` with their key.  ``few`` is repeated for SALTS salts and ``rows`` are dealt over
+    them by ``spread``, so the rows of one hot key (the centre of a star, the root of a large component) are many tasks' work."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [key, "_salt"], how).drop("_salt")
 
 
 def components(links: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -195,9 +263,9 @@ def components(links: DataFrame) -> tuple[DataFrame, list[str]]:
     while True:
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = by_key(both.where("v > u"), low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
+        small = by_key(large, low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
         new, at = stage(small, "stars")
         now = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         release(spark, path)
@@ -207,15 +275,22 @@ def components(links: DataFrame) -> tuple[DataFrame, list[str]]:
         before = now
 
 
+def component_ids(points: DataFrame, roots: DataFrame) -> DataFrame:
+    """fp, root and component_id (the least id) of the component of every point (fp, least).  Points without a link are their own."""
+    linked = roots.union(roots.select("root", "root")).distinct().toDF("fp", "root")
+    named = points.join(linked, "fp", "left")
+    groups = named.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component_id"))
+    own = by_key(named.where("root IS NOT NULL"), groups, "root", "fp").select("fp", "root", "component_id")
+    return own.union(named.where("root IS NULL").select("fp", "fp", "least"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fp (signed 64-bit), component_id (least doc_id reachable over links)."""
     prints, _ = stage(fingerprints(docs, id_col, text_col), "prints")
-    points = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots, _ = components(fingerprint_links(points))
-    # keep the left side's partitioning: points without a link are their own root
-    named = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = named.join(groups, "root").select("fp", "component_id")
+    points, at = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
+    roots, paths = components(fingerprint_links(points))
+    ids, _ = stage(component_ids(points, roots), "components")
+    release(docs.sparkSession, at, *paths)
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -1,11 +1,16 @@
 """Exact top-k inner products by columnar branch and bound.
 
-Method: candidates are packed into chunks stored dimension by dimension.  For
-each query the scores of a chunk grow one block of dimensions at a time; after
-each block, candidates whose score plus the largest product the remaining mass
-allows (Cauchy-Schwarz on the norms of the rest) lies below the k-th best known
-score are compacted away.  Every block of queries meets every chunk; blocks have
-a fixed size, travel by an equi-join and are spread over tasks by a salt.
+Method: candidates are packed into chunks stored dimension by dimension.  The
+scores of a block of queries against a chunk grow one block of dimensions at a
+time; after each, the pairs whose score plus the largest product the remaining
+mass allows (Cauchy-Schwarz on the norms of the rest) lies below the query's floor
+are compacted away.  The floor is the k-th best score the query has met so far.
+
+Queries and candidates meet in a grid: query blocks of a fixed size times groups
+of chunks.  A cell is one task's work: its query block comes first, then the
+chunks of its group one by one, and floors are carried from chunk to chunk.  With
+few queries the grid has many groups and it is the query blocks that are repeated;
+chunks are repeated once per ``QUERY_BLOCK`` queries only.
 
 Results in edge cases
   * components become floor(scale * x), saturated to 64 bits; a vector that is
@@ -21,86 +26,142 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import stage
+
 TOP, SCALE, EVERY = 5, 256, 50
-#: Queries in a block, candidates in a chunk, dimensions in a block, copies of a query block.
-QUERY_BLOCK, CHUNK, DIMENSIONS, SPREAD = 1024, 2048, 16, 32
+#: Queries of a block, candidates of a chunk, dimensions of a block, queries scored at once.
+QUERY_BLOCK, CHUNK, DIMENSIONS, AT_ONCE = 8192, 2048, 16, 64
+#: Cells of the grid to aim at while there are chunks for them, bytes of chunks a cell reads at most, and partitions at most.
+CELLS, CELL_BYTES, PARTS = 128, 64 << 20, 10_000
 _EXACT = float(2**53)
+_PACKED = "place int, ids binary, columns binary"
+
+
+def _pack(size, stride):
+    """Chunks of at most ``size`` rows: a place, ids, and the components by dimension (int64, dimension-major, compressed)."""
+
+    def run(batches):
+        task, i, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                vectors = part.column(1)
+                width = np.diff(vectors.offsets.to_numpy())
+                m = np.zeros((int(width.max(initial=0)), len(vectors)), np.int64)
+                row = np.repeat(np.arange(len(vectors)), width)
+                m[np.arange(len(row)) - np.repeat(np.cumsum(width) - width, width), row] = vectors.flatten().to_numpy()
+                ids = part.column(0).to_numpy().astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([task + i * stride], pa.int32()), pa.array([ids.tobytes()]), pa.array([pack.compress(m.tobytes())])], ["place", "ids", "columns"])
+                i += 1
+
+    return run
 
 
-def _pack(batches):
-    """Chunks: ids, and the components by dimension (int64, dimension-major)."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, CHUNK):
-            part = batch.slice(i, CHUNK)
-            vectors = part.column(1).to_pylist()
-            width = max(map(len, vectors), default=0)
-            m = np.zeros((width, len(vectors)), np.int64)
-            for j, v in enumerate(vectors):
-                m[: len(v), j] = v
-            ids = part.column(0).to_numpy(zero_copy_only=False)
-            key = int(ids.astype(np.uint64).sum(dtype=np.uint64) & np.uint64(2**62 - 1))
-            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([ids.astype(np.int64).tobytes()]), pa.array([m.tobytes()])], ["key", "ids", "columns"])
-
-
-def _order(scores, ids, k):
-    """Indexes of the k best, ties to the smaller id."""
-    return np.lexsort((ids, -scores))[:k]
-
-
-def search_chunk(query_ids, queries, ids, columns, k):
-    """The k best candidates of a chunk for every query: lists of query, id and score.
-
-    queries: (q, d), columns: (d, n), integers.
-    """
-    d = max(queries.shape[1], columns.shape[0])
-    q = np.zeros((len(queries), d), np.float64)
-    c = np.zeros((d, columns.shape[1]), np.float64)
-    q[:, : queries.shape[1]], c[: columns.shape[0]] = queries, columns
-    out = ([], [], [])
-    largest = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * d
-    if not d or largest >= _EXACT:  # floats would round: exact Python integers, no bounds
+class Best:
+    """The k best candidates each query of a block has met so far; ties to the smaller id."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        """vectors: (queries, dimensions) integers."""
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.top_ids, self.top = np.zeros((len(ids), k), np.int64), np.zeros((len(ids), k), np.int64)
+        self.have = np.zeros(len(ids), np.int64)
+
+    def floors(self) -> np.ndarray:
+        """Score that a candidate must reach to be among the best."""
+        return np.where(self.have == self.k, self.top[:, -1].astype(np.float64), -np.inf)
+
+    def add(self, row: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Candidates of one more chunk: row of the query, id, score."""
+        r, c = np.nonzero(np.arange(self.k) < self.have[:, None])
+        row, ids, scores = np.concatenate((r, row)), np.concatenate((self.top_ids[r, c], ids)), np.concatenate((self.top[r, c], scores))
+        order = np.lexsort((ids, ~scores, row))
+        row, ids, scores = row[order], ids[order], scores[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        best = place < self.k
+        row, place = row[best], place[best]
+        self.top_ids[row, place], self.top[row, place] = ids[best], scores[best]
+        self.have = np.bincount(row, minlength=len(self.ids))
+
+    def table(self) -> pa.RecordBatch:
+        r, c = np.nonzero(np.arange(self.k) < self.have[:, None])
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[r]), pa.array(self.top_ids[r, c]), pa.array(self.top[r, c])], ["query_id", "vec_id", "score"])
+
+
+def search_chunk(best: Best, ids: np.ndarray, columns: np.ndarray) -> None:
+    """Meet the candidates of one chunk; columns: (dimensions, candidates) integers."""
+    d, k = max(best.vectors.shape[1], columns.shape[0]), best.k
+    q, c = np.zeros((len(best.ids), d)), np.zeros((d, len(ids)))
+    q[:, : best.vectors.shape[1]], c[: columns.shape[0]] = best.vectors, columns
+    if not d or np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * d >= _EXACT:  # floats would round: exact Python integers, no bounds
         qi, ci = np.zeros((len(q), max(d, 1)), object), np.zeros((max(d, 1), len(ids)), object)
-        qi[:, : queries.shape[1]], ci[: columns.shape[0]] = queries.astype(object), columns.astype(object)
-        for a, row in zip(query_ids.tolist(), qi):
-            keep = np.flatnonzero(ids != a)
-            s = [min(max(int(x), -(2**63)), 2**63 - 1) for x in row.dot(ci[:, keep])]
-            for j in sorted(range(len(keep)), key=lambda j: (-s[j], ids[keep[j]]))[:k]:
-                out[0].append(a), out[1].append(int(ids[keep[j]])), out[2].append(s[j])
-        return out
+        qi[:, : best.vectors.shape[1]], ci[: columns.shape[0]] = best.vectors.astype(object), columns.astype(object)
+        for i, own in enumerate(best.ids):
+            keep = np.flatnonzero(ids != own)
+            scores = np.array([min(max(int(x), -(2**63)), 2**63 - 1) for x in qi[i].dot(ci[:, keep])], np.int64)
+            best.add(np.full(len(keep), i), ids[keep], scores)
+        return
     by_mass = np.argsort(-(c * c).sum(axis=1), kind="stable")  # heavy dimensions first
     q, c = q[:, by_mass], np.ascontiguousarray(c[by_mass])
-    cuts = list(range(0, d, DIMENSIONS)) + [d]
-    rest = lambda m, axis: [np.sqrt((m[b:] ** 2).sum(axis=0) if axis else (m[:, b:] ** 2).sum(axis=1)) for b in cuts[1:]]
-    c_rest, q_rest = rest(c, True), rest(q, False)
-    first = q[:, : cuts[1]] @ c[: cuts[1]]
-    for i, a in enumerate(query_ids.tolist()):
-        live = np.flatnonzero(ids != a)
-        part = first[i, live]
-        floor = -np.inf
-        if len(live) > k:  # exact scores of a few promising candidates give the first floor
-            seed = live[np.argpartition(-part, min(4 * k, len(part) - 1))[: 4 * k]]
-            floor = np.sort(q[i] @ c[:, seed])[-k]
-        for b in range(1, len(cuts)):
-            bound = part + q_rest[b - 1][i] * c_rest[b - 1][live]
-            stay = bound * (1 + 1e-12 * np.sign(bound)) + 0.5 >= floor
-            live, part = live[stay], part[stay]
-            if b + 1 < len(cuts):
-                part = part + q[i, cuts[b] : cuts[b + 1]] @ c[cuts[b] : cuts[b + 1], live]
-        best = _order(part, ids[live], k)
-        out[0].extend([a] * len(best)), out[1].extend(ids[live[best]].tolist()), out[2].extend(part[best].astype(np.int64).tolist())
-    return out
+    cuts = [*range(0, d, DIMENSIONS), d]
+    c_rest = [np.sqrt((c[b:] ** 2).sum(axis=0)) for b in cuts[1:]]
+    q_rest = [np.sqrt((q[:, b:] ** 2).sum(axis=1)) for b in cuts[1:]]
+    floors, met = best.floors(), []
+
+    def reach(score, rest):
+        """The most a score can become, with room for rounding."""
+        bound = score + rest
+        return bound + 1e-12 * np.abs(bound) + 0.5
+
+    for i in range(0, len(q), AT_ONCE):
+        block, foreign = q[i : i + AT_ONCE], best.ids[i : i + AT_ONCE, None] != ids[None, :]
+        part, floor = block[:, : cuts[1]] @ c[: cuts[1]], floors[i : i + AT_ONCE].copy()
+        new = np.flatnonzero(np.isinf(floor))
+        if len(new) and len(ids) > 4 * k:  # exact scores of a few promising candidates give the first floor
+            seeds = np.argpartition(-part[new], 4 * k - 1, axis=1)[:, : 4 * k]
+            exact = np.einsum("qd,dqm->qm", block[new], c[:, seeds])
+            exact[~np.take_along_axis(foreign[new], seeds, axis=1)] = -np.inf
+            floor[new] = np.sort(exact, axis=1)[:, -k]
+        stay = foreign & (reach(part, q_rest[0][i : i + AT_ONCE, None] * c_rest[0]) >= floor[:, None])
+        b = 1
+        while b + 1 < len(cuts) and stay.mean() > 0.25:  # too many to gather: whole columns
+            part += block[:, cuts[b] : cuts[b + 1]] @ c[cuts[b] : cuts[b + 1]]
+            stay &= reach(part, q_rest[b][i : i + AT_ONCE, None] * c_rest[b]) >= floor[:, None]
+            b += 1
+        row, at = np.nonzero(stay)
+        score = part[row, at]
+        while b + 1 < len(cuts):  # the surviving pairs only
+            score = score + np.einsum("nd,dn->n", block[row, cuts[b] : cuts[b + 1]], c[cuts[b] : cuts[b + 1], at])
+            on = reach(score, q_rest[b][i + row] * c_rest[b][at]) >= floor[row]
+            row, at, score = row[on], at[on], score[on]
+            b += 1
+        met.append((i + row, ids[at], score.astype(np.int64)))
+    best.add(*(np.concatenate(x) for x in zip(*met)))
 
 
 def _search(k):
+    """Cells in order, the query block of each before its chunks."""
+
+    def integers(columns, n):
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(columns), np.int64).reshape(-1, n)
+
     def run(batches):
+        best = None
         for batch in batches:
-            for qids, qs, ids, cols in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                query_ids, ids = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
-                queries = np.frombuffer(qs, np.int64).reshape(-1, len(query_ids)).T
-                found = search_chunk(query_ids, queries, ids, np.frombuffer(cols, np.int64).reshape(-1, len(ids)), k)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["query_id", "vec_id", "score"])
+            for is_chunk, ids, columns in zip(*(batch.column(i) for i in range(1, 4))):
+                ids = np.frombuffer(ids.as_buffer(), np.int64)
+                m = integers(columns.as_buffer(), len(ids))
+                if is_chunk.as_py():
+                    search_chunk(best, ids, m)
+                    continue
+                if best:
+                    yield best.table()
+                best = Best(ids, m.T, k)
+        if best:
+            yield best.table()
 
     return run
 
@@ -117,17 +178,19 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     """query_id, rank, vec_id, score of the k best candidates of every query; ``is_query`` tests vec_id."""
     rows = quantised(vectors, id_col, vector_col, scale)
     queries = rows.where(is_query).groupBy("vec_id").agg(F.min("q").alias("q"))
-    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    packed = (
-        queries.repartition(n_blocks, F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))).mapInArrow(_pack, "key long, ids binary, columns binary")
-        .select(F.monotonically_increasing_id().alias("block"), F.col("ids").alias("query_ids"), F.col("columns").alias("queries"))
-    )
-    # a block is named by its place, and both sides are dealt by block and salt
-    blocks = packed.groupBy().agg(F.sort_array(F.collect_list("block")).alias("blocks"))
-    chunks = rows.mapInArrow(_pack, "key long, ids binary, columns binary").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SPREAD)))
-    spread = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).withColumn("salt", F.col("salt").cast("long"))
-    wanted = chunks.join(F.broadcast(blocks)).withColumn("block", F.explode("blocks")).drop("blocks", "key")
-    pairs = wanted.join(spread, ["block", "salt"]).select("query_ids", "queries", "ids", "columns")
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    dealt = queries.repartitionById(n, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
+    blocks, _ = stage(dealt.mapInArrow(_pack(QUERY_BLOCK, n), _PACKED), "queries")
+    chunks, _ = stage(rows.mapInArrow(_pack(CHUNK, 1009), _PACKED), "chunks")
+    n_blocks = (blocks.agg(F.max("place")).first()[0] or 0) + 1
+    n_chunks, size = chunks.agg(F.count("*"), F.sum(F.length("columns"))).first()
+    groups = max(1, min(n_chunks, max(-(-CELLS // n_blocks), -(-(size or 0) // CELL_BYTES))))
+    group = F.pmod("place", F.lit(groups))
+    cells = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.col("place").alias("block"), F.lit(False).alias("is_chunk"), "ids", "columns").unionByName(
+        chunks.select(group.alias("group"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(True).alias("is_chunk"), "ids", "columns"))
+    cells = cells.select((F.col("block").cast("long") * groups + F.col("group")).alias("cell"), "is_chunk", "ids", "columns")
+    parts = min(n_blocks * groups, PARTS)
+    pairs = cells.repartitionById(parts, F.pmod("cell", F.lit(parts)).cast("int")).sortWithinPartitions("cell", "is_chunk")
     found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

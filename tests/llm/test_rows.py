@@ -179,6 +179,65 @@ def test_quality_classifier_separates_held_out_rows(spark):
     assert ((held.score >= 0.5) == (held.index < 150)).mean() > 0.98 and out.score.between(0, 1).all() and (out.predicted == (out.score >= 0.3)).all()
 
 
+def brute_features(text):
+    """One text's vector, symbol by symbol."""
+    b, x = (text or "").encode(), np.zeros(quality.DIMENSIONS, np.float32)
+    pairs = Counter((a * 257 + c) * 2654435761 % 2**64 // 128 % 1024 for a, c in zip(b, b[1:]))
+    hashes, _ = quality.words(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
+    bag = Counter(int(h) // 2**20 % 992 for h in hashes)
+    for p, n in pairs.items():
+        x[p] = math.log1p(n)
+    for p, n in bag.items():
+        x[1024 + p] = math.log1p(n)
+    if len(hashes):
+        weight = math.sqrt(float((x.astype(np.float64) ** 2).sum())) / 4
+        again = len(hashes) - len(set(hashes.tolist()))
+        follow = sum(a == c for a, c in zip(hashes.tolist(), hashes.tolist()[1:]))
+        x[2016 + min(int(32 * again / len(hashes)) // 2, 15)] = weight
+        x[2032 + min(int(64 * follow / len(hashes)) // 2, 15)] += weight
+    return x
+
+
+def test_quality_against_brute_force(spark):
+    """Vectors, latent space, cosine and vote, one document and one exemplar at a time; repeated exemplars are ties."""
+    vocab = [f"w{i}" for i in range(60)] + ["The", "été", "!!"]
+    texts = [" ".join(R.choice(vocab, R.integers(1, 60))) for _ in range(90)] + [None, "", "a a a a"]
+    texts += texts[:30] + [" ".join(R.choice(vocab, 30_000))]
+    marks = {i: int(R.integers(0, 2)) for i in range(len(texts))}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r.score for r in quality.classify(docs, spark.createDataFrame(list(marks.items()), "doc_id long, quality int")).collect()}
+    known = [i for i in sorted(marks) if zlib.crc32(str(i).encode()) % 5]
+    x = np.array([brute_features(texts[i]) for i in known]).astype(np.float16).astype(np.float32)
+    y = [marks[i] for i in known]
+    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
+    unit = x * idf
+    unit /= np.maximum(np.sqrt((unit**2).sum(axis=1, keepdims=True)), 1e-9)
+    _, vectors = np.linalg.eigh((unit.T @ unit).astype(np.float64))
+    basis = vectors[:, ::-1][:, : quality.LATENT]
+    stars = [v @ basis for v in unit.astype(np.float64)]
+    for i, t in enumerate(texts):
+        z = (brute_features(t).astype(np.float64) * idf) @ basis
+        size = math.sqrt(float(z @ z))
+        if size < 1e-6:
+            empty = [m for s, m in zip(stars, y) if math.sqrt(float(s @ s)) < 1e-6]
+            assert abs(out[i] - sum(empty or y) / len(empty or y)) < 1e-6
+            continue
+        cosine = [float(z @ s) / size / max(math.sqrt(float(s @ s)), 1e-9) for s in stars]
+        order = sorted(range(len(known)), key=lambda j: (-round(cosine[j], 5), j))[: quality.NEIGHBOURS]
+        edge = sorted((round(c, 5) for c in cosine), reverse=True)
+        weight = [max(cosine[j], 0) ** 4 + 1e-9 for j in order]
+        want = sum(w * y[j] for w, j in zip(weight, order)) / sum(weight)
+        room = 2e-3 if edge[quality.NEIGHBOURS - 1] - edge[quality.NEIGHBOURS] > 2e-5 else 0.08  # single precision may swap two at the border
+        assert abs(out[i] - want) < room, (i, out[i], want)
+
+
+def test_ties_go_to_the_smaller_exemplar():
+    x = np.eye(4, dtype=np.float32)[[0] * 40]
+    y = np.array([1.0] * 25 + [0.0] * 15)
+    model = {"projection": np.eye(4, dtype=np.float32), "latent": x, "empty": np.zeros(40, bool), "y": y, "share": 0.5}
+    assert quality.vote(model, x[:3]).tolist() == [1.0] * 3
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(None, "a b", 1, "x"), (1, "a b", 1, "x"), (1, "a b", 1, "x")], "doc_id long, text string, label int, vector string")
     none = spark.createDataFrame([(1, None), (None, 1), (2, 7)], "doc_id long, quality int")

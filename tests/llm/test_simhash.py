@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pandas as pd
+import pytest
 import xxhash
 
 from strandworks.llm import simhash
@@ -58,8 +60,11 @@ def test_against_brute_force(spark):
     assert got == sorted((d, f"{p:016x}", least[c]) for (d, _), p, c in zip(rows, prints, root))
 
 
-def test_rings_and_trees(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SPLIT", 30)
+@pytest.mark.parametrize(("leaf", "tile"), [(8, 1 << 14), (8, 40), (1 << 14, 64)])
+def test_trees_and_tiles(spark, monkeypatch, leaf, tile):
+    """Vantage-point shards of a few points, shards cut in blocks, and both."""
+    monkeypatch.setattr(simhash, "LEAF", leaf)
+    monkeypatch.setattr(simhash, "TILE", tile)
     r = np.random.default_rng(3)
     base = r.integers(0, 2**63, 6, dtype=np.uint64)
     points = set(base.tolist())
@@ -101,6 +106,39 @@ def test_rings_and_trees(spark, monkeypatch):
     assert groups([(a & mask, b & mask) for a, b in simhash.fingerprint_links(df).collect()]) == want
 
 
+def test_the_tree_decides_and_every_close_pair_meets(spark):
+    """At production limits: many shards, and each pair within the radius is in one of them."""
+    r = np.random.default_rng(8)
+    base = r.integers(0, 2**63, 30_000, dtype=np.uint64)
+    near = base[:4000].copy()
+    for _ in range(4):
+        near ^= np.uint64(1) << r.integers(0, 64, len(near), dtype=np.uint64)
+    points = np.unique(np.concatenate((base, near)))
+    df = spark.createDataFrame(pd.DataFrame({"fp": points.view(np.int64)}))
+    trees = simhash.vantage_points(df, int(len(points) / simhash.LEAF).bit_length())
+    met = np.zeros(4000, bool)
+    for mask, tree in zip(simhash.subspaces(), trees):
+        assert len(tree[0]) == 5
+        at, leaf = simhash.tree_shards(base[:4000], mask, tree)
+        at2, leaf2 = simhash.tree_shards(near, mask, tree)
+        met[np.array(sorted(set(zip(at.tolist(), leaf.tolist())) & set(zip(at2.tolist(), leaf2.tolist()))), int).reshape(-1, 2)[:, 0]] = True
+        _, every = simhash.tree_shards(points, mask, tree)
+        assert len(np.unique(every)) == 32 and np.bincount(every).max() < len(points) / 4 and len(every) < 3 * len(points)
+    assert met.all()
+    close = {(int(min(a, b)), int(max(a, b))) for a, b in zip(base[:4000].view(np.int64), near.view(np.int64)) if a != b}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in simhash.fingerprint_links(df.repartition(4)).collect():
+        assert bin((a ^ b) & ((1 << 64) - 1)).count("1") <= 4
+        root[find(a)] = find(b)
+    assert all(find(a) == find(b) for a, b in close)
+
+
 def test_edges(spark):
     schema = "doc_id long, text string, fp long, node int, root int, a int, m int"
     assert simhash_groups(spark.createDataFrame([], schema)).count() == 0
