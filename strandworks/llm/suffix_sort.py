@@ -77,35 +77,43 @@ def prefix_doubling(text: np.ndarray) -> np.ndarray:
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     tied, width = order[~(head & np.concatenate((head[1:], [True])))], 1
     while len(tied):
-        second = rank[np.minimum(tied + width, n)]
-        o = np.lexsort((second, rank[tied]))
-        tied, second = tied[o], second[o]
-        first = rank[tied]
-        group = np.concatenate(([True], first[1:] != first[:-1]))
-        head = group | np.concatenate(([True], second[1:] != second[:-1]))
-        i = np.arange(len(tied))
-        new = first + np.maximum.accumulate(np.where(head, i, 0)) - np.maximum.accumulate(np.where(group, i, 0))
-        rank[tied] = new
-        tied, width = tied[~(head & np.concatenate((head[1:], [True])))], width * 2
+        tied, width = _refined(tied, rank, rank[np.minimum(tied + width, n)] + 1), width * 2
     out = np.empty(n, np.int64)
     out[rank[:n]] = np.arange(n)
     return out
 
 
+def _packed(text: np.ndarray, bits: int, per: int) -> np.ndarray:
+    """The ``per`` symbols from each position in one number, in a scratch file; 0 behind the end."""
+    n = len(text)
+    out = scratch(n + 1, np.uint64)
+    for i in range(0, n, BLOCK):
+        t = np.concatenate((text[i : i + BLOCK + per].astype(np.uint64), np.zeros(per, np.uint64)))
+        m = min(BLOCK, n - i)
+        word = np.zeros(m, np.uint64)
+        for k in range(per):
+            word = (word << np.uint64(bits)) | t[k : k + m]
+        out[i : i + m] = word
+    return out
+
+
 def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefix of the suffixes at a and b, exact below ``cap``, else at least ``cap``."""
-    n, out = len(text), np.zeros(len(a), np.int32)
+    """Common prefix of the suffixes at a and b (a != b), exact below ``cap``, else at least ``cap``."""
+    n, bits = len(text), max(1, int(text.max()).bit_length())
+    per = 63 // bits
+    packed, out = _packed(text, bits, per), np.zeros(len(a), np.int32)
     for i in range(0, len(a), BLOCK):
-        live, off, step = np.arange(i, min(i + BLOCK, len(a))), 0, 8
+        live, off = np.arange(i, min(i + BLOCK, len(a))), 0
         while len(live) and off < cap:
-            # neighbours that differ soon are many and those that share much few: the steps grow
-            k = np.arange(off, off + step)
-            x, y = np.minimum(a[live, None] + k, n - 1), np.minimum(b[live, None] + k, n - 1)
-            differ = (text[x] != text[y]) | (a[live, None] + k >= n) | (b[live, None] + k >= n)
-            stop = differ.any(axis=1)
-            out[live[stop]] = off + differ[stop].argmax(axis=1)
-            out[live[~stop]] = off + step
-            live, off, step = live[~stop], off + step, 32
+            x, y = packed[np.minimum(a[live] + off, n)], packed[np.minimum(b[live] + off, n)]
+            differ = x != y
+            stop, word = live[differ], x[differ] ^ y[differ]
+            shared = np.zeros(len(stop), np.int32)  # leading symbols without a differing bit; the only 0 ends every match
+            for k in range(1, per):
+                shared += (word >> np.uint64((per - k) * bits)) == 0
+            out[stop] = off + shared
+            out[live[~differ]] = off + per
+            live, off = live[~differ], off + per
     return out
 
 
@@ -148,24 +156,22 @@ def _names(text: np.ndarray, star: np.ndarray) -> np.ndarray:
     n, bits = len(text), int(text.max() + 1).bit_length()
     per, end = max(1, 63 // bits), (1 << bits) - 1
     length = np.append(star[1:] - star[:-1] + 1, 1)
-    rank, live, off, top = np.zeros(len(star), np.int64), np.arange(len(star)), 0, 1
+    rank, live, off = np.zeros(len(star), np.int64), np.arange(len(star)), 0  # rank: place of the first equal one
     while len(live):
         word = np.zeros(len(live), np.uint64)
         for k in range(per):
             got = text[np.minimum(star[live] + off + k, n - 1)].astype(np.uint64)
             word = (word << np.uint64(bits)) | np.where(length[live] > off + k, got, np.uint64(end))
-        o = np.lexsort((word, rank[live]))
-        r, w = rank[live][o], word[o]
-        new = np.concatenate(([True], (r[1:] != r[:-1]) | (w[1:] != w[:-1])))
-        sub = np.empty(len(live), np.int64)
-        sub[o] = np.cumsum(new) - 1
-        full = rank * (len(star) + 1)
-        full[live] += sub
-        rank = np.unique(full, return_inverse=True)[1].astype(np.int64)
+        o = np.lexsort((word, rank[live])) if off else np.argsort(word, kind="stable")
+        live, word, first = live[o], word[o], rank[live][o]
+        group = np.concatenate(([True], first[1:] != first[:-1]))
+        head = group | np.concatenate(([True], word[1:] != word[:-1]))
+        i = np.arange(len(live))
+        rank[live] = first + np.maximum.accumulate(np.where(head, i, 0)) - np.maximum.accumulate(np.where(group, i, 0))
         off += per
-        # a substring whose rank no other has is told apart already
-        live = live[(length[live] > off) & (np.bincount(rank)[rank[live]] > 1)]
-    return rank
+        # told apart, or equal to the end
+        live = live[~(head & np.append(head[1:], True)) & (length[live] >= off)]
+    return (np.cumsum(np.bincount(rank) > 0) - 1)[rank]
 
 
 def _minima(values: np.ndarray) -> list[np.ndarray]:
@@ -197,7 +203,7 @@ class _Induce:
         low = np.minimum.accumulate(lcp)
         if len(go):
             symbol = self.text[left[go]]
-            o = np.argsort(symbol, kind="stable")
+            o = np.argsort(symbol.astype(np.uint16), kind="stable")
             go, symbol = go[o], symbol[o]
             head = np.concatenate(([True], symbol[1:] != symbol[:-1]))
             value = np.empty(len(go), np.int32)
@@ -225,18 +231,32 @@ class _Induce:
                 self.queue.push(c, out[i:j])
 
 
+def _refined(tied: np.ndarray, rank: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Tell apart ``tied`` (whole groups of one rank, the group's first place) by ``second``; returns those still tied."""
+    o = np.argsort(rank[tied] * (len(rank) + 1) + second)
+    tied, second = tied[o], second[o]
+    first = rank[tied]
+    group = np.concatenate(([True], first[1:] != first[:-1]))
+    head = group | np.concatenate(([True], second[1:] != second[:-1]))
+    i = np.arange(len(tied))
+    rank[tied] = first + np.maximum.accumulate(np.where(head, i, 0)) - np.maximum.accumulate(np.where(group, i, 0))
+    return tied[~(head & np.append(head[1:], True))]
+
+
 def _ordered(symbol: np.ndarray, kind: np.ndarray, order: np.ndarray, pusher: np.ndarray) -> np.ndarray:
     """Order of the tuples of a range by (symbol, kind, place of arrival); those pushed from within the range
-    (``pusher`` >= 0) arrive in the order of their pushers, found by refining until nothing moves."""
-    key, inner = order.copy(), np.flatnonzero(pusher >= 0)
-    while True:
-        found = np.lexsort((key, kind, symbol))
-        place = np.empty(len(found), np.int64)
-        place[found] = np.arange(len(found))
-        new = place[pusher[inner]]
-        if np.array_equal(new, key[inner]):
-            return found
-        key[inner] = new
+    (``pusher`` >= 0) arrive in the order of their pushers, found by doubling along the chains of pushers."""
+    n = len(order)
+    key = (((symbol - symbol.min(initial=0)) * 4 + kind) << max(1, n.bit_length())) + order
+    found = np.argsort(key, kind="stable")
+    head = np.concatenate(([True], key[found][1:] != key[found][:-1]))[:n]
+    rank = np.empty(n, np.int64)
+    rank[found] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    tied, up = found[~(head & np.append(head[1:], True)[:n])], np.where(pusher >= 0, pusher, np.arange(n))
+    while len(tied):
+        tied, up = _refined(tied, rank, rank[up[tied]]), up[up]
+    found[rank] = np.arange(n)
+    return found
 
 
 def _scan_ranges(text, wanted, seeds, cuts, budget, down):
@@ -341,7 +361,7 @@ def star_order(names: np.ndarray, base: int, budget: int) -> np.ndarray:
 def suffix_buckets(text: np.ndarray, cap: int, base: int = 1 << 16, budget: int = 1 << 18):
     """The suffix array of ``text`` with common prefixes, one first symbol at a time, largest first.
 
-    ``text`` holds small non-negative integers and ends with its only 0.  Yields
+    ``text`` holds non-negative integers below 2**16 and ends with its only 0.  Yields
     (positions in order, common prefix of each with the one before it in the
     whole order); prefixes are exact below ``cap`` and at least ``cap`` otherwise.
     """
