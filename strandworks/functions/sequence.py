@@ -42,14 +42,16 @@ def kmers(seq, k: int) -> Column:
 
 def plogp(counts: Column) -> Column:
     """Entropy of an array of counts, in bits."""
-    total = F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
-    return let(total, lambda t: F.aggregate(counts, F.lit(0.0), lambda a, c: a - F.when(c > 0, c / t * F.log2(c / t)).otherwise(0.0)))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
+    entropy = lambda cs, t: F.aggregate(cs, F.lit(0.0), lambda a, c: a - F.when(c > 0, c / t * F.log2(c / t)).otherwise(0.0))
+    return let(counts, lambda cs: let(total(cs), lambda t: entropy(cs, t)))
 
 
 def base_counts(seq) -> Column:
     """Counts of A, C, G, T; N counts as A."""
-    seq = F.translate(_col(seq), "N", "A")
-    return F.array(*[(F.length(seq) - F.length(F.translate(seq, b, ""))).cast("double") for b in BASES])
+    seq = _col(seq)
+    c, g, t = (F.length(seq) - F.length(F.replace(seq, F.lit(b), F.lit(""))) for b in BASES[1:])
+    return let(F.array(c, g, t), lambda x: F.transform(F.array(F.length(seq) - x[0] - x[1] - x[2], x[0], x[1], x[2]), lambda v: v.cast("double")))
 
 
 def base_entropy(seq) -> Column:

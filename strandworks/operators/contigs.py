@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import sequence as S
 from .graph import run_difference
-from .kmers import A
+from .kmers import A, AGAIN
 
 
 def long_enough(contigs: DataFrame, k: int, length: int | None = None, open_length: int | None = None) -> DataFrame:
@@ -74,7 +74,7 @@ def used_by_kmers(reads: DataFrame, contigs: DataFrame, k: int, share: float = 0
 
 def used_by_nodes(node_reads: DataFrame, totals: DataFrame) -> DataFrame:
     """Distinct reads on nodes, without occurrence and mate tags, over all reads of the assembly."""
-    plain = F.regexp_replace("read", r"(-multipleOccurenceKmer-\d+|_mate)", "")
+    plain = F.regexp_replace("read", rf"({AGAIN}\d+|_mate)", "")
     used = node_reads.groupBy(A).agg(F.countDistinct(plain).alias("used"))
     return totals.join(used, A, "left").withColumn("used", F.coalesce("used", F.lit(0))).withColumn("used_share", F.col("used") / F.col("total"))
 

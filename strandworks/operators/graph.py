@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import sequence as S
-from .kmers import A, Graph, degrees, keep_edges, keep_nodes
-from .staging import staged
+from .kmers import A, AGAIN, Graph, degrees, keep_edges, keep_nodes
+from .staging import staged, staged_all
 
 
 def staged_graph(g: Graph) -> Graph:
-    return g.with_(nodes=staged(g.nodes), edges=staged(g.edges), node_reads=staged(g.node_reads), edge_reads=staged(g.edge_reads))
+    nodes, edges, node_reads, edge_reads = staged_all(g.nodes, g.edges, g.node_reads, g.edge_reads)
+    return g.with_(nodes=nodes, edges=edges, node_reads=node_reads, edge_reads=edge_reads)
 
 
 # --- linear paths -----------------------------------------------------------------
@@ -118,14 +119,17 @@ def read_counts(g: Graph) -> DataFrame:
     return g.node_reads.groupBy(A, "node_id").agg(F.count("*").alias("reads"))
 
 
-def tip_nodes(g: Graph, length: int, cutoff: int | None = None) -> DataFrame:
-    """Ends of the graph shorter than k + length that fewer than ``cutoff`` reads support (any number without cutoff)."""
+def tip_nodes(g: Graph, length: int, cutoff: int | DataFrame | None = None) -> DataFrame:
+    """Ends of the graph shorter than k + length that fewer than ``cutoff`` reads support: one number, or a table
+    (assembly_id, tip_cutoff) in which null, like no cutoff at all, sets no limit."""
     d = degrees(g).join(read_counts(g), [A, "node_id"], "left").withColumn("reads", F.coalesce("reads", F.lit(0)))
     tips = d.where("headless <> tailless").where(F.length("seq") - g.k < length)
+    if isinstance(cutoff, DataFrame):
+        return tips.join(cutoff, A, "left").where(F.col("tip_cutoff").isNull() | (F.col("reads") < F.col("tip_cutoff"))).drop("tip_cutoff")
     return tips if cutoff is None else tips.where(F.col("reads") < cutoff)
 
 
-def remove_tips(g: Graph, length: int, cutoff: int | None = None, until_stable: bool = True) -> Graph:
+def remove_tips(g: Graph, length: int, cutoff: int | DataFrame | None = None, until_stable: bool = True) -> Graph:
     while True:
         tips = staged(tip_nodes(g, length, cutoff).select(A, "node_id"))
         if tips.isEmpty():
@@ -136,9 +140,11 @@ def remove_tips(g: Graph, length: int, cutoff: int | None = None, until_stable:
             return g
 
 
-def tip_cutoff(node_count: int, cutoff: int) -> int | None:
-    """No limit below ten nodes' count, else the larger of 40 % of it and cutoff + 2."""
-    return None if node_count < 10 else max(int(0.40 * node_count + 0.5), cutoff + 2)
+def tip_cutoffs(stats: DataFrame, cutoff: int) -> DataFrame:
+    """(assembly_id, tip_cutoff) from the k-mer count statistics of each assembly: no limit where the usual count is below
+    ten, else the larger of 40 % of it and cutoff + 2."""
+    usual = F.coalesce(F.greatest("mean_high", "median_high"), "pivot_count", F.lit(0.0))
+    return stats.select(A, F.when(usual >= 10, F.greatest(F.round(usual * 0.40), F.lit(cutoff + 2))).cast("long").alias("tip_cutoff"))
 
 
 def remove_pair_tips(g: Graph, length: int) -> Graph:
@@ -498,7 +504,7 @@ def collapse_same_reads(g: Graph) -> Graph:
 def redundant_nodes(g: Graph) -> DataFrame:
     """Nodes that one read enters from several heads and leaves to several tails."""
     def several(end, other):
-        x = g.edge_reads.withColumn("r", F.regexp_replace("read", r"-multipleOccurenceKmer-\d+|_mate", ""))
+        x = g.edge_reads.withColumn("r", F.regexp_replace("read", rf"{AGAIN}\d+|_mate", ""))
         return x.groupBy(A, F.col(end).alias("node_id"), "r").agg(F.countDistinct(other).alias(other)).where(f"{other} > 1")
 
     return several("dst", "src").join(several("src", "dst"), [A, "node_id", "r"]).select(A, "node_id").distinct()

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import sequence as S
 
 A = "assembly_id"
+#: Between a read's id and the number of times a k-mer came before in it.
+AGAIN = "#again"
 
 
 @dataclass(frozen=True)
@@ -116,7 +118,7 @@ def steps_of(tokens: DataFrame, *keep: str) -> DataFrame:
     rows = tokens.withColumn("once", F.size(F.array_distinct("tokens")) == F.size("tokens"))
     rows = rows.select(A, "read_id", *keep, F.explode(step).alias("s")).select(A, "read_id", *keep, "s.*")
     name = F.col("read_id").cast("string")
-    return rows.withColumn("read", F.when(F.col("occ") == 0, name).otherwise(F.concat_ws("-multipleOccurenceKmer-", name, F.col("occ").cast("string"))))
+    return rows.withColumn("read", F.when(F.col("occ") == 0, name).otherwise(F.concat_ws(AGAIN, name, F.col("occ").cast("string"))))
 
 
 def mate_tags(steps: DataFrame) -> DataFrame:

@@ -39,6 +39,11 @@ def merge_results(tables: list[DataFrame], regions: DataFrame) -> DataFrame:
     return rows
 
 
+def merged_coi(rows: DataFrame) -> DataFrame:
+    """Number of haplotypes of each sample after merging, and how many regions have it."""
+    return rows.groupBy("sample", "uniqHaps").agg(F.count("*").alias("regions"))
+
+
 def gather(haplotypes: DataFrame, targets: DataFrame | None = None, least_length: int = 12) -> DataFrame:
     """Haplotypes of the wanted targets, long enough and counted at all."""
     out = haplotypes.where((F.length("seq") >= least_length) & (F.col("cnt") > 0))
@@ -186,20 +191,27 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), n), lambda i: F.left(a, i) == F.left(b, i))), F.lit(0))
 
 
-def mark_chimeras(haplotypes: DataFrame, factor: float = 2.0, k: int = 8) -> DataFrame:
-    """chimera: a prefix of one and the rest of another haplotype of the sample, both ``factor`` times as frequent.
+def mark_chimeras(haplotypes: DataFrame, factor: float = 2.0, k: int = 1) -> DataFrame:
+    """chimera: a prefix of one haplotype of the sample and the rest of another, both ``factor`` times as frequent.
 
-    Parents share the first or the last k bases, which is the key of the pair join."""
+    Parents share the first or the last k bases with it, which is the key of the pair join.  The longest prefix and the
+    longest suffix are paired, or, if both are of one parent, either with the best of any other parent."""
     own = haplotypes.select(*T, "seq", "frac")
     other = haplotypes.select(*T, F.col("seq").alias("parent"), F.col("frac").alias("pf"))
 
-    def side(cut, turn):
+    def side(cut, turn, name):
         x, y = own.withColumn("_key", cut("seq")), other.withColumn("_key", cut("parent"))
-        return x.join(y, [*T, "_key"]).where((F.col("seq") != F.col("parent")) & (F.col("pf") >= factor * F.col("frac"))).groupBy(*T, "seq").agg(F.max(common_prefix(turn("seq"), turn("parent"))).alias("n"))
-
-    front = side(lambda c: F.left(c, F.lit(k)), F.col).withColumnRenamed("n", "p")
-    back = side(lambda c: F.right(c, F.lit(k)), F.reverse).withColumnRenamed("n", "s")
-    x = front.join(back, [*T, "seq"]).where(F.col("p") + F.col("s") >= F.length("seq")).select(*T, "seq", F.lit(True).alias("chimera"))
+        shared = x.join(y, [*T, "_key"]).where((F.col("seq") != F.col("parent")) & (F.col("pf") >= factor * F.col("frac")))
+        shared = shared.select(*T, "seq", "parent", common_prefix(turn("seq"), turn("parent")).alias("n"))
+        best = shared.groupBy(*T, "seq").agg(F.max(F.struct("n", "parent")).alias(name))
+        rest = shared.join(best, [*T, "seq"]).where(F.col("parent") != F.col(f"{name}.parent")).groupBy(*T, "seq").agg(F.max("n").alias(f"{name}2"))
+        return best.join(rest, [*T, "seq"], "left")
+
+    front = side(lambda c: F.left(c, F.lit(k)), F.col, "p")
+    back = side(lambda c: F.right(c, F.lit(k)), F.reverse, "s")
+    n, p, s = F.length("seq"), F.col("p.n"), F.col("s.n")
+    two = F.when(F.col("p.parent") != F.col("s.parent"), p + s >= n).otherwise(F.coalesce(p + F.col("s2") >= n, F.lit(False)) | F.coalesce(F.col("p2") + s >= n, F.lit(False)))
+    x = front.join(back, [*T, "seq"]).where(two).select(*T, "seq", F.lit(True).alias("chimera"))
     return haplotypes.join(x, [*T, "seq"], "left").withColumn("chimera", F.coalesce("chimera", F.lit(False)))
 
 
@@ -217,7 +229,7 @@ def low_level_filters(haplotypes: DataFrame, one_off_fraction: float = 0.21, com
 
 def rescue(kept: DataFrame, excluded: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """Excluded haplotypes that are the major one of another sample, or expected, come back."""
-    top = kept.groupBy(*T).agg(F.max(F.struct("cnt", "seq")).alias("m")).select("target", F.col("m.seq").alias("seq"))
+    top = kept.unionByName(excluded.select(kept.columns)).groupBy(*T).agg(F.max(F.struct("cnt", "seq")).alias("m")).select("target", F.col("m.seq").alias("seq"))
     wanted = top if expected is None else top.unionByName(expected.select("target", "seq"))
     return kept.unionByName(excluded.join(wanted.distinct(), ["target", "seq"], "left_semi").select(kept.columns))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import sequence as S
+from .staging import staged
 
 
 def quality_trim(reads: DataFrame, least: int) -> DataFrame:
@@ -40,11 +41,12 @@ def pair_key(a: str = "seq1", b: str = "seq2") -> Column:
     return F.array_join(F.array_sort(F.array(a, b)), "-")
 
 
-def first_of_duplicates(reads: DataFrame, key: Column, order: str) -> DataFrame:
-    """The first read of every (sample, key): a partial aggregate finds it, so a hot key is merged before it travels."""
-    keyed = reads.withColumn("_key", key)
-    first = keyed.groupBy("sample", "_key").agg(F.min(order).alias("_first"))
-    return keyed.join(first.select(F.col("_first").alias(order)), order, "left_semi").drop("_key")
+def first_of_duplicates(reads: DataFrame, key: Column, order: str, seq: str | None = "seq") -> DataFrame:
+    """The first read of every (sample, key), by one aggregate: a hot key is merged before it travels, and columns that
+    nobody reads are not carried.  ``seq`` names the column that is the key itself, if one is; ``order`` is unique."""
+    others = [c for c in reads.columns if c not in ("sample", order, seq)]
+    first = reads.withColumn("_key", key).groupBy("sample", "_key").agg(F.min(order).alias(order), *[F.min_by(c, order).alias(c) for c in others])
+    return first.select(*[F.col("_key").alias(c) if c == seq else F.col(c) for c in reads.columns])
 
 
 def pairs(reads: DataFrame) -> DataFrame:
@@ -91,11 +93,18 @@ def constant_kmers(reads: DataFrame, k: int, least: int = 40, spread: float = 15
     return at.groupBy("kmer").agg(F.count("*").alias("n"), F.stddev_pop("pos").alias("sd")).where((F.col("n") >= least) & (F.col("sd") < spread))
 
 
+#: Constant k-mers that are sent to every task; beyond it they are joined by shuffle.
+FEW = 1 << 17
+
+
 def drop_constant(reads: DataFrame, bad: DataFrame, k: int, margin: int = 200) -> DataFrame:
     """Reads without a constant k-mer within ``margin`` of either end."""
-    at = reads.select("read_id", F.length("seq").alias("n"), F.posexplode(S.kmers("seq", k)).alias("pos", "kmer"))
-    near = at.where((F.col("pos") < margin) | (F.col("pos") + k > F.col("n") - margin))
-    hit = near.join(bad.select("kmer"), "kmer", "left_semi").select("read_id").distinct()
+    bad = staged(bad.select("kmer"))
+    few = F.broadcast(bad) if bad.count() <= FEW else bad
+    n = F.length("seq")
+    near = F.filter(S.upto(n - k + 1), lambda i: (i < margin) | (i + k > n - margin))
+    at = reads.select("read_id", F.explode(F.transform(near, lambda i: F.col("seq").substr(i + 1, F.lit(k)))).alias("kmer"))
+    hit = at.join(few, "kmer", "left_semi").select("read_id").distinct()
     return reads.join(hit, "read_id", "left_anti")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,8 +19,36 @@ def shared_dir(spark: SparkSession) -> str:
     return path or os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
+_PATHS: list[str] = []
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Written as Parquet and read back: lineage ends here and survives a lost executor."""
     path, schema = f"{shared_dir(df.sparkSession)}/round-{uuid.uuid4().hex}", df.schema
     df.write.parquet(path)
+    _PATHS.append(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def staged_all(*dfs: DataFrame) -> list[DataFrame]:
+    """Several tables written at once, so that small ones share the executors."""
+    with ThreadPoolExecutor(len(dfs)) as pool:
+        return list(pool.map(staged, dfs))
+
+
+@contextmanager
+def rounds(spark: SparkSession):
+    """Tables staged inside are deleted at the end, but for what the yielded function keeps."""
+    begin, kept = len(_PATHS), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = staged(df)
+        kept.append(_PATHS[-1])
+        return out
+
+    yield keep
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [p for p in _PATHS[begin:] if p not in kept]:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    _PATHS[begin:] = kept

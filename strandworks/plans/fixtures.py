@@ -8,7 +8,7 @@ from ..functions import sequence as S
 
 #: Fixed letter map of the derivation.
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
-READ, STEP, WIDTH = 150, 75, 100_000
+READ, STEP, WIDTH = 150, 75, 10_000_000
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -21,13 +21,18 @@ def bases(text, with_n: bool = False):
 
 
 def reads(spark, d, with_n: bool = False) -> DataFrame:
-    """Windows of every document: read_id, doc_id, w, sample, name, seq, qual."""
+    """Windows of every document, the last one up to its end (a short text is one read): read_id, doc_id, w, sample, name, seq, qual."""
     x = table(spark, d, "documents").select("doc_id", F.col("lang").alias("sample"), F.col("source").alias("name"), bases(F.col("text"), with_n).alias("s"))
-    n = F.floor((F.length("s") - READ) / STEP)
-    x = x.where(F.length("s") >= READ).select("*", F.explode(F.sequence(F.lit(0), n.cast("int"))).alias("w"))
+    # pieces of one step, cut in one pass: a substring far inside a long text would count through all before it
+    x = x.select("doc_id", "sample", "name", F.length("s").alias("n"), F.regexp_extract_all("s", F.lit(f"(.{{1,{STEP}}})"), F.lit(1)).alias("h"), F.right("s", F.lit(READ)).alias("last"))
+    full = F.floor((F.col("n") - READ) / STEP).cast("int") + 1
+    windows = F.transform(F.sequence(F.lit(0), full - 1), lambda w: F.concat(F.get("h", w), F.get("h", w + 1)))
+    end = F.when((F.col("n") - READ) % STEP > 0, F.array("last")).otherwise(F.array().cast("array<string>"))
+    seqs = F.when(F.col("n") == 0, F.array().cast("array<string>")).when(F.col("n") < READ, F.array("last")).otherwise(F.concat(windows, end))
+    x = x.select("doc_id", "sample", "name", F.posexplode(seqs).alias("w", "seq"))
     letter = lambda i: F.char((F.col("doc_id") * 7 + i * 3) % 41 + 33)
-    qual = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(READ)), letter), "")
-    return x.select((F.col("doc_id") * WIDTH + F.col("w")).alias("read_id"), "doc_id", "w", "sample", "name", S.piece("s", F.col("w") * STEP, READ).alias("seq"), qual.alias("qual"))
+    qual = F.array_join(F.transform(F.sequence(F.lit(1), F.length("seq")), letter), "")
+    return x.select((F.col("doc_id") * WIDTH + F.col("w")).alias("read_id"), "doc_id", "w", "sample", "name", "seq", qual.alias("qual"))
 
 
 def mates(spark, d) -> DataFrame:
@@ -39,6 +44,12 @@ def mates(spark, d) -> DataFrame:
     return first.join(whole, "pair_id", "left_semi").unionByName(second.select(first.columns))
 
 
+def chats(spark, d) -> DataFrame:
+    """Every turn of a conversation as one read: read_id, sample, seq."""
+    x = table(spark, d, "conversations")
+    return x.select((F.coalesce("conv_id", F.lit(-1)) * 1000 + F.coalesce("turn", F.lit(0))).cast("long").alias("read_id"), F.coalesce("role", F.lit("none")).alias("sample"), bases(F.col("text")).alias("seq"))
+
+
 def references(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("id"), bases(F.col("text")).alias("seq"))
 
@@ -78,14 +89,16 @@ def places(spark, d) -> DataFrame:
 _TEXT = f"translate(regexp_replace(lower(coalesce({{0}}, '')), '[^a-z]', '', 'g'), '{LETTERS}', '{BASES}')"
 _RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 
-READS_SQL = f"""reads AS (SELECT doc_id * {WIDTH} + w AS read_id, doc_id, w, sample, name, substr(s, w * {STEP} + 1, {READ}) AS seq,
-  array_to_string(list_transform(range(1, {READ + 1}), lambda i: chr(CAST((doc_id * 7 + i * 3) % 41 + 33 AS INT))), '') AS qual
-  FROM (SELECT *, unnest(range(0, (len(s) - {READ}) // {STEP} + 1)) AS w FROM (SELECT doc_id, lang AS sample, source AS name, {_TEXT.format('text')} AS s FROM documents) WHERE len(s) >= {READ}))"""
+READS_SQL = f"""reads AS (SELECT doc_id * {WIDTH} + w AS read_id, doc_id, w, sample, name, seq,
+  array_to_string(list_transform(range(1, len(seq) + 1), lambda i: chr(CAST((doc_id * 7 + i * 3) % 41 + 33 AS INT))), '') AS qual
+  FROM (SELECT doc_id, w, sample, name, CASE WHEN w * {STEP} + {READ} <= len(s) THEN substr(s, w * {STEP} + 1, {READ}) ELSE right(s, {READ}) END AS seq
+  FROM (SELECT *, unnest(range(0, CASE WHEN len(s) = 0 THEN 0 WHEN len(s) <= {READ} THEN 1 ELSE (len(s) - {READ} + {STEP} - 1) // {STEP} + 1 END)) AS w FROM (SELECT doc_id, lang AS sample, source AS name, {_TEXT.format('text')} AS s FROM documents))))"""
 READS_N_SQL = READS_SQL.replace("[^a-z]", "[^a-z0-9]").replace(f"'{LETTERS}', '{BASES}'", f"'{LETTERS}0123456789', '{BASES}NNNNNNNNNN'")
 MATES_SQL = READS_SQL + f""", mates AS (SELECT read_id, read_id AS pair_id, 1 AS mate, sample, seq, qual FROM reads r WHERE w % 2 = 0 AND EXISTS (SELECT 1 FROM reads q WHERE q.read_id = r.read_id + 1)
   UNION ALL SELECT read_id, read_id - 1, 2, sample, {_RC.format('seq')}, reverse(qual) FROM reads WHERE w % 2 = 1),
 pairs AS (SELECT a.pair_id, a.sample, a.seq AS seq1, b.seq AS seq2, a.qual AS qual1, b.qual AS qual2 FROM mates a JOIN mates b ON a.pair_id = b.pair_id AND a.mate = 1 AND b.mate = 2)"""
 REFERENCES_SQL = f"refs AS (SELECT item_id AS id, {_TEXT.format('text')} AS seq FROM benchmark)"
+CHATS_SQL = f"chats AS (SELECT CAST(coalesce(conv_id, -1) * 1000 + coalesce(turn, 0) AS BIGINT) AS read_id, coalesce(role, 'none') AS sample, {_TEXT.format('text')} AS seq FROM conversations)"
 ALIGNMENTS_SQL = """aln AS (SELECT CAST(l_orderkey AS VARCHAR) AS name, CAST(l_linenumber % 2 + 1 AS INT) AS mate, l_returnflag AS chrom, CAST(l_partkey * 10 + l_linenumber AS BIGINT) AS pos,
   CAST(l_partkey * 10 + l_linenumber + CAST(l_quantity AS BIGINT) AS BIGINT) AS end_pos, CAST(round(l_discount * 600) AS INT) AS mapq, l_linenumber <= 4 AS is_paired, l_linenumber <= 3 AS is_proper,
   l_linenumber < 7 AS is_mapped, l_linenumber <> 4 AS mate_mapped, l_linenumber <> 6 AS is_primary, l_linenumber = 5 AND l_linestatus = 'F' AS is_dup, l_linenumber % 2 = 0 AS is_reverse, l_linenumber % 5 AS soft_clip FROM lineitem)"""
@@ -98,11 +111,11 @@ PLACES_SQL = f"""places AS (SELECT c_custkey AS sample, c_mktsegment AS haplotyp
 
 
 def kmers_sql(k: int, cutoff: int) -> str:
-    """reads -> kmers, counts, nodes, steps, links, edges of the graph of each sample."""
-    return READS_SQL + f""", kmers AS (SELECT sample AS assembly_id, read_id, pos, substr(seq, pos + 1, {k}) AS kmer FROM (SELECT *, unnest(range(0, len(seq) - {k} + 1)) AS pos FROM reads WHERE len(seq) > {k})),
+    """reads -> kmers, counts, nodes, links and edges of the graph of each sample."""
+    return READS_SQL + f""", kmers AS (SELECT sample AS assembly_id, read_id, pos, substr(seq, pos + 1, {k}) AS kmer, CASE WHEN pos + 1 + {k} <= len(seq) THEN substr(seq, pos + 2, {k}) END AS nxt FROM (SELECT *, unnest(range(0, len(seq) - {k} + 1)) AS pos FROM reads WHERE len(seq) > {k})),
 counts AS (SELECT assembly_id, kmer, count(*) AS cnt FROM kmers GROUP BY ALL), nodes AS (SELECT * FROM counts WHERE cnt > {cutoff}),
-steps AS (SELECT *, lead(kmer) OVER (PARTITION BY read_id ORDER BY pos) AS nxt FROM kmers),
-occ AS (SELECT *, greatest(row_number() OVER (PARTITION BY read_id, kmer ORDER BY pos) - 1, CASE WHEN nxt IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY read_id, nxt ORDER BY pos) - 1 END) AS occ FROM steps),
-links AS (SELECT o.assembly_id, o.kmer AS src, o.nxt AS dst, CASE WHEN occ = 0 THEN CAST(read_id AS VARCHAR) ELSE read_id || '-multipleOccurenceKmer-' || occ END AS read
+rep AS (SELECT read_id FROM (SELECT read_id, count(*) AS n, count(DISTINCT kmer) AS m FROM kmers GROUP BY 1) WHERE n > m),
+occ AS (SELECT *, 0 AS occ FROM kmers ANTI JOIN rep USING (read_id) UNION ALL SELECT *, greatest(row_number() OVER (PARTITION BY read_id, kmer ORDER BY pos) - 1, CASE WHEN nxt IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY read_id, nxt ORDER BY pos) - 1 END) FROM kmers SEMI JOIN rep USING (read_id)),
+links AS (SELECT o.assembly_id, o.kmer AS src, o.nxt AS dst, CASE WHEN occ = 0 THEN CAST(read_id AS VARCHAR) ELSE read_id || '#again' || occ END AS read
   FROM occ o JOIN nodes a ON o.assembly_id = a.assembly_id AND o.kmer = a.kmer JOIN nodes b ON o.assembly_id = b.assembly_id AND o.nxt = b.kmer),
-edges AS (SELECT assembly_id, src, dst, count(*) AS cnt FROM links GROUP BY ALL)"""
+edges AS (SELECT o.assembly_id, o.kmer AS src, o.nxt AS dst, count(*) AS cnt FROM kmers o JOIN nodes a ON o.assembly_id = a.assembly_id AND o.kmer = a.kmer JOIN nodes b ON o.assembly_id = b.assembly_id AND o.nxt = b.kmer GROUP BY ALL)"""

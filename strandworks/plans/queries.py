@@ -7,36 +7,24 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..operators import contigs as C
 from ..operators import geography as H
-from ..operators import graph as G
 from ..operators import kmers as K
 from ..operators import population as P
 from ..operators import reads as R
 from ..operators import regions as I
 from ..operators.staging import staged
-from ..sources import writers as W
 from . import fixtures as X
-from .assemble import Settings, assemble, build, filtered
+from .assemble import Settings, assemble, filtered
+from .registry import QUERIES, SQL, query  # noqa: F401
 
-QUERIES, SQL = {}, {}
 KLEN, CUT = 31, 2
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 #: Entropy in bits of the base counts of a sequence, N counted as A.
 _ENTROPY = "list_sum(list_transform(['A','C','G','T'], lambda b: CASE WHEN len({0}) - len(replace({0}, b, '')) > 0 THEN -((len({0}) - len(replace({0}, b, ''))) / len({0})) * log2((len({0}) - len(replace({0}, b, ''))) / len({0})) ELSE 0 END))"
 _KEPT = X.READS_SQL + f", good AS (SELECT * FROM reads WHERE {_ENTROPY.format('seq')} >= 0.75), kept AS (SELECT * FROM good WHERE read_id IN (SELECT min(read_id) FROM good GROUP BY sample, seq))"
 
 
-@query(f"WITH {_KEPT}, k AS (SELECT sample, substr(seq, p, {KLEN}) AS kmer FROM (SELECT *, unnest(range(1, {X.READ - KLEN + 2})) AS p FROM kept)) SELECT sample, kmer, count(*) AS cnt FROM k GROUP BY ALL HAVING count(*) > {CUT}")
+@query(f"WITH {_KEPT}, k AS (SELECT sample, substr(seq, p, {KLEN}) AS kmer FROM (SELECT *, unnest(range(1, len(seq) - {KLEN} + 2)) AS p FROM kept WHERE len(seq) > {KLEN})) SELECT sample, kmer, count(*) AS cnt FROM k GROUP BY ALL HAVING count(*) > {CUT}")
 def k07_surviving_kmers(spark, d):
     kept = filtered(X.reads(spark, d), Settings(k=KLEN))
     return K.count_kmers(kept, KLEN, "sample").where(F.col("cnt") > CUT)
@@ -47,19 +35,19 @@ def k07_surviving_kmers(spark, d):
 _Q = "list_transform(range(1, len(qual) + 1), lambda i: ascii(substr(qual, i, 1)) - 33)"
 
 
-@query(f"WITH {X.READS_SQL}, q AS (SELECT read_id, list_filter(range(0, {X.READ}), lambda i: {_Q}[i + 1] >= 20) AS g FROM reads) SELECT read_id, list_min(g) AS start, list_max(g) + 1 AS end_, list_max(g) + 1 - list_min(g) AS n FROM q".replace(_Q + "[i + 1]", "(ascii(substr(qual, i + 1, 1)) - 33)"))
+@query(f"WITH {X.READS_SQL}, q AS (SELECT read_id, list_filter(range(0, len(qual)), lambda i: {_Q}[i + 1] >= 20) AS g FROM reads) SELECT read_id, coalesce(list_min(g), 0) AS start, coalesce(list_max(g) + 1, 0) AS end_, coalesce(list_max(g) + 1 - list_min(g), 0) AS n FROM q".replace(_Q + "[i + 1]", "(ascii(substr(qual, i + 1, 1)) - 33)"))
 def b01_quality_trim(spark, d):
     x = X.reads(spark, d).withColumn("b", S.quality_bounds("qual", 20))
     t = R.quality_trim(X.reads(spark, d), 20).select("read_id", F.length("seq").alias("n"))
     return x.select("read_id", F.col("b.start").alias("start"), F.col("b.end").alias("end_")).join(t, "read_id")
 
 
-@query(f"WITH {X.READS_SQL}, w AS (SELECT read_id, i * 5 AS p FROM (SELECT read_id, seq, unnest(range(0, {(X.READ - 20) // 5 + 1})) AS i FROM reads) WHERE {_ENTROPY.format('substr(seq, i * 5 + 1, 20)')} >= 1.7) SELECT r.read_id, coalesce(max(p) + 20 - min(p), 0) AS n FROM reads r LEFT JOIN w ON r.read_id = w.read_id GROUP BY r.read_id")
+@query(f"WITH {X.READS_SQL}, w AS (SELECT read_id, i * 5 AS p FROM (SELECT read_id, seq, unnest(range(0, CASE WHEN len(seq) >= 20 THEN (len(seq) - 20) // 5 + 1 ELSE 0 END)) AS i FROM reads) WHERE {_ENTROPY.format('substr(seq, i * 5 + 1, 20)')} >= 1.7) SELECT r.read_id, coalesce(max(p) + 20 - min(p), 0) AS n FROM reads r LEFT JOIN w ON r.read_id = w.read_id GROUP BY r.read_id")
 def b02_entropy_trim(spark, d):
     return R.entropy_trim(X.reads(spark, d), 20, 5, 1.7).select("read_id", F.length("seq").alias("n"))
 
 
-@query(f"WITH {X.READS_SQL} SELECT sample, count(*) AS n, count(*) FILTER (WHERE list_count(list_filter(range(1, {X.READ + 1}), lambda i: ascii(substr(qual, i, 1)) - 33 >= 20)) / {X.READ} >= 0.5) AS enough_quality, count(*) FILTER (WHERE {_ENTROPY.format('seq')} >= 1.5) AS enough_entropy FROM reads GROUP BY sample")
+@query(f"WITH {X.READS_SQL} SELECT sample, count(*) AS n, count(*) FILTER (WHERE list_count(list_filter(range(1, len(qual) + 1), lambda i: ascii(substr(qual, i, 1)) - 33 >= 20)) / len(qual) >= 0.5) AS enough_quality, count(*) FILTER (WHERE {_ENTROPY.format('seq')} >= 1.5) AS enough_entropy FROM reads GROUP BY sample")
 def b03_b04_filter_counts(spark, d):
     r = X.reads(spark, d)
     n = r.groupBy("sample").agg(F.count("*").alias("n"))
@@ -111,10 +99,10 @@ def b11_rescue_n(spark, d):
     return R.rescue_n(X.reads(spark, d, with_n=True), KLEN).select("read_id", "seq")
 
 
-_CONST = X.READS_SQL + ", k AS (SELECT read_id, p, substr(seq, p + 1, 12) AS kmer FROM (SELECT *, unnest(range(0, 139)) AS p FROM reads)), c AS (SELECT kmer, count(*) AS n, stddev_pop(p) AS sd FROM k GROUP BY kmer HAVING count(*) >= 5 AND stddev_pop(p) < 15)"
+_CONST = X.READS_SQL + ", k AS (SELECT read_id, len(seq) AS n, p, substr(seq, p + 1, 12) AS kmer FROM (SELECT *, unnest(range(0, greatest(len(seq) - 11, 0))) AS p FROM reads)), c AS (SELECT kmer, stddev_pop(p) AS sd FROM k GROUP BY kmer HAVING count(*) >= 5 AND stddev_pop(p) < 15)"
 
 
-@query(f"WITH {_CONST} SELECT read_id FROM reads WHERE read_id NOT IN (SELECT read_id FROM k JOIN c USING (kmer) WHERE p < 40 OR p + 12 > 110)")
+@query(f"WITH {_CONST} SELECT read_id FROM reads WHERE read_id NOT IN (SELECT read_id FROM k JOIN c USING (kmer) WHERE p < 40 OR p + 12 > n - 40)")
 def b12_drop_constant_kmers(spark, d):
     r = X.reads(spark, d)
     return R.drop_constant(r, R.constant_kmers(r, 12, 5, 15.0), 12, 40).select("read_id")
@@ -125,7 +113,7 @@ def b13_repair_singles(spark, d):
     return R.repair_singles(X.reads(spark, d)).select("read_id", "name", "pair_no", "mate")
 
 
-_STITCH = X.MATES_SQL + f""", s AS (SELECT pair_id, seq1, {{b}} AS m, list_max(list_filter(range(31, 151), lambda o: right(seq1, o) = left({{b}}, o))) AS o FROM pairs),
+_STITCH = X.MATES_SQL + f""", s AS (SELECT pair_id, seq1, {{b}} AS m, list_max(list_filter(range(31, least(len(seq1), len(seq2)) + 1), lambda o: right(seq1, o) = left({{b}}, o))) AS o FROM pairs),
 st AS (SELECT pair_id, CASE WHEN o IS NULL THEN 'none' WHEN o = len(seq1) AND o = len(m) THEN 'perfect' ELSE 'r1_ends_in_r2' END AS status, CASE WHEN o IS NOT NULL THEN seq1 || substr(m, o + 1) END AS stitched FROM s)"""
 
 
@@ -139,8 +127,8 @@ def b14_stitch(spark, d):
     return _stitched(spark, d, True).select("pair_id", "status", "stitched")
 
 
-@query(f"""WITH {_STITCH.format(b='seq2')}, s2 AS (SELECT list_max(list_filter(range(31, 151), lambda o: right(seq1, o) = left(reverse(translate(seq2, 'ACGT', 'TGCA')), o))) AS o FROM pairs JOIN st USING (pair_id) WHERE status = 'none'),
-a AS (SELECT CASE WHEN o IS NULL THEN 'none' WHEN o = 150 THEN 'perfect' ELSE 'r1_ends_in_r2' END AS status FROM s2)
+@query(f"""WITH {_STITCH.format(b='seq2')}, s2 AS (SELECT seq1, seq2, list_max(list_filter(range(31, least(len(seq1), len(seq2)) + 1), lambda o: right(seq1, o) = left(reverse(translate(seq2, 'ACGT', 'TGCA')), o))) AS o FROM pairs JOIN st USING (pair_id) WHERE status = 'none'),
+a AS (SELECT CASE WHEN o IS NULL THEN 'none' WHEN o = len(seq1) AND o = len(seq2) THEN 'perfect' ELSE 'r1_ends_in_r2' END AS status FROM s2)
 SELECT status, count(*) FILTER (WHERE t = 1) AS before, count(*) FILTER (WHERE t = 2) AS after, count(*) AS combined FROM (SELECT status, 1 AS t FROM st UNION ALL SELECT status, 2 FROM a) GROUP BY status""")
 def b14_stitch_counts(spark, d):
     first = _stitched(spark, d, False)
@@ -153,7 +141,7 @@ def b15_length_stats(spark, d):
     return R.length_stats(X.table(spark, d, "documents").select(F.col("lang").alias("sample"), X.bases(F.col("text")).alias("seq")))
 
 
-@query(f"""WITH {X.READS_SQL}, c AS (SELECT read_id, p, substr(seq, p + 1, 1) AS b FROM (SELECT *, unnest(range(0, 150)) AS p FROM reads)),
+@query(f"""WITH {X.READS_SQL}, c AS (SELECT read_id, p, substr(seq, p + 1, 1) AS b FROM (SELECT *, unnest(range(0, len(seq))) AS p FROM reads)),
 g AS (SELECT *, p - row_number() OVER (PARTITION BY read_id, b ORDER BY p) AS g FROM c) SELECT read_id, min(p) AS start, max(p) + 1 AS end_ FROM g GROUP BY read_id, b, g HAVING count(*) >= 4""")
 def b16_homopolymers(spark, d):
     return X.reads(spark, d).select("read_id", F.explode(S.homopolymers("seq", 4)).alias("x")).select("read_id", F.col("x.start").alias("start"), F.col("x.end").alias("end_"))
@@ -238,81 +226,39 @@ def k05_cutoffs_from_bases(spark, d):
     return K.cutoffs_from_bases(X.reads(spark, d), 9000, _percents(spark))
 
 
-@query(f"WITH {X.kmers_sql(KLEN, CUT)} SELECT assembly_id, src AS src_seq, dst AS dst_seq, cnt FROM edges")
+def _hash_sql(*parts):
+    return "sum(('0x' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 8))::BIGINT)::BIGINT"
+
+
+def _hash(*parts):
+    return F.sum(F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long"))
+
+
+@query(f"WITH {X.kmers_sql(KLEN, CUT)} SELECT assembly_id, count(*) AS edges, sum(cnt)::BIGINT AS cnt, {_hash_sql('src', 'dst', 'CAST(cnt AS VARCHAR)')} AS edge_hash FROM edges GROUP BY 1")
 def k08_threaded_edges(spark, d):
+    """Numbers and hashes of all edges; so many rows are not compared one by one."""
     g = _graph(spark, d)
-    return _named(g, g.edges).select("assembly_id", "src_seq", "dst_seq", "cnt")
+    return _named(g, g.edges).groupBy("assembly_id").agg(F.count("*").alias("edges"), F.sum("cnt").alias("cnt"), _hash("src_seq", "dst_seq", F.col("cnt").cast("string")).alias("edge_hash"))
 
 
-@query(f"WITH {X.kmers_sql(KLEN, CUT)} SELECT DISTINCT assembly_id, src AS src_seq, dst AS dst_seq, read FROM links")
+@query(f"WITH {X.kmers_sql(KLEN, CUT)} SELECT assembly_id, count(*) AS edge_reads, {_hash_sql('src', 'dst', 'read')} AS read_hash FROM (SELECT DISTINCT * FROM links) GROUP BY 1")
 def k09_edge_reads(spark, d):
     g = _graph(spark, d)
-    return _named(g, g.edge_reads).select("assembly_id", "src_seq", "dst_seq", "read")
+    return _named(g, g.edge_reads).groupBy("assembly_id").agg(F.count("*").alias("edge_reads"), _hash("src_seq", "dst_seq", "read").alias("read_hash"))
 
 
-@query(f"""WITH {X.kmers_sql(KLEN, CUT)}, m AS (SELECT * FROM nodes WHERE cnt > 4), e AS (SELECT * FROM edges WHERE cnt > 3 AND (assembly_id, src) IN (SELECT (assembly_id, kmer) FROM m) AND (assembly_id, dst) IN (SELECT (assembly_id, kmer) FROM m)),
-x AS (SELECT m.assembly_id, (SELECT count(*) FROM e WHERE e.assembly_id = m.assembly_id AND e.dst = m.kmer) AS heads, (SELECT count(*) FROM e WHERE e.assembly_id = m.assembly_id AND e.src = m.kmer) AS tails FROM m)
+@query(f"""WITH {X.kmers_sql(KLEN, CUT)}, m AS (SELECT * FROM nodes WHERE cnt > 4), e AS (SELECT x.* FROM edges x SEMI JOIN m p ON x.assembly_id = p.assembly_id AND x.src = p.kmer SEMI JOIN m q ON x.assembly_id = q.assembly_id AND x.dst = q.kmer WHERE x.cnt > 3),
+x AS (SELECT m.assembly_id, coalesce(h, 0) AS heads, coalesce(t, 0) AS tails FROM m LEFT JOIN (SELECT assembly_id, dst AS kmer, count(*) AS h FROM e GROUP BY ALL) i USING (assembly_id, kmer) LEFT JOIN (SELECT assembly_id, src AS kmer, count(*) AS t FROM e GROUP BY ALL) o USING (assembly_id, kmer))
 SELECT assembly_id, count(*) AS nodes, count(*) FILTER (WHERE heads = 0) AS headless, count(*) FILTER (WHERE tails = 0) AS tailless, count(*) FILTER (WHERE heads = 0 AND tails = 0) AS isolated FROM x GROUP BY 1""")
 def k15_k21_pruned_states(spark, d):
     return K.state_counts(K.prune_edges(K.prune_nodes(_graph(spark, d), 4), 3))
 
 
-@query(f"""WITH {X.kmers_sql(KLEN, CUT)}, t AS (SELECT n.assembly_id, n.kmer, count(e.dst) AS tails FROM nodes n LEFT JOIN edges e ON n.assembly_id = e.assembly_id AND n.kmer = e.src GROUP BY ALL)
-SELECT assembly_id, tails, count(*) AS n FROM t GROUP BY ALL""")
-def k17_tail_histogram(spark, d):
-    return K.tail_histogram(_graph(spark, d))
-
-
-@query("SELECT 0::BIGINT AS src, 0::BIGINT AS dst WHERE FALSE")
-def k20_broken_edges(spark, d):
-    return K.broken_edges(_graph(spark, d)).select("src", "dst")
-
-
-@query(f"""WITH {X.kmers_sql(KLEN, CUT)}, ins AS (SELECT assembly_id, dst AS n, count(*) AS heads FROM edges GROUP BY ALL), outs AS (SELECT assembly_id, src AS n, count(*) AS tails FROM edges GROUP BY ALL),
-d AS (SELECT n FROM ins JOIN outs USING (assembly_id, n) WHERE heads > 1 OR tails > 1), l AS (SELECT DISTINCT * FROM links),
-thr AS (SELECT i.assembly_id, i.dst AS n, i.read, i.src AS h, o.dst AS t FROM l i JOIN l o ON i.assembly_id = o.assembly_id AND i.dst = o.src AND i.read = o.read WHERE i.src <> i.dst AND o.dst <> o.src AND i.dst IN (SELECT n FROM d)),
-one AS (SELECT assembly_id, n, read, min(h) AS h, min(t) AS t FROM thr GROUP BY ALL HAVING count(*) = 1)
-SELECT one.assembly_id, n AS seq, h AS head_seq, t AS tail_seq, count(*) AS n FROM one JOIN ins USING (assembly_id, n) JOIN outs USING (assembly_id, n) WHERE heads > 1 OR tails > 1 GROUP BY ALL HAVING count(*) > 2""".replace("count(*) AS n FROM one", "count(*) AS bridging FROM one"))
-def g09_bridges(spark, d):
-    g = _graph(spark, d)
-    n = g.nodes.select("assembly_id", "node_id", "seq")
-    b = G.bridges(g, CUT).join(n, ["assembly_id", "node_id"]).join(n.toDF("assembly_id", "h", "head_seq"), ["assembly_id", "h"]).join(n.toDF("assembly_id", "t", "tail_seq"), ["assembly_id", "t"])
-    return b.select("assembly_id", "seq", "head_seq", "tail_seq", F.col("n").alias("bridging"))
-
-
-@query(f"""WITH {X.kmers_sql(KLEN, CUT)}, r AS (SELECT assembly_id, src, dst, count(DISTINCT read) AS reads FROM links GROUP BY ALL), a AS (SELECT *, max(reads) OVER (PARTITION BY assembly_id, src) AS m FROM r), b AS (SELECT *, max(reads) OVER (PARTITION BY assembly_id, dst) AS m2 FROM a WHERE reads = m)
-SELECT assembly_id, src AS src_seq, dst AS dst_seq FROM b WHERE reads = m2""")
-def g19_strongest_edges(spark, d):
-    g = _graph(spark, d)
-    return _named(g, G.strongest_edges(g).edges).select("assembly_id", "src_seq", "dst_seq")
-
-
-@query()
-def g01_collapse(spark, d):
-    g = build(filtered(X.reads(spark, d), Settings()), Settings())
-    return G.collapse(g).nodes.select("assembly_id", "seq", "cnt")
-
-
-@query()
-def g20_components(spark, d):
-    g = G.staged_graph(G.collapse(build(filtered(X.reads(spark, d), Settings()), Settings())))
-    return G.components(g).groupBy("assembly_id", "group").agg(F.count("*").alias("nodes"), F.sum(F.length("seq")).alias("bases"))
-
-
 @query()
 def g00_assemble(spark, d):
     return assemble(X.reads(spark, d))
 
 
-@query(f"""WITH {X.kmers_sql(KLEN, CUT)}, ins AS (SELECT assembly_id, dst AS kmer, count(*) AS heads FROM edges GROUP BY ALL), outs AS (SELECT assembly_id, src AS kmer, count(*) AS tails FROM edges GROUP BY ALL),
-rd AS (SELECT assembly_id, kmer, count(DISTINCT read) AS reads FROM (SELECT assembly_id, src AS kmer, read FROM links UNION SELECT assembly_id, dst, read FROM links) GROUP BY ALL)
-SELECT n.assembly_id, n.kmer AS seq, n.cnt AS count, coalesce(reads, 0) AS readCount, coalesce(heads, 0) AS headEdgesCount, coalesce(tails, 0) AS tailEdgesCount FROM nodes n LEFT JOIN ins USING (assembly_id, kmer) LEFT JOIN outs USING (assembly_id, kmer) LEFT JOIN rd USING (assembly_id, kmer)""")
-def snk3_node_table(spark, d):
-    g = _graph(spark, d)
-    t = W.node_table(g).join(g.nodes.select("assembly_id", "node_id", "seq"), ["assembly_id", "node_id"])
-    return t.select("assembly_id", "seq", "count", "readCount", "headEdgesCount", "tailEdgesCount")
-
-
 # --- contigs ----------------------------------------------------------------------
 
 _SIM = X.REFERENCES_SQL + """, k AS (SELECT id, len(seq) AS n, substr(seq, p, 10) AS kmer, count(*) AS c FROM (SELECT *, unnest(range(1, len(seq) - 8)) AS p FROM refs) GROUP BY ALL)"""
@@ -324,7 +270,7 @@ def c04_kmer_similarity(spark, d):
     return C.kmer_similarity(refs, refs, 10)
 
 
-@query(f"""WITH {X.READS_SQL}, {X.REFERENCES_SQL}, own AS (SELECT sample, read_id, substr(seq, p, 15) AS kmer FROM (SELECT *, unnest(range(1, 137)) AS p FROM reads)), often AS (SELECT sample, kmer FROM own GROUP BY ALL HAVING count(*) > 1),
+@query(f"""WITH {X.READS_SQL}, {X.REFERENCES_SQL}, own AS (SELECT sample, read_id, substr(seq, p, 15) AS kmer FROM (SELECT *, unnest(range(1, len(seq) - 13)) AS p FROM reads)), often AS (SELECT sample, kmer FROM own GROUP BY ALL HAVING count(*) > 1),
 ref AS (SELECT DISTINCT substr(seq, p, 15) AS kmer FROM (SELECT *, unnest(range(1, len(seq) - 13)) AS p FROM refs)), s AS (SELECT sample, read_id, count(ref.kmer) / count(*) AS share FROM own SEMI JOIN often USING (sample, kmer) LEFT JOIN ref USING (kmer) GROUP BY ALL)
 SELECT r.sample, r.total, coalesce(u, 0) AS used, coalesce(u, 0) / r.total AS used_share FROM (SELECT sample, count(*) AS total FROM reads GROUP BY 1) r LEFT JOIN (SELECT sample, count(*) FILTER (WHERE share > 0.75) AS u FROM s GROUP BY 1) x USING (sample)""")
 def c07_used_by_kmers(spark, d):
@@ -429,7 +375,7 @@ def i09_outside(spark, d):
 
 
 @query(f"""WITH {X.READS_SQL}, {X.REFERENCES_SQL}, c AS (SELECT DISTINCT substr(seq, p, 19) AS kmer FROM (SELECT *, unnest(range(1, len(seq) - 17)) AS p FROM refs WHERE len(seq) >= 80)),
-b AS (SELECT read_id, '+' AS strand, seq FROM reads UNION ALL SELECT read_id, '-', reverse(translate(seq, 'ACGT', 'TGCA')) FROM reads), h AS (SELECT DISTINCT read_id, strand, substr(seq, p, 19) AS kmer FROM (SELECT *, unnest(range(1, 133)) AS p FROM b)),
+b AS (SELECT read_id, '+' AS strand, seq FROM reads UNION ALL SELECT read_id, '-', reverse(translate(seq, 'ACGT', 'TGCA')) FROM reads), h AS (SELECT DISTINCT read_id, strand, substr(seq, p, 19) AS kmer FROM (SELECT *, unnest(range(1, len(seq) - 17)) AS p FROM b)),
 n AS (SELECT read_id, strand, count(*) AS shared FROM h SEMI JOIN c USING (kmer) GROUP BY ALL HAVING count(*) >= 5), r AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY shared DESC, strand) AS r FROM n) SELECT read_id, strand, shared FROM r WHERE r = 1""")
 def i10_recruited_by_kmers(spark, d):
     return I.recruit_by_kmers(X.reads(spark, d), X.references(spark, d), 19, 5).select("read_id", "strand", "shared")
@@ -568,3 +514,6 @@ def h11_country_pieces(spark, d):
 @query(f"WITH {_COUNTS} SELECT country, array_to_string(list_sort(list(DISTINCT site)), ',') AS sites FROM counts GROUP BY 1")
 def h12_names_by_country(spark, d):
     return H.names_by_country(_places(spark, d))
+
+
+from . import graph_queries, table_queries  # noqa: E402, F401  they register theirs

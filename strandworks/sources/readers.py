@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import sequence as S
 
@@ -10,9 +10,19 @@ from ..functions import sequence as S
 FLAGS = {"is_paired": 1, "is_proper": 2, "unmapped": 4, "mate_unmapped": 8, "is_reverse": 16, "first": 64, "second": 128, "secondary": 256, "is_dup": 1024, "supplementary": 2048}
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """n and line over all files in order of their names: line counts of file blocks give each block its first number."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("lines"), F.min("id").alias("first"))
+    # one row a block of a file, summed in one task
+    before = F.sum("lines").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))
+    at = blocks.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    return lines.join(at, ["file", "block"]).select((F.col("id") + F.col("shift")).alias("n"), "line")
+
+
 def fastq(spark: SparkSession, path: str) -> DataFrame:
     """record, name, seq, qual: four lines a record, numbered over all files."""
-    lines = spark.sparkContext.textFile(path).zipWithIndex().toDF("line string, n long")
+    lines = numbered_lines(spark, path)
     rows = lines.groupBy(F.floor(F.col("n") / 4).alias("record")).agg(*[F.max(F.when(F.col("n") % 4 == i, F.col("line"))).alias(c) for i, c in ((0, "name"), (1, "seq"), (3, "qual"))])
     return rows.withColumn("name", F.regexp_replace("name", "^@", ""))
 
@@ -25,12 +35,12 @@ def paired_fastq(spark: SparkSession, path1: str, path2: str, turn_mate: bool =
     return a.select("record", "name", F.col("seq").alias("seq1"), F.col("qual").alias("qual1")).join(b.select("record", F.col("seq").alias("seq2"), F.col("qual").alias("qual2")), "record")
 
 
-def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """name (up to the first blank), description and seq."""
+def fasta(spark: SparkSession, path: str, *keep: str) -> DataFrame:
+    """name (up to the first blank), description and seq; ``keep``: columns that the folders carry."""
     rows = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
     head = F.substring_index("value", "\n", 1)
     seq = F.regexp_replace(F.col("value").substr(F.length(head) + 1, F.length("value")), r"\s", "")
-    return rows.select(F.trim(F.substring_index(head, " ", 1)).alias("name"), F.trim(head).alias("description"), seq.alias("seq"))
+    return rows.select(*keep, F.trim(F.substring_index(head, " ", 1)).alias("name"), F.trim(head).alias("description"), seq.alias("seq"))
 
 
 def sam(spark: SparkSession, path: str) -> DataFrame:
@@ -53,7 +63,7 @@ def bed(spark: SparkSession, path: str) -> DataFrame:
     """Regions: chrom, start, end, name, score, strand and the further fields as an array."""
     f = F.split("value", "\t")
     rows = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").rlike("^(#|track|browser)"))
-    return rows.select(f[0].alias("chrom"), f[1].cast("long").alias("start"), f[2].cast("long").alias("end"), F.get(f, F.lit(3)).alias("name"), F.try_to_number(F.get(f, F.lit(4)), F.lit("999999.99")).cast("double").alias("score"), F.get(f, F.lit(5)).alias("strand"), F.slice(f, 7, 1000).alias("extra"))
+    return rows.select(f[0].alias("chrom"), f[1].cast("long").alias("start"), f[2].cast("long").alias("end"), F.get(f, F.lit(3)).alias("name"), F.try_to_number(F.get(f, F.lit(4)), F.lit("999999.99")).cast("double").alias("score"), F.get(f, F.lit(5)).alias("strand"), F.slice(f, F.lit(7), F.greatest(F.size(f) - 6, F.lit(0))).alias("extra"))
 
 
 def require_columns(df: DataFrame, *columns: str) -> DataFrame:

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators.kmers import A, Graph, degrees
 
 
-def fasta_lines(contigs: DataFrame, meta: list[str]) -> DataFrame:
+def token() -> str:
+    """A fresh name for a folder."""
+    return uuid.uuid4().hex
+
+
+def fasta_lines(contigs: DataFrame, meta: list[str], *keep: str) -> DataFrame:
     """FASTA records whose names carry metadata: >name[a=1;b=2;]."""
     fields = F.concat_ws("", *[F.concat(F.lit(f"{m}="), F.coalesce(F.col(m).cast("string"), F.lit("NA")), F.lit(";")) for m in meta])
-    return contigs.select(F.concat(F.lit(">"), "name", F.lit("["), fields, F.lit("]\n"), "seq").alias("value"))
+    return contigs.select(*keep, F.concat(F.lit(">"), "name", F.lit("["), fields, F.lit("]\n"), "seq").alias("value"))
 
 
 def save_text(lines: DataFrame, path: str) -> None:
@@ -48,14 +55,24 @@ def save_by_group(nodes: DataFrame, path: str) -> None:
     nodes.write.partitionBy("group").parquet(path)
 
 
+def _ragged(report: DataFrame) -> DataFrame:
+    """The extra fields as extraField0.. columns, padded with null."""
+    most = report.agg(F.max(F.size("extra"))).first()[0] or 0
+    return report.select(*[c for c in report.columns if c != "extra"], *[F.get("extra", F.lit(i)).alias(f"extraField{i}") for i in range(max(most, 0))])
+
+
+def coverage_info(report: DataFrame) -> DataFrame:
+    """Per-base coverage of the regions."""
+    return _ragged(report.select("chrom", "start", "end", "name", (F.col("end") - F.col("start")).alias("length"), "strand", "coverage", "extra"))
+
+
 def basic_info(report: DataFrame, haplotypes: DataFrame | None = None) -> DataFrame:
-    """Region report with its ragged extra fields as extraField0.. columns, padded with null."""
+    """The whole region report, with ``haplotypes`` (uid, seq, cnt) also their number and reads."""
     out = report
     if haplotypes is not None:
         n = haplotypes.groupBy("uid").agg(F.countDistinct("seq").alias("uniqHaps"), F.sum("cnt").alias("readTotalUsed"))
         out = out.join(n, "uid", "left").na.fill(0, ["uniqHaps", "readTotalUsed"]).withColumn("success", F.col("uniqHaps") > 0)
-    most = out.agg(F.max(F.size("extra"))).first()[0] or 0
-    return out.select(*[c for c in out.columns if c != "extra"], *[F.get("extra", F.lit(i)).alias(f"extraField{i}") for i in range(max(most, 0))])
+    return _ragged(out)
 
 
 def graph_json(g: Graph) -> DataFrame:

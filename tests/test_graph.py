@@ -133,7 +133,7 @@ def test_mate_tags(spark):
 
 def test_repeated_kmers_get_their_own_tag(spark):
     g = K.steps_of(spark.createDataFrame([("s", 7, ["a", "b", "a", "b", "c"])], "assembly_id string, read_id long, tokens array<string>")).orderBy("pos").collect()
-    assert [r.read for r in g] == ["7", "7", "7-multipleOccurenceKmer-1", "7-multipleOccurenceKmer-1", "7"]
+    assert [r.read for r in g] == ["7", "7", "7#again1", "7#again1", "7"]
 
 
 def test_recovery_of_known_haplotypes(spark):
