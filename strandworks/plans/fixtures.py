@@ -117,5 +117,5 @@ counts AS (SELECT assembly_id, kmer, count(*) AS cnt FROM kmers GROUP BY ALL), n
 rep AS (SELECT read_id FROM (SELECT read_id, count(*) AS n, count(DISTINCT kmer) AS m FROM kmers GROUP BY 1) WHERE n > m),
 occ AS (SELECT *, 0 AS occ FROM kmers ANTI JOIN rep USING (read_id) UNION ALL SELECT *, greatest(row_number() OVER (PARTITION BY read_id, kmer ORDER BY pos) - 1, CASE WHEN nxt IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY read_id, nxt ORDER BY pos) - 1 END) FROM kmers SEMI JOIN rep USING (read_id)),
 links AS (SELECT o.assembly_id, o.kmer AS src, o.nxt AS dst, CASE WHEN occ = 0 THEN CAST(read_id AS VARCHAR) ELSE read_id || '#again' || occ END AS read
-  FROM occ o JOIN nodes a ON o.assembly_id = a.assembly_id AND o.kmer = a.kmer JOIN nodes b ON o.assembly_id = b.assembly_id AND o.nxt = b.kmer),
-edges AS (SELECT o.assembly_id, o.kmer AS src, o.nxt AS dst, count(*) AS cnt FROM kmers o JOIN nodes a ON o.assembly_id = a.assembly_id AND o.kmer = a.kmer JOIN nodes b ON o.assembly_id = b.assembly_id AND o.nxt = b.kmer GROUP BY ALL)"""
+  FROM occ o SEMI JOIN nodes a ON o.assembly_id = a.assembly_id AND o.kmer = a.kmer SEMI JOIN nodes b ON o.assembly_id = b.assembly_id AND o.nxt = b.kmer),
+edges AS (SELECT o.assembly_id, o.kmer AS src, o.nxt AS dst, count(*) AS cnt FROM kmers o SEMI JOIN nodes a ON o.assembly_id = a.assembly_id AND o.kmer = a.kmer SEMI JOIN nodes b ON o.assembly_id = b.assembly_id AND o.nxt = b.kmer GROUP BY ALL)"""

@@ -55,31 +55,31 @@ def graph_sql(n="n", e="e", nr="nr", er="er"):
     """Digest of tables of nodes (a, id, seq, cnt), edges (a, src, dst, cnt), node reads (a, id, read) and edge reads."""
     return f"""SELECT x.a AS assembly_id, nodes, node_cnt, node_hash, coalesce(edges, 0) AS edges, coalesce(edge_hash, 0) AS edge_hash, coalesce(node_reads, 0) AS node_reads, coalesce(read_hash, 0) AS read_hash, coalesce(edge_reads, 0) AS edge_reads
 FROM (SELECT a, count(*) AS nodes, sum(cnt)::BIGINT AS node_cnt, sum({_h('seq', 'CAST(cnt AS VARCHAR)')})::BIGINT AS node_hash FROM {n} GROUP BY a) x
-LEFT JOIN (SELECT e.a, count(*) AS edges, sum({_h('p.seq', 'q.seq', 'CAST(e.cnt AS VARCHAR)')})::BIGINT AS edge_hash FROM {e} e JOIN {n} p ON e.a = p.a AND e.src = p.id JOIN {n} q ON e.a = q.a AND e.dst = q.id GROUP BY e.a) y USING (a)
-LEFT JOIN (SELECT r.a, count(*) AS node_reads, sum({_h('p.seq', 'r.read')})::BIGINT AS read_hash FROM {nr} r JOIN {n} p ON r.a = p.a AND r.id = p.id GROUP BY r.a) z USING (a)
+LEFT JOIN (SELECT e.a, count(*) AS edges, sum({_h('p.seq', 'q.seq', 'CAST(e.cnt AS VARCHAR)')})::BIGINT AS edge_hash FROM {e} e JOIN {n} p ON e.a || e.src = p.a || p.id JOIN {n} q ON e.a || e.dst = q.a || q.id GROUP BY e.a) y USING (a)
+LEFT JOIN (SELECT r.a, count(*) AS node_reads, sum({_h('p.seq', 'r.read')})::BIGINT AS read_hash FROM {nr} r JOIN {n} p ON r.a || r.id = p.a || p.id GROUP BY r.a) z USING (a)
 LEFT JOIN (SELECT a, count(*) AS edge_reads FROM {er} GROUP BY a) w USING (a)"""
 
 
 def after_sql(n, e, before=""):
     """Digest where nodes and edges are those of ``n`` and ``e`` and the reads follow them."""
     return f"""{before}nn AS ({n}), ee AS (SELECT x.* FROM ({e}) x WHERE (a, src) IN (SELECT (a, id) FROM nn) AND (a, dst) IN (SELECT (a, id) FROM nn)), nrr AS (SELECT * FROM nr WHERE (a, id) IN (SELECT (a, id) FROM nn)),
-err AS (SELECT er.* FROM er SEMI JOIN ee ON er.a = ee.a AND er.src = ee.src AND er.dst = ee.dst) {graph_sql('nn', 'ee', 'nrr', 'err')}"""
+err AS (SELECT er.* FROM er SEMI JOIN ee ON er.a || er.src = ee.a || ee.src AND er.dst = ee.dst) {graph_sql('nn', 'ee', 'nrr', 'err')}"""
 
 
 RAW = X.CHATS_SQL + f""", km AS (SELECT sample AS a, read_id, pos, substr(seq, pos + 1, {KLEN}) AS kmer, CASE WHEN pos + 1 + {KLEN} <= len(seq) THEN substr(seq, pos + 2, {KLEN}) END AS nxt FROM (SELECT *, unnest(range(0, len(seq) - {KLEN} + 1)) AS pos FROM chats WHERE len(seq) > {KLEN})),
 rn AS (SELECT a, kmer AS id, kmer AS seq, count(*) AS cnt FROM km GROUP BY ALL HAVING count(*) > {CUT}),
 oc AS (SELECT *, greatest(row_number() OVER (PARTITION BY read_id, kmer ORDER BY pos) - 1, CASE WHEN nxt IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY read_id, nxt ORDER BY pos) - 1 END) AS occ FROM km),
-li AS (SELECT o.a, o.kmer AS src, o.nxt AS dst, CASE WHEN occ = 0 THEN CAST(read_id AS VARCHAR) ELSE read_id || '{K.AGAIN}' || occ END AS read FROM oc o JOIN rn x ON o.a = x.a AND o.kmer = x.id JOIN rn y ON o.a = y.a AND o.nxt = y.id),
+li AS (SELECT o.a, o.kmer AS src, o.nxt AS dst, CASE WHEN occ = 0 THEN CAST(read_id AS VARCHAR) ELSE read_id || '{K.AGAIN}' || occ END AS read FROM oc o JOIN rn x ON o.a || o.kmer = x.a || x.id JOIN rn y ON o.a || o.nxt = y.a || y.id),
 re AS (SELECT a, src, dst, count(*) AS cnt FROM li GROUP BY ALL), rer AS (SELECT DISTINCT * FROM li), rnr AS (SELECT a, src AS id, read FROM li UNION SELECT a, dst, read FROM li)"""
-BASE = "RECURSIVE " + RAW + """, ch AS (SELECT o.a, o.src, o.dst FROM (SELECT a, src, min(dst) AS dst FROM re GROUP BY a, src HAVING count(*) = 1) o SEMI JOIN (SELECT a, dst FROM re GROUP BY a, dst HAVING count(*) = 1) i ON o.a = i.a AND o.dst = i.dst WHERE o.src <> o.dst),
-walk AS (SELECT a, id AS start, id AS cur, 0 AS rank FROM rn ANTI JOIN ch ON rn.a = ch.a AND rn.id = ch.dst UNION ALL SELECT w.a, w.start, ch.dst, w.rank + 1 FROM walk w JOIN ch ON w.a = ch.a AND w.cur = ch.src),
-cn AS (SELECT w.a, start AS id, string_agg(CASE WHEN rank = 0 THEN cur ELSE right(cur, 1) END, '' ORDER BY rank) AS seq, sum(cnt)::BIGINT AS cnt FROM walk w JOIN rn ON w.a = rn.a AND w.cur = rn.id GROUP BY w.a, start),
-ce AS (SELECT e.a, p.start AS src, q.start AS dst, sum(e.cnt)::BIGINT AS cnt FROM re e JOIN walk p ON e.a = p.a AND e.src = p.cur JOIN walk q ON e.a = q.a AND e.dst = q.cur WHERE NOT (p.start = q.start AND q.rank = p.rank + 1) GROUP BY ALL),
-de0 AS (SELECT a, id, (SELECT count(*) FROM ce WHERE ce.a = cn.a AND ce.dst = cn.id) AS heads, (SELECT count(*) FROM ce WHERE ce.a = cn.a AND ce.src = cn.id) AS tails FROM cn),
-own AS (SELECT a, id FROM de0 SEMI JOIN (SELECT a, src FROM ce WHERE src = dst) l ON de0.a = l.a AND de0.id = l.src WHERE heads = 1 AND tails = 1),
-n AS (SELECT cn.* FROM cn ANTI JOIN own USING (a, id)), e AS (SELECT ce.* FROM ce SEMI JOIN n x ON ce.a = x.a AND ce.src = x.id SEMI JOIN n y ON ce.a = y.a AND ce.dst = y.id),
-er AS (SELECT DISTINCT r.a, p.start AS src, q.start AS dst, r.read FROM rer r JOIN walk p ON r.a = p.a AND r.src = p.cur JOIN walk q ON r.a = q.a AND r.dst = q.cur SEMI JOIN n x ON r.a = x.a AND p.start = x.id WHERE NOT (p.start = q.start AND q.rank = p.rank + 1)),
-nr AS (SELECT DISTINCT r.a, p.start AS id, r.read FROM rnr r JOIN walk p ON r.a = p.a AND r.id = p.cur SEMI JOIN n x ON r.a = x.a AND p.start = x.id),
+BASE = "RECURSIVE " + RAW + """, ch AS (SELECT o.a, o.src, o.dst FROM (SELECT a, src, min(dst) AS dst FROM re GROUP BY a, src HAVING count(*) = 1) o SEMI JOIN (SELECT a, dst FROM re GROUP BY a, dst HAVING count(*) = 1) i ON o.a || o.dst = i.a || i.dst WHERE o.src <> o.dst),
+walk AS (SELECT a, id AS start, id AS cur, 0 AS rank FROM rn ANTI JOIN ch ON rn.a || rn.id = ch.a || ch.dst UNION ALL SELECT w.a, w.start, ch.dst, w.rank + 1 FROM walk w JOIN ch ON w.a || w.cur = ch.a || ch.src),
+cn AS (SELECT w.a, start AS id, string_agg(CASE WHEN rank = 0 THEN cur ELSE right(cur, 1) END, '' ORDER BY rank) AS seq, sum(cnt)::BIGINT AS cnt FROM walk w JOIN rn ON w.a || w.cur = rn.a || rn.id GROUP BY w.a, start),
+ce AS (SELECT e.a, p.start AS src, q.start AS dst, sum(e.cnt)::BIGINT AS cnt FROM re e JOIN walk p ON e.a || e.src = p.a || p.cur JOIN walk q ON e.a || e.dst = q.a || q.cur WHERE NOT (p.start = q.start AND q.rank = p.rank + 1) GROUP BY ALL),
+de0 AS (SELECT a, id, (SELECT count(*) FROM ce WHERE ce.a || ce.dst = cn.a || cn.id) AS heads, (SELECT count(*) FROM ce WHERE ce.a || ce.src = cn.a || cn.id) AS tails FROM cn),
+own AS (SELECT a, id FROM de0 SEMI JOIN (SELECT a, src FROM ce WHERE src = dst) l ON de0.a || de0.id = l.a || l.src WHERE heads = 1 AND tails = 1),
+n AS (SELECT cn.* FROM cn ANTI JOIN own USING (a, id)), e AS (SELECT ce.* FROM ce SEMI JOIN n x ON ce.a || ce.src = x.a || x.id SEMI JOIN n y ON ce.a || ce.dst = y.a || y.id),
+er AS (SELECT DISTINCT r.a, p.start AS src, q.start AS dst, r.read FROM rer r JOIN walk p ON r.a || r.src = p.a || p.cur JOIN walk q ON r.a || r.dst = q.a || q.cur SEMI JOIN n x ON r.a || p.start = x.a || x.id WHERE NOT (p.start = q.start AND q.rank = p.rank + 1)),
+nr AS (SELECT DISTINCT r.a, p.start AS id, r.read FROM rnr r JOIN walk p ON r.a || r.id = p.a || p.cur SEMI JOIN n x ON r.a || p.start = x.a || x.id),
 deg AS (SELECT n.*, coalesce(heads, 0) AS heads, coalesce(tails, 0) AS tails, coalesce(reads, 0) AS reads FROM n LEFT JOIN (SELECT a, dst AS id, count(*) AS heads FROM e GROUP BY ALL) i USING (a, id) LEFT JOIN (SELECT a, src AS id, count(*) AS tails FROM e GROUP BY ALL) o USING (a, id) LEFT JOIN (SELECT a, id, count(*) AS reads FROM nr GROUP BY ALL) r USING (a, id))"""
 
 
@@ -130,7 +130,7 @@ def k19_unique_names(spark, d):
     return K.unique_names(n.unionByName(twin)).select(A, "name", "cnt")
 
 
-@query(f"WITH {BASE} SELECT e.a AS assembly_id, count(*) AS broken FROM e LEFT JOIN n p ON e.a = p.a AND e.src = p.id LEFT JOIN n q ON e.a = q.a AND e.dst = q.id WHERE p.cnt % 5 = 0 OR q.cnt % 5 = 0 GROUP BY e.a")
+@query(f"WITH {BASE} SELECT e.a AS assembly_id, count(*) AS broken FROM e LEFT JOIN n p ON e.a || e.src = p.a || p.id LEFT JOIN n q ON e.a || e.dst = q.a || q.id WHERE p.cnt % 5 = 0 OR q.cnt % 5 = 0 GROUP BY e.a")
 def k20_broken_edges(spark, d):
     """A graph from which some nodes were taken, and not their edges."""
     g = base(spark, d)
@@ -144,7 +144,7 @@ def k13_add_edges(spark, d):
     return digest(g.with_(edges=K.add_edges(g.edges, more)))
 
 
-@query(f"WITH {BASE}, w AS (SELECT a, seq, cnt FROM n WHERE cnt % 2 = 0 UNION ALL SELECT a, 'ACGT' || seq, 1 FROM n) SELECT a AS assembly_id, count(*) FILTER (WHERE known) AS known, count(*) AS total FROM (SELECT w.a, EXISTS (SELECT 1 FROM n WHERE n.a = w.a AND n.seq = w.seq) AS known FROM w UNION ALL SELECT n.a, FALSE FROM n WHERE cnt % 2 = 1) GROUP BY a")
+@query(f"WITH {BASE}, w AS (SELECT a, seq, cnt FROM n WHERE cnt % 2 = 0 UNION ALL SELECT a, 'ACGT' || seq, 1 FROM n) SELECT a AS assembly_id, count(*) FILTER (WHERE known) AS known, count(*) AS total FROM (SELECT w.a, EXISTS (SELECT 1 FROM n WHERE n.a || n.seq = w.a || w.seq) AS known FROM w UNION ALL SELECT n.a, FALSE FROM n WHERE cnt % 2 = 1) GROUP BY a")
 def k14_add_nodes(spark, d):
     n = base(spark, d).nodes
     more = n.where("cnt % 2 = 0").select(A, "seq", "cnt").unionByName(n.select(A, F.concat(F.lit("ACGT"), "seq").alias("seq"), F.lit(1).cast("long").alias("cnt")))
@@ -165,11 +165,11 @@ def k23_graphs_for_settings(spark, d):
     return digest(K.for_settings(base(spark, d), spark.createDataFrame([("x",), ("y",)], "setting string")))
 
 
-_FEW = "i AS (SELECT er.a, dst AS id, read FROM er JOIN deg ON er.a = deg.a AND er.dst = deg.id WHERE heads = 1 AND tails = 1), o AS (SELECT er.a, src AS id, read FROM er JOIN deg ON er.a = deg.a AND er.src = deg.id WHERE heads = 1 AND tails = 1), ni AS (SELECT a, id, count(*) AS c FROM i GROUP BY ALL), no AS (SELECT a, id, count(*) AS c FROM o GROUP BY ALL), sh AS (SELECT i.a, i.id, count(*) AS c FROM i JOIN o USING (a, id, read) GROUP BY ALL)"
+_FEW = "i AS (SELECT er.a, dst AS id, read FROM er JOIN deg ON er.a || er.dst = deg.a || deg.id WHERE heads = 1 AND tails = 1), o AS (SELECT er.a, src AS id, read FROM er JOIN deg ON er.a || er.src = deg.a || deg.id WHERE heads = 1 AND tails = 1), ni AS (SELECT a, id, count(*) AS c FROM i GROUP BY ALL), no AS (SELECT a, id, count(*) AS c FROM o GROUP BY ALL), sh AS (SELECT i.a, i.id, count(*) AS c FROM i JOIN o USING (a, id, read) GROUP BY ALL)"
 _FEW += ", bad AS (SELECT ni.a, ni.id FROM ni JOIN no USING (a, id) LEFT JOIN sh USING (a, id) WHERE coalesce(sh.c, 0) <> least(ni.c, no.c) AND coalesce(sh.c, 0) <= 2)"
 
 
-@query(f"WITH {BASE}, {_FEW}, n2 AS (SELECT a, id, seq, cnt FROM n UNION ALL SELECT n.a, n.id || '+', seq, cnt FROM n SEMI JOIN bad USING (a, id)), e2 AS (SELECT e.a, CASE WHEN bad.id IS NULL THEN src ELSE src || '+' END AS src, dst, cnt FROM e LEFT JOIN bad ON e.a = bad.a AND e.src = bad.id), nr2 AS (SELECT * FROM nr UNION ALL SELECT o.a, o.id || '+', read FROM o SEMI JOIN bad USING (a, id)) {graph_sql('n2', 'e2', 'nr2', 'er')}")
+@query(f"WITH {BASE}, {_FEW}, n2 AS (SELECT a, id, seq, cnt FROM n UNION ALL SELECT n.a, n.id || '+', seq, cnt FROM n SEMI JOIN bad USING (a, id)), e2 AS (SELECT e.a, CASE WHEN bad.id IS NULL THEN src ELSE src || '+' END AS src, dst, cnt FROM e LEFT JOIN bad ON e.a || e.src = bad.a || bad.id), nr2 AS (SELECT * FROM nr UNION ALL SELECT o.a, o.id || '+', read FROM o SEMI JOIN bad USING (a, id)) {graph_sql('n2', 'e2', 'nr2', 'er')}")
 def g03_split_low_coverage(spark, d):
     return digest(G.split_low_coverage(base(spark, d), 2))
 
@@ -182,7 +182,7 @@ def g05_remove_tips(spark, d):
     return digest(G.remove_tips(base(spark, d), 10, 4, until_stable=False))
 
 
-_PAIR = "al AS (SELECT e.a, p.id AS i1, q.id AS i2, p.seq AS s1, q.seq AS s2 FROM e JOIN deg p ON e.a = p.a AND e.src = p.id JOIN deg q ON e.a = q.a AND e.dst = q.id WHERE p.heads = 0 AND p.tails = 1 AND q.heads = 1 AND q.tails = 0 AND (len(p.seq) - 11 < 30 OR len(q.seq) - 11 < 30)), tw AS (SELECT a, seq FROM n GROUP BY ALL HAVING count(*) > 1), tp AS (SELECT a, i1 AS id, s1 AS seq FROM al UNION ALL SELECT a, i2, s2 FROM al), gone AS (SELECT a, id FROM tp WHERE len(seq) - 11 < 30 OR (a, seq) IN (SELECT (a, seq) FROM tw))"
+_PAIR = "al AS (SELECT e.a, p.id AS i1, q.id AS i2, p.seq AS s1, q.seq AS s2 FROM e JOIN deg p ON e.a || e.src = p.a || p.id JOIN deg q ON e.a || e.dst = q.a || q.id WHERE p.heads = 0 AND p.tails = 1 AND q.heads = 1 AND q.tails = 0 AND (len(p.seq) - 11 < 30 OR len(q.seq) - 11 < 30)), tw AS (SELECT a, seq FROM n GROUP BY ALL HAVING count(*) > 1), tp AS (SELECT a, i1 AS id, s1 AS seq FROM al UNION ALL SELECT a, i2, s2 FROM al), gone AS (SELECT a, id FROM tp WHERE len(seq) - 11 < 30 OR (a, seq) IN (SELECT (a, seq) FROM tw))"
 
 
 @query(f"WITH {BASE}, {_PAIR}, {after_sql('SELECT n.* FROM n ANTI JOIN gone USING (a, id)', 'SELECT * FROM e')}")
@@ -195,7 +195,7 @@ def g07_remove_islands(spark, d):
     return digest(G.remove_islands(base(spark, d), 25))
 
 
-@query(f"WITH {BASE}, lo AS (SELECT a, src FROM e WHERE src = dst), {after_sql('SELECT * FROM n', 'SELECT e.* FROM e ANTI JOIN lo ON e.a = lo.a AND e.src = lo.src ANTI JOIN lo l2 ON e.a = l2.a AND e.dst = l2.src')}")
+@query(f"WITH {BASE}, lo AS (SELECT a, src FROM e WHERE src = dst), {after_sql('SELECT * FROM n', 'SELECT e.* FROM e ANTI JOIN lo ON e.a || e.src = lo.a || lo.src ANTI JOIN lo l2 ON e.a || e.dst = l2.a || l2.src')}")
 def g08_break_self_loops(spark, d):
     return digest(G.break_self_loops(base(spark, d)))
 
@@ -205,10 +205,10 @@ def g08_cut_self_loops(spark, d):
     return digest(G.break_self_loops(base(spark, d), keep_others=True))
 
 
-_THROUGH = "thr AS (SELECT i.a, i.dst AS id, i.read, i.src AS h, o.dst AS t FROM er i JOIN er o ON i.a = o.a AND i.dst = o.src AND i.read = o.read JOIN deg ON deg.a = i.a AND deg.id = i.dst WHERE i.src <> i.dst AND o.dst <> o.src AND heads > 0 AND tails > 0 AND (heads > 1 OR tails > 1)), one AS (SELECT a, id, read, min(h) AS h, min(t) AS t FROM thr GROUP BY ALL HAVING count(*) = 1), br AS (SELECT a, id, h, t, count(*) AS w FROM one GROUP BY ALL HAVING count(*) > 1)"
+_THROUGH = "thr AS (SELECT i.a, i.dst AS id, i.read, i.src AS h, o.dst AS t FROM er i JOIN er o ON i.a || i.dst = o.a || o.src AND i.read = o.read JOIN deg ON deg.a || deg.id = i.a || i.dst WHERE i.src <> i.dst AND o.dst <> o.src AND heads > 0 AND tails > 0 AND (heads > 1 OR tails > 1)), one AS (SELECT a, id, read, min(h) AS h, min(t) AS t FROM thr GROUP BY ALL HAVING count(*) = 1), br AS (SELECT a, id, h, t, count(*) AS w FROM one GROUP BY ALL HAVING count(*) > 1)"
 
 
-@query(f"WITH {BASE}, {_THROUGH} SELECT br.a AS assembly_id, x.seq, y.seq AS head_seq, z.seq AS tail_seq, w AS bridging FROM br JOIN n x ON br.a = x.a AND br.id = x.id JOIN n y ON br.a = y.a AND br.h = y.id JOIN n z ON br.a = z.a AND br.t = z.id")
+@query(f"WITH {BASE}, {_THROUGH} SELECT br.a AS assembly_id, x.seq, y.seq AS head_seq, z.seq AS tail_seq, w AS bridging FROM br JOIN n x ON br.a || br.id = x.a || x.id JOIN n y ON br.a || br.h = y.a || y.id JOIN n z ON br.a || br.t = z.a || z.id")
 def g09_bridges(spark, d):
     g = base(spark, d)
     s = g.nodes.select(A, "node_id", "seq")
@@ -216,7 +216,7 @@ def g09_bridges(spark, d):
     return b.select(A, "seq", "head_seq", "tail_seq", F.col("n").alias("bridging"))
 
 
-_BY_NODES = "i AS (SELECT e.a, e.dst AS id, e.src AS h, x.read FROM e JOIN nr x ON x.a = e.a AND x.id = e.dst SEMI JOIN nr y ON y.a = e.a AND y.id = e.src AND y.read = x.read), o AS (SELECT e.a, e.src AS id, e.dst AS t, x.read FROM e JOIN nr x ON x.a = e.a AND x.id = e.src SEMI JOIN nr y ON y.a = e.a AND y.id = e.dst AND y.read = x.read), thr AS (SELECT i.a, i.id, i.read, h, t FROM i JOIN o USING (a, id, read) JOIN deg USING (a, id) WHERE h <> id AND t <> id AND heads > 0 AND tails > 0 AND (heads > 1 OR tails > 1)), one AS (SELECT a, id, read, min(h) AS h, min(t) AS t FROM thr GROUP BY ALL HAVING count(*) = 1), br AS (SELECT a, id, h, t, count(*) AS w FROM one GROUP BY ALL HAVING count(*) > 1)"
+_BY_NODES = "i AS (SELECT e.a, e.dst AS id, e.src AS h, x.read FROM e JOIN nr x ON x.a || x.id = e.a || e.dst SEMI JOIN nr y ON y.a || y.id = e.a || e.src AND y.read = x.read), o AS (SELECT e.a, e.src AS id, e.dst AS t, x.read FROM e JOIN nr x ON x.a || x.id = e.a || e.src SEMI JOIN nr y ON y.a || y.id = e.a || e.dst AND y.read = x.read), thr AS (SELECT i.a, i.id, i.read, h, t FROM i JOIN o USING (a, id, read) JOIN deg USING (a, id) WHERE h <> id AND t <> id AND heads > 0 AND tails > 0 AND (heads > 1 OR tails > 1)), one AS (SELECT a, id, read, min(h) AS h, min(t) AS t FROM thr GROUP BY ALL HAVING count(*) = 1), br AS (SELECT a, id, h, t, count(*) AS w FROM one GROUP BY ALL HAVING count(*) > 1)"
 
 
 @query(f"WITH {BASE}, {_BY_NODES} SELECT a AS assembly_id, count(*) AS ways, sum(w)::BIGINT AS bridging FROM br GROUP BY a")
@@ -232,11 +232,11 @@ def g11_shared_reads(spark, d):
 
 
 def _merge_sql(most, ok):
-    b = f"lk AS (SELECT d.a, d.id, d.seq, d.cnt, h.src AS h, t.dst AS t FROM deg d JOIN e h ON h.a = d.a AND h.dst = d.id JOIN e t ON t.a = d.a AND t.src = d.id WHERE heads = 1 AND tails = 1), gr AS (SELECT *, count(*) OVER (PARTITION BY a, h, t) AS size FROM lk), top AS (SELECT a, h, t, max(cnt) AS cnt FROM gr WHERE size BETWEEN 2 AND {most} GROUP BY ALL)"
-    b += f", mv AS (SELECT g.a, g.id, b.id AS best FROM gr g JOIN top USING (a, h, t) JOIN gr b ON b.a = g.a AND b.h = g.h AND b.t = g.t AND b.cnt = top.cnt WHERE g.cnt < top.cnt AND {ok})"
-    b += ", n2 AS (SELECT n.a, n.id, n.seq, (n.cnt + coalesce(m, 0))::BIGINT AS cnt FROM n ANTI JOIN mv ON n.a = mv.a AND n.id = mv.id LEFT JOIN (SELECT mv.a, best AS id, sum(cnt) AS m FROM mv JOIN n ON n.a = mv.a AND n.id = mv.id GROUP BY ALL) x ON x.a = n.a AND x.id = n.id)"
-    b += ", e2 AS (SELECT e.a, coalesce(p.best, src) AS src, coalesce(q.best, dst) AS dst, sum(cnt)::BIGINT AS cnt FROM e LEFT JOIN mv p ON p.a = e.a AND p.id = e.src LEFT JOIN mv q ON q.a = e.a AND q.id = e.dst GROUP BY ALL)"
-    b += ", er2 AS (SELECT DISTINCT e.a, coalesce(p.best, src) AS src, coalesce(q.best, dst) AS dst, read FROM er e LEFT JOIN mv p ON p.a = e.a AND p.id = e.src LEFT JOIN mv q ON q.a = e.a AND q.id = e.dst), nr2 AS (SELECT DISTINCT nr.a, coalesce(best, nr.id) AS id, read FROM nr LEFT JOIN mv ON mv.a = nr.a AND mv.id = nr.id) "
+    b = f"lk AS (SELECT d.a, d.id, d.seq, d.cnt, h.src AS h, t.dst AS t FROM deg d JOIN e h ON h.a || h.dst = d.a || d.id JOIN e t ON t.a || t.src = d.a || d.id WHERE heads = 1 AND tails = 1), gr AS (SELECT *, count(*) OVER (PARTITION BY a, h, t) AS size FROM lk), top AS (SELECT a, h, t, max(cnt) AS cnt FROM gr WHERE size BETWEEN 2 AND {most} GROUP BY ALL)"
+    b += f", mv AS (SELECT g.a, g.id, b.id AS best FROM gr g JOIN top USING (a, h, t) JOIN gr b ON b.a || b.h = g.a || g.h AND b.t = g.t AND b.cnt = top.cnt WHERE g.cnt < top.cnt AND {ok})"
+    b += ", n2 AS (SELECT n.a, n.id, n.seq, (n.cnt + coalesce(m, 0))::BIGINT AS cnt FROM n ANTI JOIN mv ON n.a || n.id = mv.a || mv.id LEFT JOIN (SELECT mv.a, best AS id, sum(cnt) AS m FROM mv JOIN n ON n.a || n.id = mv.a || mv.id GROUP BY ALL) x ON x.a || x.id = n.a || n.id)"
+    b += ", e2 AS (SELECT e.a, coalesce(p.best, src) AS src, coalesce(q.best, dst) AS dst, sum(cnt)::BIGINT AS cnt FROM e LEFT JOIN mv p ON p.a || p.id = e.a || e.src LEFT JOIN mv q ON q.a || q.id = e.a || e.dst GROUP BY ALL)"
+    b += ", er2 AS (SELECT DISTINCT e.a, coalesce(p.best, src) AS src, coalesce(q.best, dst) AS dst, read FROM er e LEFT JOIN mv p ON p.a || p.id = e.a || e.src LEFT JOIN mv q ON q.a || q.id = e.a || e.dst), nr2 AS (SELECT DISTINCT nr.a, coalesce(best, nr.id) AS id, read FROM nr LEFT JOIN mv ON mv.a || mv.id = nr.a || nr.id) "
     return f"WITH {BASE}, {b}" + graph_sql("n2", "e2", "nr2", "er2")
 
 
@@ -255,11 +255,11 @@ def g13_collapse_indels(spark, d):
 
 
 def _split_sql(chosen):
-    b = f"c AS (SELECT a, id FROM deg WHERE {chosen}), k AS (SELECT n.* FROM n ANTI JOIN c USING (a, id)), ke AS (SELECT e.* FROM e SEMI JOIN k x ON e.a = x.a AND e.src = x.id SEMI JOIN k y ON e.a = y.a AND e.dst = y.id)"
-    b += ", co AS (SELECT e.a, e.src AS id, e.dst AS other, e.cnt, e.src || '>' || e.dst AS fresh, TRUE AS tail FROM e SEMI JOIN c ON e.a = c.a AND e.src = c.id UNION ALL SELECT e.a, e.dst, e.src, e.cnt, e.dst || '<' || e.src, FALSE FROM e SEMI JOIN c ON e.a = c.a AND e.dst = c.id)"
-    b += ", n2 AS (SELECT * FROM k UNION ALL SELECT co.a, fresh, seq, co.cnt FROM co JOIN n ON n.a = co.a AND n.id = co.id), e2 AS (SELECT * FROM ke UNION ALL SELECT co.a, CASE WHEN tail THEN fresh ELSE other END, CASE WHEN tail THEN other ELSE fresh END, cnt FROM co SEMI JOIN k ON k.a = co.a AND k.id = co.other)"
-    b += ", s AS (SELECT er.a, src AS id, dst AS other, read, src || '>' || dst AS fresh, count(*) OVER (PARTITION BY er.a, src, read) AS w FROM er SEMI JOIN c ON er.a = c.a AND er.src = c.id UNION ALL SELECT er.a, dst, src, read, dst || '<' || src, count(*) OVER (PARTITION BY er.a, dst, read) FROM er SEMI JOIN c ON er.a = c.a AND er.dst = c.id)"
-    b += ", nr2 AS (SELECT nr.* FROM nr SEMI JOIN k USING (a, id) UNION ALL SELECT a, fresh, read FROM s WHERE w = 1), er2 AS (SELECT er.* FROM er SEMI JOIN ke ON er.a = ke.a AND er.src = ke.src AND er.dst = ke.dst UNION ALL SELECT s.a, fresh, other, read FROM s SEMI JOIN k ON k.a = s.a AND k.id = s.other WHERE w = 1) "
+    b = f"c AS (SELECT a, id FROM deg WHERE {chosen}), k AS (SELECT n.* FROM n ANTI JOIN c USING (a, id)), ke AS (SELECT e.* FROM e SEMI JOIN k x ON e.a || e.src = x.a || x.id SEMI JOIN k y ON e.a || e.dst = y.a || y.id)"
+    b += ", co AS (SELECT e.a, e.src AS id, e.dst AS other, e.cnt, e.src || '>' || e.dst AS fresh, TRUE AS tail FROM e SEMI JOIN c ON e.a || e.src = c.a || c.id UNION ALL SELECT e.a, e.dst, e.src, e.cnt, e.dst || '<' || e.src, FALSE FROM e SEMI JOIN c ON e.a || e.dst = c.a || c.id)"
+    b += ", n2 AS (SELECT * FROM k UNION ALL SELECT co.a, fresh, seq, co.cnt FROM co JOIN n ON n.a || n.id = co.a || co.id), e2 AS (SELECT * FROM ke UNION ALL SELECT co.a, CASE WHEN tail THEN fresh ELSE other END, CASE WHEN tail THEN other ELSE fresh END, cnt FROM co SEMI JOIN k ON k.a || k.id = co.a || co.other)"
+    b += ", s AS (SELECT er.a, src AS id, dst AS other, read, src || '>' || dst AS fresh, count(*) OVER (PARTITION BY er.a, src, read) AS w FROM er SEMI JOIN c ON er.a || er.src = c.a || c.id UNION ALL SELECT er.a, dst, src, read, dst || '<' || src, count(*) OVER (PARTITION BY er.a, dst, read) FROM er SEMI JOIN c ON er.a || er.dst = c.a || c.id)"
+    b += ", nr2 AS (SELECT nr.* FROM nr SEMI JOIN k USING (a, id) UNION ALL SELECT a, fresh, read FROM s WHERE w = 1), er2 AS (SELECT er.* FROM er SEMI JOIN ke ON er.a || er.src = ke.a || ke.src AND er.dst = ke.dst UNION ALL SELECT s.a, fresh, other, read FROM s SEMI JOIN k ON k.a || k.id = s.a || s.other WHERE w = 1) "
     return f"WITH {BASE}, {b}" + graph_sql("n2", "e2", "nr2", "er2")
 
 
@@ -281,12 +281,12 @@ def g17_remove_low_entropy_ends(spark, d):
     return digest(G.remove_low_entropy_ends(base(spark, d), 2.9))
 
 
-@query(f"WITH {BASE}, r AS (SELECT e.a, e.src, e.dst, e.cnt, count(er.read) AS c FROM e LEFT JOIN er ON e.a = er.a AND e.src = er.src AND e.dst = er.dst GROUP BY ALL), s AS (SELECT * FROM (SELECT *, max(c) OVER (PARTITION BY a, src) AS m FROM r) WHERE c = m), t AS (SELECT * FROM (SELECT a, src, dst, cnt, c, max(c) OVER (PARTITION BY a, dst) AS m2 FROM s) WHERE c = m2), {after_sql('SELECT * FROM n', 'SELECT a, src, dst, cnt FROM t')}")
+@query(f"WITH {BASE}, r AS (SELECT e.a, e.src, e.dst, e.cnt, count(er.read) AS c FROM e LEFT JOIN er ON e.a || e.src = er.a || er.src AND e.dst = er.dst GROUP BY ALL), s AS (SELECT * FROM (SELECT *, max(c) OVER (PARTITION BY a, src) AS m FROM r) WHERE c = m), t AS (SELECT * FROM (SELECT a, src, dst, cnt, c, max(c) OVER (PARTITION BY a, dst) AS m2 FROM s) WHERE c = m2), {after_sql('SELECT * FROM n', 'SELECT a, src, dst, cnt FROM t')}")
 def g19_strongest_edges(spark, d):
     return digest(G.strongest_edges(base(spark, d)))
 
 
-_GROUPS = "und AS (SELECT a, src AS x, dst AS y FROM e UNION SELECT a, dst, src FROM e), rch AS (SELECT a, id AS root, id FROM n UNION SELECT rch.a, rch.root, und.y FROM rch JOIN und ON und.a = rch.a AND und.x = rch.id), comp AS (SELECT a, id, min(root) AS g FROM rch GROUP BY ALL)"
+_GROUPS = "und AS (SELECT a, src AS x, dst AS y FROM e UNION SELECT a, dst, src FROM e), rch AS (SELECT a, id AS root, id FROM n UNION SELECT rch.a, rch.root, und.y FROM rch JOIN und ON und.a || und.x = rch.a || rch.id), comp AS (SELECT a, id, min(root) AS g FROM rch GROUP BY ALL)"
 
 
 @query(f"WITH {BASE}, {_GROUPS}, z AS (SELECT a, g, count(*) AS nodes, sum(len(seq))::BIGINT AS bases FROM comp JOIN n USING (a, id) GROUP BY ALL) SELECT a AS assembly_id, nodes, bases, count(*) AS groups FROM z GROUP BY ALL")
@@ -295,7 +295,7 @@ def g20_components(spark, d):
     return c.groupBy(A, "nodes", "bases").agg(F.count("*").alias("groups"))
 
 
-@query(f"WITH {BASE}, hs AS (SELECT e.a, e.dst AS id, min(p.seq) AS hs FROM e JOIN n p ON p.a = e.a AND p.id = e.src GROUP BY ALL HAVING count(*) = 1), ts AS (SELECT e.a, e.src AS id, min(p.seq) AS ts FROM e JOIN n p ON p.a = e.a AND p.id = e.dst GROUP BY ALL HAVING count(*) = 1) SELECT a AS assembly_id, coalesce(substr(hs, 1, len(hs) - 10), '') || seq || coalesce(substr(ts, 11), '') AS seq, cnt FROM n LEFT JOIN hs USING (a, id) LEFT JOIN ts USING (a, id)")
+@query(f"WITH {BASE}, hs AS (SELECT e.a, e.dst AS id, min(p.seq) AS hs FROM e JOIN n p ON p.a || p.id = e.a || e.src GROUP BY ALL HAVING count(*) = 1), ts AS (SELECT e.a, e.src AS id, min(p.seq) AS ts FROM e JOIN n p ON p.a || p.id = e.a || e.dst GROUP BY ALL HAVING count(*) = 1) SELECT a AS assembly_id, coalesce(substr(hs, 1, len(hs) - 10), '') || seq || coalesce(substr(ts, 11), '') AS seq, cnt FROM n LEFT JOIN hs USING (a, id) LEFT JOIN ts USING (a, id)")
 def g21_sequences_with_neighbours(spark, d):
     return G.node_sequences(base(spark, d), add_neighbours=True).select(A, "seq", "cnt")
 
@@ -318,7 +318,7 @@ def g27_samples_per_node(spark, d):
     return G.samples_per_node(g, of).join(g.nodes, [A, "node_id"]).select(A, "seq", "samples")
 
 
-@query(f"WITH {RAW} SELECT o.a AS assembly_id, count(*) AS steps, sum(pos)::BIGINT AS head_pos, sum(pos + 1)::BIGINT AS tail_pos FROM oc o SEMI JOIN rn x ON o.a = x.a AND o.kmer = x.id SEMI JOIN rn y ON o.a = y.a AND o.nxt = y.id GROUP BY o.a")
+@query(f"WITH {RAW} SELECT o.a AS assembly_id, count(*) AS steps, sum(pos)::BIGINT AS head_pos, sum(pos + 1)::BIGINT AS tail_pos FROM oc o SEMI JOIN rn x ON o.a || o.kmer = x.a || x.id SEMI JOIN rn y ON o.a || o.nxt = y.a || y.id GROUP BY o.a")
 def g24_edge_positions(spark, d):
     tokens = K.with_tokens(X.chats(spark, d).withColumn(A, F.col("sample")), KLEN).select(A, "read_id", "tokens")
     p = G.edge_positions(K.steps_of(tokens), K.nodes_from_counts(K.count_tokens(tokens, A), CUT))
@@ -339,7 +339,7 @@ def _edge_rows(g, t):
     return t.join(s.toDF(A, "src", "head"), [A, "src"]).join(s.toDF(A, "dst", "tail"), [A, "dst"]).drop("src", "dst")
 
 
-_EDGES = "SELECT e.a AS assembly_id, p.seq AS head, q.seq AS tail, e.cnt AS connectorCount, count(er.read) AS readCount{0} FROM e JOIN n p ON e.a = p.a AND e.src = p.id JOIN n q ON e.a = q.a AND e.dst = q.id JOIN er ON er.a = e.a AND er.src = e.src AND er.dst = e.dst GROUP BY e.a, p.seq, q.seq, e.cnt, e.src, e.dst"
+_EDGES = "SELECT e.a AS assembly_id, p.seq AS head, q.seq AS tail, e.cnt AS connectorCount, count(er.read) AS readCount{0} FROM e JOIN n p ON e.a || e.src = p.a || p.id JOIN n q ON e.a || e.dst = q.a || q.id JOIN er ON er.a || er.src = e.a || e.src AND er.dst = e.dst GROUP BY e.a, p.seq, q.seq, e.cnt, e.src, e.dst"
 
 
 @query(f"WITH {BASE} {_EDGES.format('')}")
@@ -460,7 +460,7 @@ def c17_unique_contigs(spark, d):
 _K3 = "list_distinct(list_transform(range(1, len({0}) - 1), lambda i: substr({0}, i, 3)))"
 
 
-@query(f"WITH {BASE}, r AS (SELECT a, seq, cnt, {_RUNS.format('seq')} AS runs FROM n WHERE len(seq) >= 12) SELECT a AS assembly_id, seq, cnt FROM r x WHERE NOT EXISTS (SELECT 1 FROM r y WHERE x.a = y.a AND x.runs = y.runs AND x.seq <> y.seq AND (y.cnt > x.cnt OR (y.cnt = x.cnt AND y.seq < x.seq)) AND len(list_intersect({_K3.format('x.seq')}, {_K3.format('y.seq')})) / (least(len(x.seq), len(y.seq)) - 2) >= 0.5)")
+@query(f"WITH {BASE}, r AS (SELECT a, seq, cnt, {_RUNS.format('seq')} AS runs FROM n WHERE len(seq) >= 12) SELECT a AS assembly_id, seq, cnt FROM r x WHERE NOT EXISTS (SELECT 1 FROM r y WHERE x.a || x.runs = y.a || y.runs AND x.seq <> y.seq AND (y.cnt > x.cnt OR (y.cnt = x.cnt AND y.seq < x.seq)) AND len(list_intersect({_K3.format('x.seq')}, {_K3.format('y.seq')})) / (least(len(x.seq), len(y.seq)) - 2) >= 0.5)")
 def c18_collapse_homopolymer_equal(spark, d):
     c = base(spark, d).nodes.where(F.length("seq") >= 12).select(A, F.concat_ws("|", A, "seq").alias("id"), "seq", "cnt", F.col("cnt").alias("coverage"))
     return C.collapse_homopolymer_equal(c, 3, 0.5).select(A, "seq", "cnt")
