@@ -151,8 +151,11 @@ def _hashed(pieces: DataFrame) -> DataFrame:
 
 def _spread(pieces: DataFrame, unit: str, length: int, k: int) -> tuple[DataFrame, list[str]]:
     """``pieces`` with the shards above HOT refined by longer anchors, round by round."""
-    ready, paths = None, []
-    for longer in sorted({k + (length - k) * i // 3 for i in (1, 2, 3)} - {k}):
+    ready, paths, rest = None, [], length - k
+    while rest:
+        # runs inside a common passage settle while they are long; only those at its ends go on to the next anchor
+        rest //= 3
+        longer = length - rest
         hot, at = stage(pieces.select("shard", "h1", "h2").distinct().groupBy("shard").count().where(F.col("count") > HOT).select("shard"), "hot")
         paths.append(at)
         n_hot = hot.count()
