@@ -429,7 +429,7 @@ def c06_reads_touching(spark, d):
     return C.reads_touching(X.chats(spark, d), r).select("read_id", "sample")
 
 
-@query(f"WITH {BASE} SELECT sample AS assembly_id, total, used, used / total AS used_share FROM (SELECT sample, count(*) AS total FROM chats GROUP BY 1) JOIN (SELECT a AS sample, count(DISTINCT split_part(read, '{K.AGAIN}', 1)) AS used FROM nr GROUP BY 1) USING (sample)")
+@query(f"WITH {BASE} SELECT sample AS assembly_id, total, coalesce(used, 0) AS used, coalesce(used, 0) / total AS used_share FROM (SELECT sample, count(*) AS total FROM chats GROUP BY 1) LEFT JOIN (SELECT a AS sample, count(DISTINCT split_part(read, '{K.AGAIN}', 1)) AS used FROM nr GROUP BY 1) USING (sample)")
 def c08_used_by_nodes(spark, d):
     return C.used_by_nodes(base(spark, d).node_reads, X.chats(spark, d).groupBy(F.col("sample").alias(A)).agg(F.count("*").alias("total")))
 
