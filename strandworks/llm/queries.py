@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, lm, mixing, packing, quality, rules, simhash, topk
+from . import chat, langid, lm, mixing, packing, periodic, quality, repair, rules, simhash, topk
 from . import substring_dedup as substrings
 from . import suffix_array_dedup as suffixes
 
@@ -53,11 +53,24 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return simhash.digest(simhash.simhash_groups(table(spark, sf_dir, "documents")))
 
 
+def op11_conversation_repair(spark, sf_dir):
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    return periodic.digest(periodic.periodic_runs(periodic.damaged(table(spark, sf_dir, "documents"))))
+
+
+def op13_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_suffix_array_dedup, op3_chat_formatting, op4_quality_classifier,
         op5_exact_topk, op6_source_mixing, op7_lm_scoring, op8_packing, op9_quality_rules, op10_simhash_near_dedup,
+        op11_conversation_repair, op12_periodic_runs, op13_language_id,
     )
 }
 
@@ -90,4 +103,6 @@ FROM h LEFT JOIN cut USING (doc_id) JOIN kept USING (doc_id)""",
     "op5_exact_topk": topk.SQL,
     "op6_source_mixing": mixing.SQL,
     "op9_quality_rules": rules.SQL,
+    "op11_conversation_repair": repair.SQL,
+    "op12_periodic_runs": periodic.SQL,
 }
