@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import sequence as S
 from .graph import run_difference
-from .kmers import A, AGAIN
+from .kmers import A, AGAIN, Graph
 
 
 def long_enough(contigs: DataFrame, k: int, length: int | None = None, open_length: int | None = None) -> DataFrame:
@@ -125,6 +125,12 @@ def estimate_coverage(contigs: DataFrame, counts: DataFrame, k: int, window: int
     return per.groupBy("sample", "id").agg(F.min("best.mean").alias("coverage"))
 
 
+def node_estimates(g: Graph, counts: DataFrame, window: int) -> DataFrame:
+    """node_id and coverage of nodes longer than 2 k, estimated from k-mer counts (assembly_id, kmer, cnt)."""
+    long = g.nodes.where(F.length("seq") > 2 * g.k).select(A, F.col(A).alias("sample"), F.col("node_id").alias("id"), "seq")
+    return estimate_coverage(long, counts.withColumnRenamed(A, "sample"), g.k, window).toDF(A, "node_id", "coverage")
+
+
 def trim_by_coverage(contigs: DataFrame, counts: DataFrame, k: int, cutoff: int) -> DataFrame:
     """k bases off an end whose outermost k-mer is counted at most twice the cutoff."""
     c = counts.select("sample", "kmer", "cnt")

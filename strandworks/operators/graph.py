@@ -6,7 +6,7 @@ nodes, ranked by support and then id, changes in one round and the rest wait.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from ..functions import sequence as S
 from .kmers import A, AGAIN, Graph, degrees, keep_edges, keep_nodes
@@ -28,24 +28,39 @@ def chain_edges(g: Graph) -> DataFrame:
     return outs.join(ins, [A, "dst"], "left_semi")
 
 
+def _jump(state: DataFrame) -> DataFrame:
+    """Every open node points as far again as it did, and knows the least id on the way."""
+    at = state.select(A, F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("rank").alias("rank2"), F.col("low").alias("low2"), F.col("done").alias("done2"))
+    moved = state.where("NOT done").join(at, [A, "up"]).select(
+        A, "node_id", F.col("up2").alias("up"), (F.col("rank") + F.col("rank2")).alias("rank"), F.least("low", "low2").alias("low"), F.col("done2").alias("done"))
+    return state.where("done").unionByName(moved)
+
+
 def chains(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """chain (id of the first node) and rank of every node, by pointer jumping; a cycle starts at its least id."""
-    state = staged(nodes.select(A, "node_id").join(links.select(A, F.col("dst").alias("node_id"), F.col("src").alias("up")), [A, "node_id"], "left").select(
+    """chain (id of the first node) and rank of every node, by pointer jumping; a circle starts at its least sequence.
+
+    Two jumps a written table; how many nodes are open is observed while it is written.
+    """
+    def held(df):
+        seen = Observation()
+        out = staged(df.observe(seen, F.count_if(~F.col("done")).alias("n"), F.sum(F.when(~F.col("done"), F.col("low").cast("decimal(38,0)"))).alias("low")))
+        return out, (seen.get["n"], seen.get["low"])
+
+    above = links.select(A, F.col("dst").alias("node_id"), F.col("src").alias("up"))
+    state, open_ = held(nodes.select(A, "node_id").join(above, [A, "node_id"], "left").select(
         A, "node_id", F.coalesce("up", "node_id").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("rank"), F.least("node_id", F.coalesce("up", "node_id")).alias("low"), F.col("up").isNull().alias("done")))
-    open_before, low_before = -1, None
-    while True:
-        n_open, low = state.agg(F.count_if(~F.col("done")), F.sum(F.when(~F.col("done"), F.col("low").cast("decimal(38,0)")))).first()
-        if not n_open:
-            return state.select(A, "node_id", F.col("up").alias("chain"), "rank")
-        if n_open == open_before and low == low_before:
-            break  # only cycles are left, and each knows its least id
-        open_before, low_before = n_open, low
-        at = state.select(A, F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("rank").alias("rank2"), F.col("low").alias("low2"), F.col("done").alias("done2"))
-        moved = state.where("NOT done").join(at, [A, "up"]).select(
-            A, "node_id", F.col("up2").alias("up"), (F.col("rank") + F.col("rank2")).alias("rank"), F.least("low", "low2").alias("low"), F.col("done2").alias("done"))
-        state = staged(state.where("done").unionByName(moved))
-    heads = state.where("NOT done").select(A, F.col("low").alias("dst")).distinct()
-    return chains(nodes, links.join(heads, [A, "dst"], "left_anti"))
+    before = None
+    while open_[0] and open_ != before:
+        before = open_
+        state, open_ = held(_jump(_jump(state)))
+    found = state.where("done").select(A, "node_id", F.col("up").alias("chain"), "rank")
+    if not open_[0]:
+        return found
+    # only circles are left, and each node knows the least id of its own
+    rings = nodes.join(state.where("NOT done").select(A, "node_id", "low"), [A, "node_id"])
+    heads = rings.groupBy(A, "low").agg(F.min_by("node_id", F.struct("seq", "node_id")).alias("dst"))
+    cut = links.join(rings.select(A, F.col("node_id").alias("dst")), [A, "dst"], "left_semi").join(heads, [A, "dst"], "left_anti")
+    return found.unionByName(chains(rings.select(A, "node_id", "seq"), cut))
 
 
 def contract(g: Graph, place: DataFrame) -> Graph:
@@ -70,29 +85,10 @@ def contract(g: Graph, place: DataFrame) -> Graph:
 
 
 def collapse(g: Graph) -> Graph:
-    """Every single-linked path becomes one node (loops too, cut at their least id)."""
+    """Every single-linked path becomes one node (circles too, cut at their least sequence)."""
     return contract(g, chains(g.nodes, chain_edges(g)))
 
 
-def collapse_loops(g: Graph) -> Graph:
-    """Possible simple loops: the cheapest entry edge into each loop node with one way on is cut, then paths collapse."""
-    d = degrees(g)
-    loop = d.where("heads = 2 AND tails = 1").select(A, F.col("node_id").alias("dst"))
-    entries = g.edges.join(loop, [A, "dst"], "left_semi").join(g.nodes.select(A, F.col("node_id").alias("src"), F.length("seq").alias("n")), [A, "src"])
-    first = entries.withColumn("r", F.row_number().over(Window.partitionBy(A).orderBy("cnt", "n", "src", "dst"))).where("r = 1")
-    kept = g.edges.join(first, [A, "src", "dst"], "left_anti")
-    return collapse(keep_edges(g, kept))
-
-
-def break_low_bridging(g: Graph, reach: int = 1) -> Graph:
-    """Chain edges that at most ``reach`` reads pass, between better supported ones, are cut before collapsing."""
-    links = chain_edges(g).join(g.edge_reads.groupBy(A, "src", "dst").agg(F.count("*").alias("reads")), [A, "src", "dst"], "left").withColumn("reads", F.coalesce("reads", F.lit(0)))
-    around = links.select(A, F.col("dst").alias("src"), F.col("reads").alias("before"))
-    after = links.select(A, F.col("src").alias("dst"), F.col("reads").alias("behind"))
-    weak = links.where(F.col("reads") <= reach).join(around, [A, "src"]).join(after, [A, "dst"]).where("before > 5 AND behind > 5")
-    return keep_edges(g, g.edges.join(weak.select(A, "src", "dst"), [A, "src", "dst"], "left_anti"))
-
-
 def split_low_coverage(g: Graph, cutoff: int) -> Graph:
     """A node with one way in and one out, which share too few reads, is split in two."""
     d = degrees(g).where("heads = 1 AND tails = 1").select(A, "node_id")
@@ -129,22 +125,27 @@ def tip_nodes(g: Graph, length: int, cutoff: int | DataFrame | None = None) -> D
     return tips if cutoff is None else tips.where(F.col("reads") < cutoff)
 
 
+def without_tips(g: Graph, tips: DataFrame) -> Graph:
+    cut = g.edges.join(tips.toDF(A, "src"), [A, "src"], "left_anti").join(tips.toDF(A, "dst"), [A, "dst"], "left_anti")
+    return keep_nodes(keep_edges(g, cut), g.nodes.join(tips, [A, "node_id"], "left_anti"))
+
+
 def remove_tips(g: Graph, length: int, cutoff: int | DataFrame | None = None, until_stable: bool = True) -> Graph:
     while True:
         tips = staged(tip_nodes(g, length, cutoff).select(A, "node_id"))
         if tips.isEmpty():
             return g
-        cut = g.edges.join(tips.toDF(A, "src"), [A, "src"], "left_anti").join(tips.toDF(A, "dst"), [A, "dst"], "left_anti")
-        g = staged_graph(keep_nodes(keep_edges(g, cut), g.nodes.join(tips, [A, "node_id"], "left_anti")))
+        g = staged_graph(without_tips(g, tips))
         if not until_stable:
             return g
 
 
-def tip_cutoffs(stats: DataFrame, cutoff: int) -> DataFrame:
+def tip_cutoffs(stats: DataFrame, cutoff: int | Column) -> DataFrame:
     """(assembly_id, tip_cutoff) from the k-mer count statistics of each assembly: no limit where the usual count is below
     ten, else the larger of 40 % of it and cutoff + 2."""
     usual = F.coalesce(F.greatest("mean_high", "median_high"), "pivot_count", F.lit(0.0))
-    return stats.select(A, F.when(usual >= 10, F.greatest(F.round(usual * 0.40), F.lit(cutoff + 2))).cast("long").alias("tip_cutoff"))
+    least = (F.lit(cutoff) if isinstance(cutoff, int) else cutoff) + 2
+    return stats.select(A, F.when(usual >= 10, F.greatest(F.round(usual * 0.40), least)).cast("long").alias("tip_cutoff"))
 
 
 def remove_pair_tips(g: Graph, length: int) -> Graph:
@@ -182,8 +183,10 @@ def break_self_loops(g: Graph, keep_others: bool = False) -> Graph:
 # --- disentangling ----------------------------------------------------------------
 
 
-def connector_cutoff(cutoff: int) -> int:
+def connector_cutoff(cutoff: int | Column) -> int | Column:
     """From 6 on, 34 % of the cutoff and at least 3; below, the cutoff and at most 3."""
+    if isinstance(cutoff, Column):
+        return F.when(cutoff >= 6, F.greatest(F.lit(3), F.floor(0.34 * cutoff))).otherwise(F.least(F.lit(3), cutoff))
     return max(3, int(0.34 * cutoff)) if cutoff >= 6 else min(3, cutoff)
 
 
@@ -209,21 +212,21 @@ def bridges(g: Graph, cutoff: int, by_nodes: bool = False) -> DataFrame:
     return only.groupBy(A, "node_id", "h", "t").agg(F.count("*").alias("n")).where(F.col("n") > connector_cutoff(cutoff))
 
 
-def disentangle(g: Graph, cutoff: int, by_nodes: bool = False, conservative: bool = False) -> tuple[Graph, int]:
-    """One round: a copy of the node for every bridged way through it.  Returns the graph and the number of nodes changed."""
+def disentangle(g: Graph, cutoff: int, by_nodes: bool = False, conservative: bool = False) -> tuple[Graph, DataFrame]:
+    """One round: a copy of the node for every bridged way through it.  Returns the graph and the assemblies that changed."""
     b = bridges(g, cutoff, by_nodes)
     if conservative:  # only where every edge of the node is explained
         d = degrees(g).select(A, "node_id", "heads", "tails")
         full = b.groupBy(A, "node_id").agg(F.countDistinct("h").alias("nh"), F.countDistinct("t").alias("nt")).join(d, [A, "node_id"]).where("nh = heads AND nt = tails")
         b = b.join(full, [A, "node_id"], "left_semi")
     b = staged(b)
-    rank = b.groupBy(A, "node_id").agg(F.sum("n").alias("w"))
+    rank = b.groupBy(A, "node_id").agg(F.sum("n").alias("w")).join(g.nodes.select(A, "node_id", "seq"), [A, "node_id"])
     near = g.edges.select(A, "src", "dst").union(g.edges.select(A, "dst", "src")).toDF(A, "node_id", "other").where("node_id <> other")
-    beaten = near.join(rank, [A, "node_id"]).join(rank.toDF(A, "other", "w2"), [A, "other"]).where("w2 > w OR (w2 = w AND other < node_id)").select(A, "node_id").distinct()
+    beaten = near.join(rank, [A, "node_id"]).join(rank.toDF(A, "other", "w2", "seq2"), [A, "other"]).where("w2 > w OR (w2 = w AND (seq2 < seq OR (seq2 = seq AND other < node_id)))").select(A, "node_id").distinct()
     chosen = staged(rank.join(beaten, [A, "node_id"], "left_anti").select(A, "node_id"))
-    n = chosen.count()
-    if not n:
-        return g, 0
+    changed = chosen.select(A).distinct()
+    if changed.isEmpty():
+        return g, changed
     b = b.join(chosen, [A, "node_id"], "left_semi").withColumn("new", F.xxhash64("node_id", "h", "t"))
     fresh = b.join(g.nodes.select(A, "node_id", "seq"), [A, "node_id"]).select(A, F.col("new").alias("node_id"), "seq", F.col("n").alias("cnt"))
     into = b.select(A, F.col("h").alias("src"), F.col("new").alias("dst"), F.col("n").alias("cnt"))
@@ -240,7 +243,7 @@ def disentangle(g: Graph, cutoff: int, by_nodes: bool = False, conservative: boo
     linked = edges.select(A, F.explode(F.array("src", "dst")).alias("node_id")).distinct()
     rest = g.nodes.join(chosen, [A, "node_id"], "left_semi").join(linked, [A, "node_id"], "left_anti").select(A, "node_id")
     out_graph = Graph(g.nodes.join(rest, [A, "node_id"], "left_anti").unionByName(fresh), edges, node_reads, edge_reads, g.k)
-    return staged_graph(keep_nodes(out_graph, out_graph.nodes)), n
+    return staged_graph(keep_nodes(out_graph, out_graph.nodes)), changed
 
 
 def share_loop_nodes(g: Graph) -> Graph:
@@ -309,12 +312,20 @@ def run_difference(a: Column, b: Column) -> Column:
     return F.when(S.run_bases(a) == S.run_bases(b), F.aggregate(F.zip_with(S.runs(a), S.runs(b), lambda x, y: F.abs(x["size"] - y["size"])), F.lit(0), lambda s, v: s + v))
 
 
-def collapse_indels(g: Graph, multiplier: float, limit: int = 1) -> Graph:
-    """Bubbles of two or three nodes that differ in homopolymer lengths only."""
+def collapse_indels(g: Graph, multiplier: float, limit: int = 1, estimates: DataFrame | None = None, max_length_difference: int = 10) -> Graph:
+    """Bubbles of two or three nodes that differ in homopolymer lengths only: the weaker merge into the best covered.
+
+    Coverage is the node's estimate (node_id, coverage) where there is one, else its
+    count by k-mer; nodes are ranked by it, then by sequence.
+    """
+    depth = F.col("cnt") / (F.length("seq") - g.k + 1)
     b = bubble_groups(g, 2, 3)
-    best = b.where("rank = 1").select(A, "h", "t", F.col("node_id").alias("best"), F.col("seq").alias("best_seq"), F.col("cnt").alias("best_cnt"))
+    if estimates is not None:
+        b, depth = b.join(estimates.select(A, "node_id", "coverage"), [A, "node_id"], "left"), F.coalesce("coverage", depth)
+    b = b.withColumn("depth", depth).withColumn("rank", F.row_number().over(Window.partitionBy(A, "h", "t").orderBy(F.desc("depth"), "seq", "node_id")))
+    best = b.where("rank = 1").select(A, "h", "t", F.col("node_id").alias("best"), F.col("seq").alias("best_seq"), F.col("depth").alias("best_depth"))
     x = b.where("rank > 1").join(best, [A, "h", "t"])
-    ok = (F.col("best_cnt") >= multiplier * F.col("cnt")) & (run_difference(F.col("seq"), F.col("best_seq")) <= limit)
+    ok = (F.abs(F.length("seq") - F.length("best_seq")) <= max_length_difference) & (F.col("best_depth") >= multiplier * F.col("depth")) & (run_difference(F.col("seq"), F.col("best_seq")) <= limit)
     return merge_into(g, x.where(ok))
 
 
@@ -445,36 +456,6 @@ def node_sequences(g: Graph, add_neighbours: bool = False) -> DataFrame:
     return x.withColumn("seq", F.concat(front, F.col("seq"), F.coalesce(F.col("ts").substr(F.lit(g.k), F.length("ts")), F.lit("")))).drop("hs", "ts")
 
 
-def all_paths(g: Graph, most: int = 10_000) -> DataFrame:
-    """Paths from headless to tailless nodes without a repeated edge: seq and places (node_id, start, end).
-
-    ``most`` bounds the open paths of an assembly; beyond it an error is raised, as
-    their number can grow exponentially.
-    """
-    d = degrees(g)
-    open_ = staged(d.where("headless").select(
-        A, "node_id", "seq", F.array(F.struct("node_id", F.lit(0).alias("start"), F.length("seq").alias("end"))).alias("places"), F.array().cast("array<struct<src:bigint,dst:bigint>>").alias("used"), "tailless"))
-    nodes = d.select(A, F.col("node_id").alias("dst"), F.col("seq").alias("s"), F.col("tailless").alias("last"))
-    done = []
-    while True:
-        done.append(open_.where("tailless").select(A, "seq", "places"))
-        grown = open_.where("NOT tailless").join(g.edges.select(A, F.col("src").alias("node_id"), "dst"), [A, "node_id"])
-        step = F.struct(F.col("node_id").alias("src"), "dst")
-        grown = grown.where(~F.array_contains("used", step)).withColumn("used", F.array_append("used", step)).join(nodes, [A, "dst"])
-        at = F.length("seq") - (g.k - 1)
-        place = F.struct(F.col("dst").alias("node_id"), at.alias("start"), (at + F.length("s")).alias("end"))
-        open_ = staged(grown.select(A, F.col("dst").alias("node_id"), F.concat("seq", F.col("s").substr(F.lit(g.k), F.length("s"))).alias("seq"), F.array_append("places", place).alias("places"), "used", F.col("last").alias("tailless")))
-        top = open_.groupBy(A).count().agg(F.max("count")).first()[0]
-        if not top:
-            break
-        if top > most:
-            raise ValueError(f"more than {most} open paths in an assembly")
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
-
-
 def drop_contained(contigs: DataFrame, k: int) -> DataFrame:
     """Isolated contigs inside a longer one of the assembly go; candidates share the contained one's first k-mer."""
     short = contigs.where("headless AND tailless").select(A, F.col("node_id").alias("short"), F.col("seq").alias("s"), F.left("seq", F.lit(k)).alias("kmer"))

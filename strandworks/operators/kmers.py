@@ -24,7 +24,8 @@ class Graph:
     edges: DataFrame
     node_reads: DataFrame
     edge_reads: DataFrame
-    k: int
+    #: In a sweep an expression of assembly_id.
+    k: int | Column
 
     def with_(self, **changes) -> "Graph":
         return replace(self, **changes)
@@ -99,7 +100,7 @@ def cutoffs_from_coverage(coverage: DataFrame, percents: DataFrame) -> DataFrame
 
 def nodes_from_counts(counts: DataFrame, cutoff: int) -> DataFrame:
     """Nodes are k-mers counted more than the cutoff."""
-    return counts.where(F.col("cnt") > cutoff).select(A, F.xxhash64(A, "kmer").alias("node_id"), F.col("kmer").alias("seq"), "cnt")
+    return counts.where(F.col("cnt") > cutoff).select(A, F.xxhash64("kmer").alias("node_id"), F.col("kmer").alias("seq"), "cnt")
 
 
 def steps_of(tokens: DataFrame, *keep: str) -> DataFrame:
@@ -158,7 +159,7 @@ def has_nodes(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def add_nodes(nodes: DataFrame, more: DataFrame) -> DataFrame:
     """Nodes and those of ``more`` whose sequence is new."""
-    fresh = more.join(nodes.select(A, "seq"), [A, "seq"], "left_anti").withColumn("node_id", F.xxhash64(A, "seq"))
+    fresh = more.join(nodes.select(A, "seq"), [A, "seq"], "left_anti").withColumn("node_id", F.xxhash64("seq"))
     return nodes.unionByName(fresh.select(nodes.columns))
 
 

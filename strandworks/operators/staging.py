@@ -36,6 +36,28 @@ def staged_all(*dfs: DataFrame) -> list[DataFrame]:
         return list(pool.map(staged, dfs))
 
 
+_SHARED: dict[tuple, list[tuple]] = {}
+
+
+def shared(spark: SparkSession, key: tuple, build) -> list[DataFrame]:
+    """Tables of ``build()``, written once for each ``key`` of an application and read again as long as they are there."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def there(path):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(conf).exists(p)
+
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _SHARED or not all(there(path) for path, _ in _SHARED[key]):
+        out = []
+        for df in build():
+            path = f"{shared_dir(spark)}/shared-{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            out.append((path, df.schema))
+        _SHARED[key] = out
+    return [spark.read.schema(schema).parquet(path) for path, schema in _SHARED[key]]
+
+
 @contextmanager
 def rounds(spark: SparkSession):
     """Tables staged inside are deleted at the end, but for what the yielded function keeps."""

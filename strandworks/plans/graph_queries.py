@@ -11,7 +11,7 @@ from ..functions import sequence as S
 from ..operators import contigs as C
 from ..operators import graph as G
 from ..operators import kmers as K
-from ..operators.staging import shared_dir, staged
+from ..operators.staging import shared, shared_dir, staged
 from ..sources import writers as W
 from . import fixtures as X
 from .registry import query
@@ -19,17 +19,34 @@ from .registry import query
 A, KLEN, CUT = K.A, 11, 1
 
 
+def version(spark, d):
+    """What the conversations were when a graph of them was made: folder, files' time and size."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/conversations.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return d, fs.getFileStatus(path).getModificationTime(), fs.getContentSummary(path).getLength()
+
+
+def graph_of(spark, d, name, make):
+    """The graph that ``make()`` returns, one for all queries of an application over the same folder."""
+    def tables():
+        g = make()
+        return g.nodes, g.edges, g.node_reads, g.edge_reads
+
+    return K.Graph(*shared(spark, (name, *version(spark, d)), tables), KLEN)
+
+
 def raw(spark, d):
     """The read-threaded graph of every role's texts."""
-    tokens = K.with_tokens(X.chats(spark, d).withColumn(A, F.col("sample")), KLEN).select(A, "read_id", "tokens")
-    return K.thread_reads(tokens, staged(K.nodes_from_counts(K.count_tokens(tokens, A), CUT)), KLEN)
+    def make():
+        tokens = K.with_tokens(X.chats(spark, d).withColumn(A, F.col("sample")), KLEN).select(A, "read_id", "tokens")
+        return K.thread_reads(tokens, staged(K.nodes_from_counts(K.count_tokens(tokens, A), CUT)), KLEN)
+
+    return graph_of(spark, d, "raw", make)
 
 
 def base(spark, d):
-    """The same, collapsed, without closed circles (SQL does not know where they are cut)."""
-    g = G.staged_graph(G.collapse(raw(spark, d)))
-    circle = K.degrees(g).where("heads = 1 AND tails = 1").join(G.self_loops(g).select(A, F.col("src").alias("node_id")), [A, "node_id"], "left_semi")
-    return G.staged_graph(K.keep_nodes(g, g.nodes.join(circle, [A, "node_id"], "left_anti")))
+    """The same, collapsed."""
+    return graph_of(spark, d, "base", lambda: G.collapse(raw(spark, d)))
 
 
 def text_hash(*parts):
@@ -72,14 +89,14 @@ oc AS (SELECT *, greatest(row_number() OVER (PARTITION BY read_id, kmer ORDER BY
 li AS (SELECT o.a, o.kmer AS src, o.nxt AS dst, CASE WHEN occ = 0 THEN CAST(read_id AS VARCHAR) ELSE read_id || '{K.AGAIN}' || occ END AS read FROM oc o JOIN rn x ON o.a || o.kmer = x.a || x.id JOIN rn y ON o.a || o.nxt = y.a || y.id),
 re AS (SELECT a, src, dst, count(*) AS cnt FROM li GROUP BY ALL), rer AS (SELECT DISTINCT * FROM li), rnr AS (SELECT a, src AS id, read FROM li UNION SELECT a, dst, read FROM li)"""
 BASE = "RECURSIVE " + RAW + """, ch AS (SELECT o.a, o.src, o.dst FROM (SELECT a, src, min(dst) AS dst FROM re GROUP BY a, src HAVING count(*) = 1) o SEMI JOIN (SELECT a, dst FROM re GROUP BY a, dst HAVING count(*) = 1) i ON o.a || o.dst = i.a || i.dst WHERE o.src <> o.dst),
-walk AS (SELECT a, id AS start, id AS cur, 0 AS rank FROM rn ANTI JOIN ch ON rn.a || rn.id = ch.a || ch.dst UNION ALL SELECT w.a, w.start, ch.dst, w.rank + 1 FROM walk w JOIN ch ON w.a || w.cur = ch.a || ch.src),
-cn AS (SELECT w.a, start AS id, string_agg(CASE WHEN rank = 0 THEN cur ELSE right(cur, 1) END, '' ORDER BY rank) AS seq, sum(cnt)::BIGINT AS cnt FROM walk w JOIN rn ON w.a || w.cur = rn.a || rn.id GROUP BY w.a, start),
-ce AS (SELECT e.a, p.start AS src, q.start AS dst, sum(e.cnt)::BIGINT AS cnt FROM re e JOIN walk p ON e.a || e.src = p.a || p.cur JOIN walk q ON e.a || e.dst = q.a || q.cur WHERE NOT (p.start = q.start AND q.rank = p.rank + 1) GROUP BY ALL),
-de0 AS (SELECT a, id, (SELECT count(*) FROM ce WHERE ce.a || ce.dst = cn.a || cn.id) AS heads, (SELECT count(*) FROM ce WHERE ce.a || ce.src = cn.a || cn.id) AS tails FROM cn),
-own AS (SELECT a, id FROM de0 SEMI JOIN (SELECT a, src FROM ce WHERE src = dst) l ON de0.a || de0.id = l.a || l.src WHERE heads = 1 AND tails = 1),
-n AS (SELECT cn.* FROM cn ANTI JOIN own USING (a, id)), e AS (SELECT ce.* FROM ce SEMI JOIN n x ON ce.a || ce.src = x.a || x.id SEMI JOIN n y ON ce.a || ce.dst = y.a || y.id),
-er AS (SELECT DISTINCT r.a, p.start AS src, q.start AS dst, r.read FROM rer r JOIN walk p ON r.a || r.src = p.a || p.cur JOIN walk q ON r.a || r.dst = q.a || q.cur SEMI JOIN n x ON r.a || p.start = x.a || x.id WHERE NOT (p.start = q.start AND q.rank = p.rank + 1)),
-nr AS (SELECT DISTINCT r.a, p.start AS id, r.read FROM rnr r JOIN walk p ON r.a || r.id = p.a || p.cur SEMI JOIN n x ON r.a || p.start = x.a || x.id),
+open AS (SELECT a, id AS start, id AS cur, 0 AS rank FROM rn ANTI JOIN ch ON rn.a || rn.id = ch.a || ch.dst UNION ALL SELECT w.a, w.start, ch.dst, w.rank + 1 FROM open w JOIN ch ON w.a || w.cur = ch.a || ch.src),
+ring AS (SELECT ch.* FROM ch ANTI JOIN open w ON w.a || w.cur = ch.a || ch.src),
+round AS (SELECT a, src AS start, src AS cur, 0 AS rank FROM ring UNION ALL SELECT w.a, w.start, r.dst, w.rank + 1 FROM round w JOIN ring r ON w.a || w.cur = r.a || r.src WHERE r.dst > w.start),
+walk AS (SELECT * FROM open UNION ALL SELECT x.* FROM round x SEMI JOIN (SELECT w.a, w.start FROM round w JOIN ring r ON w.a || w.cur = r.a || r.src AND w.start = r.dst) y ON x.a || x.start = y.a || y.start),
+n AS (SELECT w.a, start AS id, string_agg(CASE WHEN rank = 0 THEN cur ELSE right(cur, 1) END, '' ORDER BY rank) AS seq, sum(cnt)::BIGINT AS cnt FROM walk w JOIN rn ON w.a || w.cur = rn.a || rn.id GROUP BY w.a, start),
+e AS (SELECT e.a, p.start AS src, q.start AS dst, sum(e.cnt)::BIGINT AS cnt FROM re e JOIN walk p ON e.a || e.src = p.a || p.cur JOIN walk q ON e.a || e.dst = q.a || q.cur WHERE NOT (p.start = q.start AND q.rank = p.rank + 1) GROUP BY ALL),
+er AS (SELECT DISTINCT r.a, p.start AS src, q.start AS dst, r.read FROM rer r JOIN walk p ON r.a || r.src = p.a || p.cur JOIN walk q ON r.a || r.dst = q.a || q.cur WHERE NOT (p.start = q.start AND q.rank = p.rank + 1)),
+nr AS (SELECT DISTINCT r.a, p.start AS id, r.read FROM rnr r JOIN walk p ON r.a || r.id = p.a || p.cur),
 deg AS (SELECT n.*, coalesce(heads, 0) AS heads, coalesce(tails, 0) AS tails, coalesce(reads, 0) AS reads FROM n LEFT JOIN (SELECT a, dst AS id, count(*) AS heads FROM e GROUP BY ALL) i USING (a, id) LEFT JOIN (SELECT a, src AS id, count(*) AS tails FROM e GROUP BY ALL) o USING (a, id) LEFT JOIN (SELECT a, id, count(*) AS reads FROM nr GROUP BY ALL) r USING (a, id))"""
 
 
@@ -248,12 +265,6 @@ def g12_collapse_bubbles(spark, d):
 _RUNS = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, 'A+', 'A', 'g'), 'C+', 'C', 'g'), 'G+', 'G', 'g'), 'T+', 'T', 'g')"
 
 
-@query(_merge_sql(3, f"b.cnt >= 1.5 * g.cnt AND {_RUNS.format('g.seq')} = {_RUNS.format('b.seq')} AND levenshtein(g.seq, b.seq) <= 3"))
-def g13_collapse_indels(spark, d):
-    """Equal run by run, the edit distance is the sum of the runs' differences."""
-    return digest(G.collapse_indels(base(spark, d), 1.5, 3))
-
-
 def _split_sql(chosen):
     b = f"c AS (SELECT a, id FROM deg WHERE {chosen}), k AS (SELECT n.* FROM n ANTI JOIN c USING (a, id)), ke AS (SELECT e.* FROM e SEMI JOIN k x ON e.a || e.src = x.a || x.id SEMI JOIN k y ON e.a || e.dst = y.a || y.id)"
     b += ", co AS (SELECT e.a, e.src AS id, e.dst AS other, e.cnt, e.src || '>' || e.dst AS fresh, TRUE AS tail FROM e SEMI JOIN c ON e.a || e.src = c.a || c.id UNION ALL SELECT e.a, e.dst, e.src, e.cnt, e.dst || '<' || e.src, FALSE FROM e SEMI JOIN c ON e.a || e.dst = c.a || c.id)"
@@ -359,12 +370,14 @@ def snk6_count_table(spark, d):
     return W.count_tables(base(spark, d).nodes)
 
 
-@query(f"WITH {BASE}, {_GROUPS} SELECT a AS assembly_id, count(DISTINCT g) AS folders, count(*) AS nodes FROM comp GROUP BY a")
+@query(f"WITH {BASE}, {_GROUPS} SELECT a AS assembly_id, count(DISTINCT g) AS groups, count(*) AS nodes FROM comp GROUP BY a")
 def snk7_nodes_by_group(spark, d):
-    """One folder a group, read back."""
+    """Groups by the index and nodes by the files, each group found in the file that the index names."""
     path = f"{shared_dir(spark)}/groups-{W.token()}"
     W.save_by_group(G.components(base(spark, d)), path)
-    return spark.read.parquet(path).groupBy(A).agg(F.countDistinct("group").alias("folders"), F.count("*").alias("nodes"))
+    index = spark.read.parquet(f"{path}/index")
+    nodes = W.read_groups(spark, path).groupBy(A, "group", "file").agg(F.count("*").alias("rows"))
+    return index.join(nodes, [A, "group", "file", "rows"]).groupBy(A).agg(F.count("*").alias("groups"), F.sum("rows").alias("nodes"))
 
 
 @query(f"WITH {BASE} SELECT a AS assembly_id, nodes, bases, coalesce(links, 0) AS links, coalesce(value, 0) AS value FROM (SELECT a, count(*) AS nodes, sum(len(seq))::BIGINT AS bases FROM n GROUP BY a) LEFT JOIN (SELECT a, count(*) AS links, sum(cnt)::BIGINT AS value FROM e GROUP BY a) USING (a)")

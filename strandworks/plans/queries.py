@@ -516,4 +516,4 @@ def h12_names_by_country(spark, d):
     return H.names_by_country(_places(spark, d))
 
 
-from . import graph_queries, table_queries  # noqa: E402, F401  they register theirs
+from . import table_queries, graph_queries, path_queries  # noqa: E402, F401, I001  they register theirs, the cheaper ones first

@@ -50,9 +50,18 @@ def count_tables(nodes: DataFrame) -> DataFrame:
     return nodes.select(A, "seq", "cnt").orderBy(A, F.desc("cnt"), "seq")
 
 
-def save_by_group(nodes: DataFrame, path: str) -> None:
-    """One folder a connected group."""
-    nodes.write.partitionBy("group").parquet(path)
+def read_groups(spark, path: str) -> DataFrame:
+    """Nodes of the groups with the name of their file."""
+    return spark.read.parquet(f"{path}/nodes").withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+
+
+def save_by_group(nodes: DataFrame, path: str, files: int = 64) -> None:
+    """Nodes sorted by connected group in at most ``files`` files, and an index: which file holds a group, and how many rows.
+
+    A group lies in one file, however many groups there are; a reader of one group opens that file only.
+    """
+    nodes.repartition(files, A, "group").sortWithinPartitions(A, "group").write.parquet(f"{path}/nodes")
+    read_groups(nodes.sparkSession, path).groupBy(A, "group", "file").agg(F.count("*").alias("rows")).coalesce(1).write.parquet(f"{path}/index")
 
 
 def _ragged(report: DataFrame) -> DataFrame:

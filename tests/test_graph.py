@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandworks.operators import graph as G
 from strandworks.operators import kmers as K
+from strandworks.operators import paths as P
 from strandworks.plans.assemble import Settings, assemble, build
 
 SCHEMA = "read_id long, sample string, name string, seq string, qual string"
@@ -59,7 +60,7 @@ def test_inner_fork_is_disentangled_by_reads(spark):
     g = G.collapse(graph(spark, (a, 10), (b, 8)))
     assert len(seqs(g)) == 5
     g, n = G.disentangle(g, 2)
-    assert n == 1 and seqs(G.collapse(g)) == sorted([a, b])
+    assert n.count() == 1 and seqs(G.collapse(g)) == sorted([a, b])
 
 
 def test_far_variants_are_not_joined(spark):
@@ -67,7 +68,7 @@ def test_far_variants_are_not_joined(spark):
     parts = [(x[i : i + 30], 6) for x in (a, b) for i in range(0, 31, 2)]
     g = G.collapse(graph(spark, *parts))
     g2, n = G.disentangle(g, 2)
-    assert n == 0
+    assert n.isEmpty()
 
 
 def test_tip_goes(spark):
@@ -93,12 +94,13 @@ def test_bubble_with_error(spark):
     assert len(seqs(G.collapse(G.collapse_bubbles(g, 1, 20.0)))) == 4
 
 
-def test_cycle_is_cut_at_its_least_node(spark):
+def test_cycle_is_cut_at_its_least_sequence(spark):
     unit = "ACGGTCATTGCA"
     g = graph(spark, (unit * 3, 4), k=8)
     assert K.degrees(g).where("headless OR tailless").isEmpty()
     c = G.collapse(g)
     assert c.nodes.count() == 1 and G.self_loops(c).count() == 1 and len(c.nodes.first().seq) == len(unit) + 7
+    assert c.nodes.first().seq.startswith(min((unit * 2)[i : i + 8] for i in range(len(unit))))
     assert G.break_self_loops(c).edges.count() == 0
     assert G.components(g).select("group").distinct().count() == 1
     assert G.components(g, loop_aware=False).where("group IS NOT NULL").isEmpty()
@@ -109,7 +111,7 @@ def test_components_and_paths(spark):
     g = G.collapse(graph(spark, (LINE, 4), (other, 4)))
     assert G.components(g).select("group").distinct().count() == 2
     bub = G.collapse(graph(spark, (LINE, 10), (LINE[:30] + "ACGT"[("ACGT".index(LINE[30]) + 1) % 4] + LINE[31:], 8)))
-    paths = G.all_paths(bub).collect()
+    paths = P.numbered_paths(bub).collect()
     assert len(paths) == 2 and LINE in {p.seq for p in paths} and all(p.places[-1].end == len(p.seq) for p in paths)
 
 
