@@ -2,7 +2,7 @@
 
 Method: texts become tf-idf vectors over hashed byte pairs, words and repeat
 marks; a singular value decomposition of the exemplars' vectors gives the latent
-space.  At most ``EXEMPLARS`` labelled rows (the least by hash of their id) are
+space.  At most ``EXEMPLARS`` labelled rows with a document (the least by hash of their id) are
 exemplars: this documented bound fixes the size of what is broadcast, EXEMPLARS x
 LATENT floats and the projection.  Every document is compared with every
 exemplar by exact blocked cosine products, and its ``NEIGHBOURS`` nearest vote
@@ -84,9 +84,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("double").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0.0, 1.0) & (F.crc32(text_id.cast("binary")) % folds != 0)).distinct()
     )
-    chosen = usable.orderBy(F.md5(F.concat(F.lit(seed), text_id)), "doc_id", "label").limit(EXEMPLARS)
+    order = F.md5(F.concat(F.lit(seed), text_id))
+    # only labels that have a document take a place, and an id with many texts takes no more places than there are
+    found = keyed(docs, id_col, text_col).select("doc_id").join(usable, "doc_id").distinct()
+    chosen = found.orderBy(order, "doc_id", "label").limit(EXEMPLARS)
     rows = keyed(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "label", "text"])
-    got = rows.select("doc_id", "text", "label", F.xxhash64("text").alias("place")).mapInArrow(_vectors, "doc_id long, label double, place long, vector binary").toArrow()
+    vectors = rows.select("doc_id", "text", "label", F.xxhash64("text").alias("place")).mapInArrow(_vectors, "doc_id long, label double, place long, vector binary")
+    got = vectors.orderBy(order, "doc_id", "label", "place").limit(EXEMPLARS).toArrow()
     y = got.column("label").to_numpy()
     x = np.frombuffer(b"".join(got.column("vector").to_pylist()), np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
     order = np.lexsort((got.column("place").to_numpy(), y, got.column("doc_id").to_numpy()))  # the same model whatever the order of the rows

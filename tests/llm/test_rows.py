@@ -231,6 +231,19 @@ def test_quality_against_brute_force(spark):
         assert abs(out[i] - want) < room, (i, out[i], want)
 
 
+def test_labels_without_documents_take_no_place(spark, monkeypatch):
+    monkeypatch.setattr(quality, "EXEMPLARS", 40)
+    docs = spark.createDataFrame([(i, f"w{i % 7} text of {i}") for i in range(60)] + [(3, f"other text {i}") for i in range(80)], "doc_id long, text string")
+    orphans = spark.range(1000, 61_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    some = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    usable = [i for i in range(30) if i != 3 and zlib.crc32(str(i).encode()) % 5]
+    plain = quality.fit(docs.where("doc_id <> 3"), some)
+    model = quality.fit(docs.where("doc_id <> 3"), some.unionByName(orphans))
+    assert len(plain["y"]) == len(model["y"]) == len(usable)
+    # an id with more texts than there are places
+    assert len(quality.fit(docs, some.unionByName(orphans))["y"]) == 40
+
+
 def test_ties_go_to_the_smaller_exemplar():
     x = np.eye(4, dtype=np.float32)[[0] * 40]
     y = np.array([1.0] * 25 + [0.0] * 15)
