@@ -140,35 +140,6 @@ def trim_by_coverage(contigs: DataFrame, counts: DataFrame, k: int, cutoff: int)
     return x.withColumn("seq", S.piece("seq", front, F.greatest(F.length("seq") - front - back, F.lit(0)))).drop("_a", "_z", "_ca", "_cz")
 
 
-def trim_to_reference(contigs: DataFrame, refs: DataFrame, k: int) -> DataFrame:
-    """Contigs cut to the span between the reference's first and last k-mer; trim_status: both were found.
-
-    The reference is the one that shares most k-mers; anchors are its end k-mers."""
-    best = kmer_similarity(contigs, refs, k).withColumn("r", F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("similarity"), "b_id"))).where("r = 1")
-    x = contigs.join(best.select(F.col("a_id").alias("id"), F.col("b_id").alias("ref_id")), "id", "left").join(refs.select(F.col("id").alias("ref_id"), F.col("seq").alias("_ref")), "ref_id", "left")
-    a = F.position(F.left("_ref", F.lit(k)), F.col("seq"))
-    z = F.position(F.right("_ref", F.lit(k)), F.col("seq"))
-    ok = F.coalesce((a > 0) & (z >= a), F.lit(False))
-    start = F.when(a > 0, a - 1).otherwise(0)
-    end = F.when(z > 0, z - 1 + k).otherwise(F.length("seq"))
-    cut = F.when(end > start, S.piece("seq", start, end - start)).otherwise(F.col("seq"))
-    return x.withColumns({"trim_status": ok, "seq": F.when(F.col("_ref").isNotNull(), cut).otherwise(F.col("seq"))}).drop("_ref")
-
-
-def trim_to_circle(contigs: DataFrame, refs: DataFrame, k: int) -> DataFrame:
-    """Contigs of a circular reference, on the strand that shares more k-mers, without a repeated end; circular: such an end was there."""
-    both = contigs.select(F.struct("id", F.lit(False).alias("rev")).alias("id"), "seq").unionByName(contigs.select(F.struct("id", F.lit(True).alias("rev")).alias("id"), S.reverse_complement("seq").alias("seq")))
-    doubled = refs.select("id", F.concat("seq", "seq").alias("seq"))
-    sim = kmer_similarity(both, doubled, k)
-    best = sim.withColumn("r", F.row_number().over(Window.partitionBy("a_id.id").orderBy(F.desc("similarity"), "b_id", "a_id.rev"))).where("r = 1")
-    x = contigs.join(best.select(F.col("a_id.id").alias("id"), F.col("a_id.rev").alias("rev"), F.col("b_id").alias("ref_id")), "id", "left")
-    x = x.withColumn("seq", F.when(F.coalesce("rev", F.lit(False)), S.reverse_complement("seq")).otherwise(F.col("seq")))
-    n = F.length("seq")
-    sizes = F.when(n >= 2 * k, F.sequence(F.lit(k), F.floor(n / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
-    overlap = F.array_max(F.filter(sizes, lambda o: F.left("seq", o) == F.right("seq", o)))
-    return x.withColumn("_o", overlap).withColumns({"circular": F.col("_o").isNotNull(), "seq": S.piece("seq", 0, n - F.coalesce("_o", F.lit(0)))}).drop("_o", "rev")
-
-
 def unique_contigs(contigs: DataFrame, length: int = 0) -> DataFrame:
     """One contig a sequence (the best counted), of at least ``length``."""
     w = Window.partitionBy(A, "seq").orderBy(F.desc("cnt"), "id")

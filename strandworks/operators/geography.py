@@ -5,19 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .population import reject
+from .staging import staged
 
 P = ["country", "site"]
 
 
+def ranked(rows: DataFrame, *order) -> DataFrame:
+    """rank from 0 over all rows: rows are sorted by ranges, and the sizes of the ranges before give each its offset."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = staged(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row a partition
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("rank", (F.col("_before") + place).cast("int")).drop("_part", "_before", "_at")
+
+
 def collapse_haplotypes(seqs: DataFrame, refs: DataFrame, prefix: str = "hap") -> DataFrame:
     """Distinct sequences with count, fraction and name: the reference's, else prefix.NN by rank."""
-    n = seqs.groupBy("seq").agg(F.count("*").alias("cnt"))
-    # names need the rank over all haplotypes: distinct sequences with their counts are sorted in one task
-    w = Window.orderBy(F.desc("cnt"), "seq")
-    total = seqs.agg(F.count("*").alias("t"))
-    x = n.join(refs.groupBy("seq").agg(F.min("name").alias("ref")), "seq", "left").withColumn("rank", F.row_number().over(w) - 1)
+    n = staged(seqs.groupBy("seq").agg(F.count("*").alias("cnt")))
+    total = n.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("t"), (F.count("*") - 1).alias("last"))  # one row
+    x = ranked(n, F.desc("cnt"), "seq").join(refs.groupBy("seq").agg(F.min("name").alias("ref")), "seq", "left")
     x = x.join(F.broadcast(total)).withColumn("fraction", F.col("cnt") / F.col("t"))
-    width = F.greatest(F.length((F.col("t") * 0 + F.max("rank").over(Window.partitionBy())).cast("string")), F.lit(2))
+    width = F.greatest(F.length(F.col("last").cast("string")), F.lit(2))
     return x.withColumn("name", F.coalesce("ref", F.concat(F.lit(prefix + "."), F.lpad(F.col("rank").cast("string"), width, "0")))).select("seq", "name", "cnt", "fraction", "rank")
 
 

@@ -5,9 +5,12 @@ Table: target, sample, seq, cnt and optionally frac, replicate, meta (map).
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from os.path import commonprefix
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import sequence as S
 from .staging import staged
 
 T = ["target", "sample"]
@@ -128,23 +131,49 @@ def lacking(haplotypes: DataFrame, samples: DataFrame, targets: DataFrame) -> Da
     return every.join(haplotypes.select(*T), T, "left_anti")
 
 
-def close_pairs(rows: DataFrame, by: list[str], distance: int, k: int = 10) -> DataFrame:
-    """Pairs (seq, other) of one group within an edit distance.
+def _deletions(seq: str = "seq") -> Column:
+    """Hashes of a text and of all texts that lack one of its letters."""
+    c = F.col(seq)
+    without = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.xxhash64(F.concat(F.left(c, i - 1), F.substr(c, i + 1))))
+    return F.array_distinct(F.array_append(without, F.xxhash64(c)))
 
-    Two texts within d edits share one of d+1 parts, or part of it shifted; candidates
-    share a k-mer among those of the shorter text, or are too short to have one.
-    """
-    x = rows.select(*by, "seq", F.explode(F.concat(F.array_distinct(S.kmers("seq", k)), F.when(F.length("seq") < k * (distance + 2), F.array(F.lit("short"))).otherwise(F.array().cast("array<string>")))).alias("kmer"))
-    y = x.withColumnRenamed("seq", "other")
-    return x.join(y, [*by, "kmer"]).where("seq <> other").select(*by, "seq", "other").distinct().where(F.levenshtein("seq", "other", distance) >= 0)
 
+def _part_keys(n: Column, distance: int, seq: str, shift: int) -> Column:
+    """Parts of a text of ``n`` letters cut in distance + 1, looked up ``shift`` letters on: length, number and letters of each."""
+    d = distance + 1
+    return F.transform(F.sequence(F.lit(0), F.lit(distance)), lambda i: F.struct(
+        n.alias("n"), i.alias("i"), F.substr(F.col(seq), F.floor(i * n / d).cast("int") + 1 + shift, (F.floor((i + 1) * n / d) - F.floor(i * n / d)).cast("int")).alias("part")))
+
+
+def close_pairs(rows: DataFrame, by: list[str], distance: int) -> DataFrame:
+    """Pairs (seq, other) of one group within an edit distance.
 
-def cluster(rows: DataFrame, by: list[str], distance: int = 1) -> DataFrame:
-    """Each haplotype joins the most abundant neighbour within the distance that beats it, in rounds until none moves:
-    rows of *by*, seq (the representative) and cnt."""
+    Texts one edit apart have a text in common among themselves and those that lack
+    one letter; that is the key, so only texts within two edits meet.  Within more
+    edits, one of distance + 1 parts of the shorter text stands in the longer one,
+    moved by at most the distance.
+    """
+    x = rows.select(*by, "seq").distinct()
+    if distance == 1:
+        keyed = x.select(*by, "seq", F.explode(_deletions()).alias("key"))
+        pairs = keyed.join(keyed.withColumnRenamed("seq", "other"), [*by, "key"]).where("seq <> other")
+        return pairs.select(*by, "seq", "other").distinct().where(F.levenshtein("seq", "other", 1) >= 0)
+    n = F.length("seq")
+    parts = x.select(*by, "seq", F.explode(_part_keys(n, distance, "seq", 0)).alias("key"))
+    looks = F.concat(*[F.when(n - less > 0, _part_keys(n - less, distance, "seq", shift)).otherwise(F.array().cast("array<struct<n:int,i:int,part:string>>")) for less in range(distance + 1) for shift in range(-distance, distance + 1)])
+    found = x.select(*by, F.col("seq").alias("other"), F.explode(F.array_distinct(looks.cast("array<struct<n:int,i:int,part:string>>"))).alias("key"))
+    pairs = parts.withColumn("key", F.col("key").cast("struct<n:int,i:int,part:string>")).join(found, [*by, "key"]).where("seq <> other").select(*by, "seq", "other").distinct()
+    near = pairs.where(F.levenshtein("seq", "other", distance) >= 0)
+    return near.unionByName(near.select(*by, F.col("other").alias("seq"), F.col("seq").alias("other"))).distinct()
+
+
+def cluster(rows: DataFrame, by: list[str], distance: int = 1, rounds: int | None = None) -> DataFrame:
+    """Each haplotype joins the most abundant neighbour within the distance that beats it, in rounds until none moves
+    (or ``rounds`` are over): rows of *by*, seq (the representative) and cnt."""
     now = staged(rows.groupBy(*by, "seq").agg(F.sum("cnt").alias("cnt")))
     near = staged(close_pairs(now, by, distance))
-    while True:
+    while rounds is None or rounds > 0:
+        rounds = None if rounds is None else rounds - 1
         other = now.select(*by, F.col("seq").alias("other"), F.col("cnt").alias("c2"))
         up = near.join(now, [*by, "seq"]).join(other, [*by, "other"]).where("c2 > cnt OR (c2 = cnt AND other < seq)")
         best = up.groupBy(*by, "seq").agg(F.max(F.struct("c2", "other")).alias("b")).select(*by, "seq", F.col("b.other").alias("to"))
@@ -153,6 +182,7 @@ def cluster(rows: DataFrame, by: list[str], distance: int = 1) -> DataFrame:
         if moves.isEmpty():
             return now
         now = staged(now.join(moves, [*by, "seq"], "left").groupBy(*by, F.coalesce("to", "seq").alias("seq")).agg(F.sum("cnt").alias("cnt")))
+    return now
 
 
 def least_reads(haplotypes: DataFrame, sample_reads: int = 10, cluster_size: int = 5) -> DataFrame:
@@ -186,33 +216,44 @@ def drop_one_offs(haplotypes: DataFrame, multiplier: float) -> DataFrame:
     return haplotypes.join(bad, [*T, "seq"], "left_anti")
 
 
-def common_prefix(a: Column, b: Column) -> Column:
-    n = F.least(F.length(a), F.length(b))
-    return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), n), lambda i: F.left(a, i) == F.left(b, i))), F.lit(0))
+def _two_best(seq: str, ordered: list[str]) -> list[tuple[int, str]]:
+    """The two texts of a sorted list that share the longest prefixes with ``seq``: they are among the two on either side."""
+    at = bisect_left(ordered, seq)
+    near = {x for x in ordered[max(at - 2, 0) : at + 3] if x != seq}
+    return sorted(((len(commonprefix((seq, x))), x) for x in near), reverse=True)[:2]
+
+
+def _chimeras(factor: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Haplotypes of one sample by falling frequency; those frequent enough to be parents lie in two sorted lists, forward and backward."""
+        rows = rows.sort_values(["low", "seq"], ascending=[False, True])
+        parents = rows.sort_values(["high", "seq"], ascending=[False, True])
+        names, highs = parents["seq"].tolist(), parents["high"].tolist()
+        forward, backward, used, out = [], [], 0, []
+        for seq, low in zip(rows["seq"], rows["low"]):
+            while used < len(names) and highs[used] >= factor * low:
+                insort(forward, names[used])
+                insort(backward, names[used][::-1])
+                used += 1
+            fronts, backs = _two_best(seq, forward), _two_best(seq[::-1], backward)
+            out.append(any(p > 0 and s > 0 and p + s >= len(seq) and a != b[::-1] for p, a in fronts for s, b in backs))
+        return pd.DataFrame({"target": rows["target"], "sample": rows["sample"], "seq": rows["seq"], "chimera": out})
 
+    return run
 
-def mark_chimeras(haplotypes: DataFrame, factor: float = 2.0, k: int = 1) -> DataFrame:
+
+def mark_chimeras(haplotypes: DataFrame, factor: float = 2.0) -> DataFrame:
     """chimera: a prefix of one haplotype of the sample and the rest of another, both ``factor`` times as frequent.
 
-    Parents share the first or the last k bases with it, which is the key of the pair join.  The longest prefix and the
-    longest suffix are paired, or, if both are of one parent, either with the best of any other parent."""
-    own = haplotypes.select(*T, "seq", "frac")
-    other = haplotypes.select(*T, F.col("seq").alias("parent"), F.col("frac").alias("pf"))
-
-    def side(cut, turn, name):
-        x, y = own.withColumn("_key", cut("seq")), other.withColumn("_key", cut("parent"))
-        shared = x.join(y, [*T, "_key"]).where((F.col("seq") != F.col("parent")) & (F.col("pf") >= factor * F.col("frac")))
-        shared = shared.select(*T, "seq", "parent", common_prefix(turn("seq"), turn("parent")).alias("n"))
-        best = shared.groupBy(*T, "seq").agg(F.max(F.struct("n", "parent")).alias(name))
-        rest = shared.join(best, [*T, "seq"]).where(F.col("parent") != F.col(f"{name}.parent")).groupBy(*T, "seq").agg(F.max("n").alias(f"{name}2"))
-        return best.join(rest, [*T, "seq"], "left")
-
-    front = side(lambda c: F.left(c, F.lit(k)), F.col, "p")
-    back = side(lambda c: F.right(c, F.lit(k)), F.reverse, "s")
-    n, p, s = F.length("seq"), F.col("p.n"), F.col("s.n")
-    two = F.when(F.col("p.parent") != F.col("s.parent"), p + s >= n).otherwise(F.coalesce(p + F.col("s2") >= n, F.lit(False)) | F.coalesce(F.col("p2") + s >= n, F.lit(False)))
-    x = front.join(back, [*T, "seq"]).where(two).select(*T, "seq", F.lit(True).alias("chimera"))
-    return haplotypes.join(x, [*T, "seq"], "left").withColumn("chimera", F.coalesce("chimera", F.lit(False)))
+    The longest prefixes are those of neighbours in sorted order, the longest
+    suffixes those of neighbours of the reversed texts; two of each are enough, as
+    the parents differ.  The haplotypes of one sample and target are one group.
+    """
+    sums = haplotypes.groupBy(*T, "seq").agg(F.max("frac").alias("high"), F.min("frac").alias("low"))
+    kinds = haplotypes.schema
+    schema = f"target {kinds['target'].dataType.simpleString()}, sample {kinds['sample'].dataType.simpleString()}, seq string, chimera boolean"
+    marks = sums.groupBy(*T).applyInPandas(_chimeras(factor), schema).where("chimera")
+    return haplotypes.join(marks, [*T, "seq"], "left").withColumn("chimera", F.coalesce("chimera", F.lit(False)))
 
 
 def population_clusters(haplotypes: DataFrame, distance: int = 1) -> DataFrame:

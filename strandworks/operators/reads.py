@@ -88,21 +88,27 @@ def rescue_n(reads: DataFrame, k: int) -> DataFrame:
 
 
 def constant_kmers(reads: DataFrame, k: int, least: int = 40, spread: float = 15.0) -> DataFrame:
-    """K-mers seen often, always at nearly the same place of the read."""
+    """K-mers seen often, always at nearly the same place of the read: kmer, n and the places' standard deviation, from whole sums."""
     at = reads.select(F.posexplode(S.kmers("seq", k)).alias("pos", "kmer"))
-    return at.groupBy("kmer").agg(F.count("*").alias("n"), F.stddev_pop("pos").alias("sd")).where((F.col("n") >= least) & (F.col("sd") < spread))
+    sums = at.groupBy("kmer").agg(F.count("*").alias("n"), F.sum("pos").alias("s"), F.sum((F.col("pos") * F.col("pos")).cast("long")).alias("q")).where(F.col("n") >= least)
+    sd = F.sqrt(F.greatest(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2), F.lit(0.0)))
+    return sums.select("kmer", "n", sd.alias("sd")).where(F.col("sd") < spread)
 
 
-#: Constant k-mers that are sent to every task; beyond it they are joined by shuffle.
-FEW = 1 << 17
+#: Constant k-mers that every read is tested against in its own row; up to FEW they are sent to every task, beyond it joined by shuffle.
+LITERALS, FEW = 2_000, 1 << 17
 
 
 def drop_constant(reads: DataFrame, bad: DataFrame, k: int, margin: int = 200) -> DataFrame:
     """Reads without a constant k-mer within ``margin`` of either end."""
     bad = staged(bad.select("kmer"))
-    few = F.broadcast(bad) if bad.count() <= FEW else bad
+    size = bad.count()
     n = F.length("seq")
     near = F.filter(S.upto(n - k + 1), lambda i: (i < margin) | (i + k > n - margin))
+    if size <= LITERALS:
+        known = [r.kmer for r in bad.collect()]
+        return reads.where(~F.exists(near, lambda i: F.col("seq").substr(i + 1, F.lit(k)).isin(known))) if known else reads
+    few = F.broadcast(bad) if size <= FEW else bad
     at = reads.select("read_id", F.explode(F.transform(near, lambda i: F.col("seq").substr(i + 1, F.lit(k)))).alias("kmer"))
     hit = at.join(few, "kmer", "left_semi").select("read_id").distinct()
     return reads.join(hit, "read_id", "left_anti")

@@ -104,16 +104,49 @@ def recruit_by_kmers(reads: DataFrame, contigs: DataFrame, k: int = 19, least: i
     return both.join(best, ["read_id", "strand"])
 
 
-def recruit_until_stable(pool: DataFrame, contigs: DataFrame, assemble, rounds: int = 20, **options) -> tuple[DataFrame, DataFrame]:
-    """Recruit reads of ``pool`` that match the contigs, assemble again, until nothing new comes or ``rounds`` are over."""
-    have = staged(recruit_by_kmers(pool, contigs, **options).select("read_id", "seq"))
-    for _ in range(rounds):
-        contigs = staged(assemble(have))
-        new = staged(recruit_by_kmers(pool.join(have, "read_id", "left_anti"), contigs, **options).select("read_id", "seq"))
+def recruit_to(reads: DataFrame, contigs: DataFrame, k: int = 19, least: int = 1, length: int = 80) -> DataFrame:
+    """Reads (read_id, seq) by the assembly whose contigs (assembly, seq) they share at least ``least`` k-mers with, turned to
+    the better strand: assembly, read_id, seq, shared."""
+    known = contigs.where(F.length("seq") >= length).select("assembly", F.explode(F.array_distinct(S.kmers("seq", k))).alias("kmer")).distinct()
+    both = reads.select("read_id", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("seq").alias("seq")), F.struct(F.lit("-").alias("strand"), S.reverse_complement("seq").alias("seq")))).alias("x")).select("read_id", "x.strand", "x.seq")
+    hit = both.select("read_id", "strand", F.explode(F.array_distinct(S.kmers("seq", k))).alias("kmer")).join(known, "kmer")
+    n = hit.groupBy("assembly", "read_id", "strand").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    best = n.groupBy("assembly", "read_id").agg(F.max("shared").alias("shared"), F.min_by("strand", F.struct((-F.col("shared")).alias("n"), "strand")).alias("strand"))
+    turned = F.when(F.col("strand") == "-", S.reverse_complement("seq")).otherwise(F.col("seq"))
+    return best.join(reads.select("read_id", "seq"), "read_id").select("assembly", "read_id", turned.alias("seq"), "shared")
+
+
+def recruit_rounds(pool: DataFrame, seeds: DataFrame, assemble, rounds: int = 20, **options) -> tuple[DataFrame, DataFrame]:
+    """Recruit reads of ``pool`` that match the seeds (assembly, seq), assemble what each assembly has, go on with the contigs.
+
+    ``assemble(reads, i)`` makes contigs (assembly, seq) from reads (assembly, read_id,
+    seq) of round i.  Only contigs that no earlier round had meet the pool, and only
+    reads that an assembly does not have yet are new; the loop ends when there are
+    none, or after ``rounds``.  Returns reads and contigs with the round they came in.
+    """
+    have, met, contigs = None, staged(seeds.select("assembly", "seq").distinct()), seeds
+    made = []
+    for i in range(rounds):
+        found = recruit_to(pool, contigs, **options)
+        if have is not None:
+            found = found.join(have.select("assembly", "read_id"), ["assembly", "read_id"], "left_anti")
+        new = staged(found.select("assembly", "read_id", "seq", F.lit(i).alias("round")))
         if new.isEmpty():
             break
-        have = staged(have.unionByName(new))
-    return have, contigs
+        have = new if have is None else staged(have.unionByName(new))
+        # an assembly without new reads would give the contigs it gave before
+        grown = have.join(new.select("assembly").distinct(), "assembly", "left_semi")
+        fresh = assemble(grown.drop("round"), i).select("assembly", "seq").distinct().join(met, ["assembly", "seq"], "left_anti")
+        contigs = staged(fresh.withColumn("round", F.lit(i)))
+        made.append(contigs)
+        met = staged(met.unionByName(contigs.select("assembly", "seq")))
+    none = seeds.limit(0)
+    if have is None:
+        return none.select("assembly", F.lit(0).cast("long").alias("read_id"), "seq", F.lit(0).alias("round")), none.select("assembly", "seq", F.lit(0).alias("round"))
+    out = made[0]
+    for x in made[1:]:
+        out = out.unionByName(x)
+    return have, out
 
 
 def reuse_settings(best: DataFrame, regions: DataFrame) -> DataFrame:
@@ -135,9 +168,33 @@ def coi_histogram(haplotypes: DataFrame) -> DataFrame:
     return haplotypes.groupBy("region").agg(F.countDistinct("hap").alias("uniq_haps")).groupBy("uniq_haps").agg(F.count("*").alias("regions")).orderBy("uniq_haps")
 
 
-def region_sequences(regions: DataFrame, genome: DataFrame, left: int = 0, right: int = 0) -> DataFrame:
-    """Reference sequence of each region, extended and clipped to the contig; the minus strand is turned."""
-    x = regions.join(genome.select("chrom", F.col("seq").alias("_g")), "chrom")
-    a, z = F.greatest(F.col("start") - left, F.lit(0)), F.least(F.col("end") + right, F.length("_g"))
-    s = S.piece("_g", a, F.greatest(z - a, F.lit(0)))
-    return x.withColumn("seq", F.when(F.col("strand") == "-", S.reverse_complement(s)).otherwise(s)).drop("_g")
+#: Letters of a contig that one row holds.
+BLOCK = 10_000
+
+
+def contig_blocks(genome: DataFrame, size: int = BLOCK) -> DataFrame:
+    """chrom, block, piece and length (of the contig): contigs (chrom, seq) in rows of bounded size."""
+    n = F.length("seq")
+    last = F.greatest(F.ceil(n / size) - 1, F.lit(0)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: S.piece("seq", i * size, F.lit(size)))
+    return genome.select("chrom", n.cast("long").alias("length"), F.posexplode(pieces).alias("block", "piece"))
+
+
+def region_sequences(regions: DataFrame, genome: DataFrame, left: int = 0, right: int = 0, size: int = BLOCK) -> DataFrame:
+    """Reference sequence of each region, extended and clipped to the contig; the minus strand is turned.
+
+    A region meets the blocks it lies in, not the contig.  seq is null for a region
+    of an unknown contig or beyond its contig's end.
+    """
+    blocks = contig_blocks(genome, size)
+    known = blocks.where("block = 0").select("chrom", "length")
+    a = F.greatest(F.col("start") - left, F.lit(0))
+    cut = regions.select("uid", "chrom", a.alias("a"), (F.col("end") + right).alias("z")).join(known, "chrom").withColumn("z", F.least("z", "length"))
+    inside = cut.where((F.col("a") < F.col("length")) & (F.col("z") > F.col("a")))
+    meets = inside.select("uid", "chrom", "a", "z", F.explode(F.sequence(F.floor(F.col("a") / size), F.floor((F.col("z") - 1) / size))).alias("block"))
+    parts = meets.join(blocks.select("chrom", F.col("block").cast("long").alias("block"), "piece"), ["chrom", "block"])
+    low, high = F.greatest(F.col("a") - F.col("block") * size, F.lit(0)), F.least(F.col("z") - F.col("block") * size, F.lit(size))
+    rows = parts.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("block", S.piece("piece", low, high - low).alias("s")))).alias("p"))
+    found = rows.select("uid", F.array_join(F.transform("p", lambda x: x.s), "").alias("seq"))
+    out = regions.join(found, "uid", "left")
+    return out.withColumn("seq", F.when(F.col("strand") == "-", S.reverse_complement("seq")).otherwise(F.col("seq")))

@@ -451,6 +451,22 @@ def p18_without_one_offs(spark, d):
     return P.drop_one_offs(_fractions(spark, d), 1.5).select("target", "sample", "seq", "cnt")
 
 
+@query(f"WITH {_SETS}, u AS (SELECT target, seq, sum(cnt)::BIGINT AS cnt FROM sets GROUP BY ALL), nr AS (SELECT a.target, a.seq, b.seq AS o, b.cnt AS c2 FROM u a JOIN u b ON a.target = b.target AND a.seq <> b.seq AND levenshtein(a.seq, b.seq) <= 1 AND (b.cnt > a.cnt OR (b.cnt = a.cnt AND b.seq < a.seq))), be AS (SELECT target, seq, max({{'c': c2, 'o': o}}).o AS t FROM nr GROUP BY ALL), mv AS (SELECT * FROM be x WHERE NOT EXISTS (SELECT 1 FROM be y WHERE y.target = x.target AND y.seq = x.t)) SELECT target, coalesce(t, u.seq) AS seq, sum(cnt)::BIGINT AS cnt FROM u LEFT JOIN mv USING (target, seq) GROUP BY ALL")
+def p14_clustered_once(spark, d):
+    """One round of merging near-identical haplotypes of a target."""
+    return P.cluster(_sets(spark, d), ["target"], 1, rounds=1)
+
+
+@query(f"WITH {X.REFERENCES_SQL}, v AS (SELECT id % 5 AS target, seq FROM refs UNION SELECT id % 5, left(seq, 30) || translate(substr(seq, 31, 1), 'ACGT', 'CGTA') || substr(seq, 32) FROM refs UNION SELECT id % 5, left(seq, 20) || substr(seq, 22, 20) || translate(substr(seq, 42, 1), 'ACGT', 'CGTA') || substr(seq, 43) FROM refs UNION SELECT id % 5, 'A' || left(seq, len(seq) - 2) FROM refs) SELECT a.target, a.seq, b.seq AS other FROM v a JOIN v b ON a.target = b.target AND a.seq <> b.seq AND levenshtein(a.seq, b.seq) <= 2")
+def p14_close_pairs(spark, d):
+    """Passages and their variants within two edits, found by parts."""
+    r = X.references(spark, d).select((F.col("id") % 5).alias("target"), "seq")
+    turn = lambda p: F.translate(F.substr("seq", F.lit(p), F.lit(1)), "ACGT", "CGTA")
+    cut = lambda a, n=None: F.substr("seq", F.lit(a), F.lit(n)) if n else F.substr("seq", F.lit(a))
+    forms = (F.col("seq"), F.concat(F.left("seq", F.lit(30)), turn(31), cut(32)), F.concat(F.left("seq", F.lit(20)), cut(22, 20), turn(42), cut(43)), F.concat(F.lit("A"), F.left("seq", F.length("seq") - 2)))
+    return P.close_pairs(r.select("target", F.explode(F.array(*forms)).alias("seq")), ["target"], 2)
+
+
 @query()
 def p14_p20_population_clusters(spark, d):
     return P.population_clusters(_sets(spark, d))
@@ -516,4 +532,4 @@ def h12_names_by_country(spark, d):
     return H.names_by_country(_places(spark, d))
 
 
-from . import table_queries, graph_queries, path_queries  # noqa: E402, F401, I001  they register theirs, the cheaper ones first
+from . import table_queries, trim_queries, graph_queries, path_queries, sweep_queries  # noqa: E402, F401, I001  they register theirs, the cheaper ones first

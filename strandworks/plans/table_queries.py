@@ -130,7 +130,7 @@ def src9_result_files(spark, d):
 _GENOME = X.REFERENCES_SQL + ", genome AS (SELECT CASE id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS chrom, string_agg(seq, '' ORDER BY id) AS g FROM refs GROUP BY 1)"
 
 
-@query(f"WITH {_GENOME}, {X.REGIONS_SQL}, x AS (SELECT uid, strand, g, greatest(start_ - 7, 0) AS s, least(end_ + 9, len(g)) AS z FROM regions JOIN genome USING (chrom)), y AS (SELECT uid, strand, substr(g, s + 1, greatest(z - s, 0)) AS q FROM x) SELECT uid, CASE WHEN strand = '-' THEN reverse(translate(q, 'ACGT', 'TGCA')) ELSE q END AS seq FROM y")
+@query(f"WITH {_GENOME}, {X.REGIONS_SQL}, x AS (SELECT uid, strand, g, greatest(start_ - 7, 0) AS s, least(end_ + 9, len(g)) AS z FROM regions JOIN genome USING (chrom)), y AS (SELECT uid, strand, CASE WHEN z > s THEN substr(g, s + 1, z - s) END AS q FROM x) SELECT uid, CASE WHEN strand = '-' THEN reverse(translate(q, 'ACGT', 'TGCA')) ELSE q END AS seq FROM y")
 def src10_region_sequences(spark, d):
     chrom = F.when(F.col("id") % 3 == 0, "A").when(F.col("id") % 3 == 1, "N").otherwise("R")
     genome = X.references(spark, d).groupBy(chrom.alias("chrom")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "seq"))), lambda x: x.seq), "").alias("seq"))
@@ -238,11 +238,6 @@ def k12_threaded_intervals(spark, d):
 # --- contigs ----------------------------------------------------------------------
 
 
-@query("SELECT klen, kcut, tip FROM (SELECT unnest([31, 41]) AS klen), (SELECT unnest([2, 3, 4, 5]) AS kcut), (SELECT unnest([2, 10, 30]) AS tip), (SELECT count(*) AS n FROM region) WHERE n > 0")
-def c10_sweep(spark, d):
-    return C.settings(spark).join(F.broadcast(X.table(spark, d, "region").agg(F.count("*").alias("n")))).where("n > 0").drop("n")
-
-
 @query(f"""WITH {_RUNS}, a AS (SELECT *, row_number() OVER w AS i, min(open_ends) OVER (PARTITION BY region ORDER BY kcut, tip, klen ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM runs WINDOW w AS (PARTITION BY region ORDER BY kcut, tip, klen)),
 c AS (SELECT *, i - max(CASE WHEN b IS NULL OR open_ends < b THEN i END) OVER (PARTITION BY region ORDER BY kcut, tip, klen) AS gap FROM a), o AS (SELECT *, max(CASE WHEN gap > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY region ORDER BY kcut, tip, klen) AS over_ FROM c) SELECT region, kcut, tip, klen, open_ends FROM o WHERE over_ = 0""")
 def c12_early_stop(spark, d):
@@ -332,15 +327,6 @@ def i12b_recruitment_filter(spark, d):
     return I.recruitment_filter(X.alignments(spark, d), X.regions(spark, d), 0.4, 12, 0.1).select("uid", "name", "mate", "pos")
 
 
-@query(f"WITH {X.CHATS_SQL} SELECT count(*) AS reads FROM chats WHERE len(seq) >= 80")
-def i11_recruited_until_stable(spark, d):
-    """Every long text matches itself, so all of them are recruited, whatever the assembly returns."""
-    pool = X.chats(spark, d).where(F.length("seq") >= 80)
-    half = pool.where("read_id % 2 = 0").select("seq")
-    got, _ = I.recruit_until_stable(pool, half, lambda have: pool.select("seq"), rounds=3, k=19, least=5)
-    return got.agg(F.count("*").alias("reads"))
-
-
 # --- population -------------------------------------------------------------------
 
 
@@ -405,21 +391,23 @@ def p13_sample_sets(spark, d):
     return P.sample_sets(_sets(spark, d))
 
 
-_MIXED = X.CHATS_SQL + """, par AS (SELECT read_id, row_number() OVER (ORDER BY read_id) AS i, left(seq, 60) AS seq FROM chats WHERE len(seq) >= 60), grp AS (SELECT i // 4 AS sample, i % 4 AS j, seq FROM par),
-pop AS (SELECT sample, seq, max(CASE j WHEN 0 THEN 0.4 WHEN 1 THEN 0.3 ELSE 0.05 END)::DOUBLE AS frac FROM grp GROUP BY ALL UNION ALL SELECT a.sample, left(a.seq, 25) || right(b.seq, 35), 0.1 FROM grp a JOIN grp b ON a.sample = b.sample AND a.j = 0 AND b.j = 1 UNION ALL SELECT sample, left(seq, 30) || substr(seq, 32), 0.02 FROM grp WHERE j = 0), one AS (SELECT sample, seq, max(frac) AS frac FROM pop GROUP BY ALL)"""
+_MIXED = X.CHATS_SQL + """, grp AS (SELECT read_id // 1000 AS sample, row_number() OVER (PARTITION BY read_id // 1000 ORDER BY read_id) - 1 AS j, seq FROM chats WHERE len(seq) > 0),
+pop AS (SELECT sample, seq, CASE j WHEN 0 THEN 0.4 WHEN 1 THEN 0.3 ELSE 0.05 END::DOUBLE AS frac FROM grp UNION ALL SELECT a.sample, left(a.seq, len(a.seq) // 2) || right(b.seq, len(b.seq) // 2), 0.1 FROM grp a JOIN grp b ON a.sample = b.sample AND a.j = 0 AND b.j = 1 UNION ALL SELECT sample, left(seq, len(seq) // 2) || substr(seq, len(seq) // 2 + 2), 0.02 FROM grp WHERE j = 0), one AS (SELECT sample, seq, max(frac) AS frac FROM pop GROUP BY ALL)"""
 
 
 @query(f"WITH {_MIXED}, sh AS (SELECT a.sample, a.seq, b.seq AS parent, (SELECT max(i) FROM (SELECT unnest(range(0, least(len(a.seq), len(b.seq)) + 1)) AS i) WHERE left(a.seq, i) = left(b.seq, i)) AS p, (SELECT max(i) FROM (SELECT unnest(range(0, least(len(a.seq), len(b.seq)) + 1)) AS i) WHERE right(a.seq, i) = right(b.seq, i)) AS s FROM one a JOIN one b ON a.sample = b.sample AND a.seq <> b.seq AND b.frac >= 2 * a.frac) SELECT sample, seq, frac, EXISTS (SELECT 1 FROM sh x JOIN sh y ON x.sample = y.sample AND x.seq = y.seq AND x.parent <> y.parent WHERE x.sample = one.sample AND x.seq = one.seq AND x.p > 0 AND y.s > 0 AND x.p + y.s >= len(one.seq)) AS chimera FROM one")
 def p19_chimeras(spark, d):
-    """Texts four a sample; the first two make a chimera, and a deletion of one base in the first is none."""
+    """Turns of each conversation; the first two make a chimera, and a deletion of one base in the first is none."""
     from pyspark.sql import Window
 
-    par = X.chats(spark, d).where(F.length("seq") >= 60).select(F.row_number().over(Window.orderBy("read_id")).alias("i"), F.left("seq", F.lit(60)).alias("seq"))
-    g = par.select(F.floor(F.col("i") / 4).alias("sample"), (F.col("i") % 4).alias("j"), "seq")
+    read = F.col("read_id")
+    j = F.row_number().over(Window.partitionBy("sample").orderBy("read_id")) - 1
+    g = X.chats(spark, d).where(F.length("seq") > 0).select(F.floor(read / 1000).alias("sample"), "read_id", "seq").select("sample", j.alias("j"), "seq")
     own = g.select("sample", "seq", F.when(F.col("j") == 0, 0.4).when(F.col("j") == 1, 0.3).otherwise(0.05).alias("frac"))
     a, b = g.where("j = 0").select("sample", F.col("seq").alias("a")), g.where("j = 1").select("sample", F.col("seq").alias("b"))
-    mixed = a.join(b, "sample").select("sample", F.concat(F.left("a", F.lit(25)), F.right("b", F.lit(35))).alias("seq"), F.lit(0.1).alias("frac"))
-    cut = a.select("sample", F.concat(F.left("a", F.lit(30)), F.col("a").substr(32, 60)).alias("seq"), F.lit(0.02).alias("frac"))
+    half = lambda c: F.floor(F.length(c) / 2).cast("int")
+    mixed = a.join(b, "sample").select("sample", F.concat(F.left("a", half("a")), F.right("b", half("b"))).alias("seq"), F.lit(0.1).alias("frac"))
+    cut = a.select("sample", F.concat(F.left("a", half("a")), F.substr("a", half("a") + 2)).alias("seq"), F.lit(0.02).alias("frac"))
     rows = own.unionByName(mixed).unionByName(cut).groupBy("sample", "seq").agg(F.max("frac").alias("frac")).withColumn("target", F.lit("t"))
     return P.mark_chimeras(rows).select("sample", "seq", "frac", "chimera")
 
