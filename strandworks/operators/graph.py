@@ -251,7 +251,8 @@ def share_loop_nodes(g: Graph) -> Graph:
     d = degrees(g).where("heads = 2 AND tails = 2").select(A, F.col("node_id").alias("m"))
     i = g.edges.select(A, F.col("src").alias("x"), F.col("dst").alias("m"))
     o = g.edges.select(A, F.col("src").alias("m"), F.col("dst").alias("y"))
-    both = i.join(d, [A, "m"], "left_semi").join(o, [A, "m"]).where("x < y")
+    seqs = g.nodes.select(A, "node_id", "seq")
+    both = i.join(d, [A, "m"], "left_semi").join(o, [A, "m"]).join(seqs.toDF(A, "x", "xs"), [A, "x"]).join(seqs.toDF(A, "y", "ys"), [A, "y"]).where("xs < ys OR (xs = ys AND x < y)").select(A, "m", "x", "y")
     back = o.select(A, "m", F.col("y").alias("x")).join(i.select(A, "m", F.col("x").alias("y")), [A, "m"])
     way = both.join(back, [A, "m", "x", "y"]).withColumn("copy", F.xxhash64("m", F.lit("loop")))
     nodes = g.nodes.unionByName(way.join(g.nodes.withColumnRenamed("node_id", "m"), [A, "m"]).select(A, F.col("copy").alias("node_id"), "seq", "cnt"))

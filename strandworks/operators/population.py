@@ -107,6 +107,22 @@ def choose_replicates(haplotypes: DataFrame, group: str, replicate: str, preferr
     return out.join(common, [*by, "seq"], "left_semi")
 
 
+def choose_two_levels(haplotypes: DataFrame, experiment: str, biological: str, replicate: str, preferred: str, keep_common: bool = False) -> tuple[DataFrame, DataFrame]:
+    """One replicate of each experiment's sample, then one of each biological sample among those that are left.
+
+    Also the groups in which preference does not decide: level, target, group and
+    the number of replicates that are equally preferred.
+    """
+    failed = None
+    for level, group in (("experiment", experiment), ("biological", biological)):
+        per = haplotypes.groupBy("target", F.col(group).cast("string").alias("group"), replicate).agg(F.max(F.col(preferred).cast("int")).alias("p"))
+        top = per.groupBy("target", "group").agg(F.max("p").alias("p"))
+        ties = per.join(top, ["target", "group", "p"]).groupBy("target", "group").agg(F.count("*").alias("replicates")).where("replicates > 1").withColumn("level", F.lit(level))
+        failed = ties if failed is None else failed.unionByName(ties)
+        haplotypes = choose_replicates(haplotypes, group, replicate, preferred, keep_common)
+    return haplotypes, failed.select("level", "target", "group", "replicates")
+
+
 def rewrite_meta(meta: DataFrame, drop: list[str], group: str, preferred: str, selected: DataFrame) -> DataFrame:
     """Metadata of preferred rows, and of selected samples that would vanish with the rest; one row a sample."""
     keep = meta.where(F.col(preferred))

@@ -71,6 +71,54 @@ def filter_counts(pairs: DataFrame, tests: dict[str, Column]) -> DataFrame:
     return pairs.agg(F.count("*").alias("total"), *[F.count_if(c).alias(n) for n, c in tests.items()])
 
 
+def filter_report(pairs: DataFrame, singles: DataFrame, least: int = 30, fraction: float = 0.5, bits: float = 0.75, constant: tuple[DataFrame, int, int] | None = None) -> DataFrame:
+    """Reads lost to each filter, one row a sample: total, and for first mates, second mates and singles quality, entropy,
+    duplicates and constant k-mers.
+
+    A read is counted by its first fault, quality before entropy.  A mate whose
+    partner fails goes on as a single.  Duplicates are later pairs or singles of the
+    same sequences; constant k-mers (``constant``: k-mers, k and margin) are looked for in
+    what is left, and a pair with them in both mates counts once.
+    """
+    def fault(seq, qual):
+        return F.when(S.quality_fraction(qual, least) < fraction, "quality").when(S.base_entropy(seq) < bits, "entropy")
+
+    p = staged(pairs.withColumns({"f1": fault("seq1", "qual1"), "f2": fault("seq2", "qual2")}))
+    s = staged(singles.withColumn("f", fault("seq", "qual")))
+    both = p.where("f1 IS NULL AND f2 IS NULL")
+    alone = s.where("f IS NULL").select("sample", "read_id", "seq")
+    for m, o in ((1, 2), (2, 1)):
+        alone = alone.unionByName(p.where(f"f{m} IS NULL AND f{o} IS NOT NULL").select("sample", F.col(f"read_id{m}").alias("read_id"), F.col(f"seq{m}").alias("seq")))
+    counts = [
+        pairs.groupBy("sample").agg((2 * F.count("*")).alias("n")).withColumn("what", F.lit("total")),
+        singles.groupBy("sample").agg(F.count("*").alias("n")).withColumn("what", F.lit("total"))]
+    for t, c, name in ((p, "f1", "r1"), (p, "f2", "r2"), (s, "f", "singles")):
+        counts.append(t.where(F.col(c).isNotNull()).groupBy("sample", F.concat(F.lit(name + "_"), c).alias("what")).agg(F.count("*").alias("n")))
+
+    def dups(t, key, name):
+        per = t.groupBy("sample", key.alias("_key")).agg((F.count("*") - 1).alias("n"))
+        counts.append(per.groupBy("sample").agg(F.sum("n").alias("n")).withColumn("what", F.lit(name)))
+
+    dups(both, pair_key(), "pairs_duplicates")
+    dups(alone, unpaired_key(), "singles_duplicates")
+    if constant is not None:
+        bad, k, margin = constant
+        kept = both.withColumn("_key", pair_key()).groupBy("sample", "_key").agg(*[F.min_by(c, "pair_id").alias(c) for c in ("read_id1", "seq1", "read_id2", "seq2")])
+        once = first_of_duplicates(alone, unpaired_key(), "read_id")
+        rows = staged(kept.select("sample", F.col("read_id1").alias("pair"), F.lit("r1").alias("side"), F.col("seq1").alias("seq"), F.col("read_id1").alias("read_id")).unionByName(
+            kept.select("sample", F.col("read_id1").alias("pair"), F.lit("r2").alias("side"), F.col("seq2").alias("seq"), F.col("read_id2").alias("read_id"))).unionByName(
+            once.select("sample", F.col("read_id").alias("pair"), F.lit("singles").alias("side"), "seq", "read_id")))
+        hit = rows.join(drop_constant(rows, bad, k, margin).select("read_id"), "read_id", "left_anti")
+        per = hit.groupBy("sample", "pair").agg(F.count("*").alias("sides"), F.min("side").alias("side"))
+        name = F.when(F.col("sides") > 1, "pairs").otherwise(F.col("side"))
+        counts.append(per.groupBy("sample", F.concat(name, F.lit("_constant")).alias("what")).agg(F.count("*").alias("n")))
+    names = ["total"] + [f"{x}_{y}" for y in ("quality", "entropy") for x in ("r1", "r2", "singles")] + ["pairs_duplicates", "singles_duplicates"] + [f"{x}_constant" for x in ("pairs", "r1", "r2", "singles")]
+    every = counts[0].select("sample", "what", "n")
+    for c in counts[1:]:
+        every = every.unionByName(c.select("sample", "what", "n"))
+    return every.groupBy("sample").pivot("what", names).agg(F.sum("n")).na.fill(0, names)
+
+
 def countable(reads: DataFrame, k: int) -> DataFrame:
     """Reads longer than k and free of N."""
     return reads.where((F.length("seq") > k) & (F.instr("seq", "N") == 0))

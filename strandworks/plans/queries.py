@@ -13,7 +13,7 @@ from ..operators import reads as R
 from ..operators import regions as I
 from ..operators.staging import staged
 from . import fixtures as X
-from .assemble import Settings, assemble, filtered
+from .assemble import Settings, filtered
 from .registry import QUERIES, SQL, query  # noqa: F401
 
 KLEN, CUT = 31, 2
@@ -77,6 +77,26 @@ def b07_fate_counts(spark, d):
     return R.filter_counts(b06_pair_fates(spark, d), {"pairs": f == "pair", "dups": f == "dup", "singles": f.startswith("single"), "off": f == "off"})
 
 
+_NEAR = "k.p < 40 OR k.p + 12 > k.n - 40"
+_REPORT = X.MATES_SQL + f""", q AS (SELECT *, CASE WHEN list_count(list_filter(range(1, len(qual) + 1), lambda i: ascii(substr(qual, i, 1)) - 33 >= 18)) / len(qual) < 0.55 THEN 'quality' WHEN {_ENTROPY.format('seq')} < 1.9 THEN 'entropy' END AS fault FROM (SELECT read_id, pair_id, mate, sample, seq, qual FROM mates UNION ALL SELECT read_id, read_id, 0, sample, seq, qual FROM reads ANTI JOIN mates USING (read_id))),
+pr AS (SELECT a.sample, a.pair_id, a.read_id AS r1, b.read_id AS r2, a.seq AS s1, b.seq AS s2, a.fault AS f1, b.fault AS f2, CASE WHEN a.seq <= b.seq THEN a.seq || '-' || b.seq ELSE b.seq || '-' || a.seq END AS key FROM q a JOIN q b ON a.pair_id = b.pair_id AND a.mate = 1 AND b.mate = 2),
+al AS (SELECT sample, read_id, seq FROM q WHERE mate = 0 AND fault IS NULL UNION ALL SELECT sample, r1, s1 FROM pr WHERE f1 IS NULL AND f2 IS NOT NULL UNION ALL SELECT sample, r2, s2 FROM pr WHERE f2 IS NULL AND f1 IS NOT NULL),
+kp AS (SELECT * FROM pr WHERE f1 IS NULL AND f2 IS NULL QUALIFY row_number() OVER (PARTITION BY sample, key ORDER BY pair_id) = 1), on1 AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY sample, seq ORDER BY read_id) = 1),
+ks AS (SELECT sample, r1 AS pair, 'r1' AS side, s1 AS seq, r1 AS read_id FROM kp UNION ALL SELECT sample, r1, 'r2', s2, r2 FROM kp UNION ALL SELECT sample, read_id, 'singles', seq, read_id FROM on1),
+k0 AS (SELECT len(seq) AS n, p, substr(seq, p + 1, 12) AS kmer FROM (SELECT *, unnest(range(0, greatest(len(seq) - 11, 0))) AS p FROM reads)), c AS (SELECT kmer FROM k0 GROUP BY kmer HAVING count(*) >= 5 AND stddev_pop(p) < 15),
+ht AS (SELECT sample, pair, count(*) AS sides, min(side) AS side FROM ks SEMI JOIN (SELECT read_id FROM (SELECT read_id, len(seq) AS n, p, substr(seq, p + 1, 12) AS kmer FROM (SELECT *, unnest(range(0, greatest(len(seq) - 11, 0))) AS p FROM ks)) k JOIN c USING (kmer) WHERE {_NEAR}) USING (read_id) GROUP BY ALL),
+du AS (SELECT sample, sum(n - 1)::BIGINT AS d FROM (SELECT sample, key, count(*) AS n FROM pr WHERE f1 IS NULL AND f2 IS NULL GROUP BY ALL) GROUP BY 1), ds AS (SELECT sample, sum(n - 1)::BIGINT AS d FROM (SELECT sample, seq, count(*) AS n FROM al GROUP BY ALL) GROUP BY 1),
+hc AS (SELECT sample, count(*) FILTER (WHERE sides > 1) AS pc, count(*) FILTER (WHERE sides = 1 AND side = 'r1') AS c1, count(*) FILTER (WHERE sides = 1 AND side = 'r2') AS c2, count(*) FILTER (WHERE sides = 1 AND side = 'singles') AS cs FROM ht GROUP BY 1)"""
+
+
+@query(f"WITH {_REPORT} SELECT sample, count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE mate = {m} AND fault = '{f}') AS {n}_{f}" for f in ("quality", "entropy") for m, n in ((1, "r1"), (2, "r2"), (0, "singles"))) + ", coalesce(any_value(du.d), 0) AS pairs_duplicates, coalesce(any_value(ds.d), 0) AS singles_duplicates, coalesce(any_value(pc), 0) AS pairs_constant, coalesce(any_value(c1), 0) AS r1_constant, coalesce(any_value(c2), 0) AS r2_constant, coalesce(any_value(cs), 0) AS singles_constant FROM q LEFT JOIN du USING (sample) LEFT JOIN ds USING (sample) LEFT JOIN hc USING (sample) GROUP BY sample")
+def b07_filter_report(spark, d):
+    """All thirteen counters, over pairs of windows and the windows without a mate."""
+    m, r = X.mates(spark, d), X.reads(spark, d)
+    alone = r.join(m.select("read_id"), "read_id", "left_anti")
+    return R.filter_report(R.pairs(m), alone, 18, 0.55, 1.9, (R.constant_kmers(r, 12, 5, 15.0), 12, 40))
+
+
 @query(f"WITH {X.MATES_SQL} SELECT pair_id, mate, seq FROM mates")
 def b08_mates(spark, d):
     return X.mates(spark, d).select("pair_id", "mate", "seq")
@@ -254,11 +274,6 @@ def k15_k21_pruned_states(spark, d):
     return K.state_counts(K.prune_edges(K.prune_nodes(_graph(spark, d), 4), 3))
 
 
-@query()
-def g00_assemble(spark, d):
-    return assemble(X.reads(spark, d))
-
-
 # --- contigs ----------------------------------------------------------------------
 
 _SIM = X.REFERENCES_SQL + """, k AS (SELECT id, len(seq) AS n, substr(seq, p, 10) AS kmer, count(*) AS c FROM (SELECT *, unnest(range(1, len(seq) - 8)) AS p FROM refs) GROUP BY ALL)"""
@@ -417,6 +432,25 @@ def p10_chosen_replicates(spark, d):
     return P.choose_replicates(X.haplotypes(spark, d), "sample", "replicate", "preferred").select("target", "sample", "replicate", "seq", "cnt")
 
 
+_LEVELS = X.HAPLOTYPES_SQL + """, h AS (SELECT *, sample || '-' || replicate % 3 AS experiment FROM haps), t1 AS (SELECT target, experiment AS grp, replicate, max(preferred::INT) AS p, sum(cnt) AS c FROM h GROUP BY ALL), r1 AS (SELECT * FROM t1 QUALIFY row_number() OVER (PARTITION BY target, grp ORDER BY p DESC, c DESC, replicate) = 1),
+h2 AS (SELECT h.* FROM h SEMI JOIN r1 ON h.target = r1.target AND h.experiment = r1.grp AND h.replicate = r1.replicate), t2 AS (SELECT target, CAST(sample AS VARCHAR) AS grp, replicate, max(preferred::INT) AS p, sum(cnt) AS c FROM h2 GROUP BY ALL), r2 AS (SELECT * FROM t2 QUALIFY row_number() OVER (PARTITION BY target, grp ORDER BY p DESC, c DESC, replicate) = 1)"""
+
+
+def _levels(spark, d):
+    h = X.haplotypes(spark, d).withColumn("experiment", F.concat_ws("-", "sample", (F.col("replicate") % 3).cast("string")))
+    return P.choose_two_levels(h, "experiment", "sample", "replicate", "preferred")
+
+
+@query(f"WITH {_LEVELS} SELECT h2.target, sample, h2.replicate, seq, cnt FROM h2 SEMI JOIN r2 ON h2.target = r2.target AND CAST(h2.sample AS VARCHAR) = r2.grp AND h2.replicate = r2.replicate")
+def p10_chosen_at_two_levels(spark, d):
+    return _levels(spark, d)[0].select("target", "sample", "replicate", "seq", "cnt")
+
+
+@query(f"WITH {_LEVELS}, u AS (SELECT 'experiment' AS level, * FROM t1 UNION ALL SELECT 'biological', * FROM t2) SELECT level, target, grp AS \"group\", count(*) AS replicates FROM (SELECT *, max(p) OVER (PARTITION BY level, target, grp) AS top FROM u) WHERE p = top GROUP BY ALL HAVING count(*) > 1")
+def p10_undecided_groups(spark, d):
+    return _levels(spark, d)[1]
+
+
 @query(f"WITH {_SETS} SELECT c.c_custkey AS target, count(s.seq) AS sequences FROM customer c LEFT JOIN sets s ON s.sample = c.c_custkey GROUP BY 1")
 def p12_sequences_per_target(spark, d):
     h = _sets(spark, d).select(F.col("sample").alias("target"), "seq")
