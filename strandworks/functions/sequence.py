@@ -36,8 +36,8 @@ def reverse_complement(seq) -> Column:
 
 def kmers(seq, k: int) -> Column:
     """All k-mers in order; empty for shorter texts."""
-    seq = _col(seq)
-    return F.transform(upto(F.length(seq) - k + 1), lambda i: seq.substr(i + 1, F.lit(k)))
+    # bound once: the optimizer would put a derived text's expression into every element's lambda
+    return let(_col(seq), lambda s: F.transform(upto(F.length(s) - k + 1), lambda i: s.substr(i + 1, F.lit(k))))
 
 
 def plogp(counts: Column) -> Column:
@@ -65,8 +65,7 @@ def kmer_entropy(seq, k: int = 2) -> Column:
 
 def qualities(qual) -> Column:
     """Phred numbers of a quality string (offset 33)."""
-    qual = _col(qual)
-    return F.transform(upto(F.length(qual)), lambda i: F.ascii(qual.substr(i + 1, F.lit(1))) - 33)
+    return let(_col(qual), lambda q: F.transform(upto(F.length(q)), lambda i: F.ascii(q.substr(i + 1, F.lit(1))) - 33))
 
 
 def quality_bounds(qual, least: int) -> Column:
@@ -79,17 +78,18 @@ def quality_bounds(qual, least: int) -> Column:
 
 
 def quality_fraction(qual, least: int = 30) -> Column:
-    qual = _col(qual)
-    return F.when(F.length(qual) > 0, F.size(F.filter(qualities(qual), lambda q: q >= least)) / F.length(qual)).otherwise(0.0)
+    return let(qualities(qual), lambda q: F.when(F.size(q) > 0, F.size(F.filter(q, lambda x: x >= least)) / F.size(q)).otherwise(0.0))
 
 
 def entropy_bounds(seq, window: int, step: int, cutoff: float, k: int = 1) -> Column:
     """struct(start, end) between the first and the last window whose entropy reaches ``cutoff``."""
-    seq = _col(seq)
-    windows = F.transform(upto(F.floor((F.length(seq) - window) / step).cast("int") + 1), lambda i: i * step)
     entropy = (lambda s: base_entropy(s)) if k == 1 else (lambda s: kmer_entropy(s, k))
-    good = F.filter(windows, lambda i: entropy(seq.substr(i + 1, F.lit(window))) >= cutoff)
-    return let(good, lambda g: F.struct(F.coalesce(F.array_min(g), F.lit(0)).alias("start"), F.coalesce(F.array_max(g) + window, F.lit(0)).alias("end")))
+
+    def good(seq):
+        windows = F.transform(upto(F.floor((F.length(seq) - window) / step).cast("int") + 1), lambda i: i * step)
+        return F.filter(windows, lambda i: entropy(seq.substr(i + 1, F.lit(window))) >= cutoff)
+
+    return let(let(_col(seq), good), lambda g: F.struct(F.coalesce(F.array_min(g), F.lit(0)).alias("start"), F.coalesce(F.array_max(g) + window, F.lit(0)).alias("end")))
 
 
 def runs(seq) -> Column:

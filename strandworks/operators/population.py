@@ -176,7 +176,7 @@ def close_pairs(rows: DataFrame, by: list[str], distance: int) -> DataFrame:
         return pairs.select(*by, "seq", "other").distinct().where(F.levenshtein("seq", "other", 1) >= 0)
     n = F.length("seq")
     parts = x.select(*by, "seq", F.explode(_part_keys(n, distance, "seq", 0)).alias("key"))
-    looks = F.concat(*[F.when(n - less > 0, _part_keys(n - less, distance, "seq", shift)).otherwise(F.array().cast("array<struct<n:int,i:int,part:string>>")) for less in range(distance + 1) for shift in range(-distance, distance + 1)])
+    looks = F.concat(*[F.when(n - less >= 0, _part_keys(n - less, distance, "seq", shift)).otherwise(F.array().cast("array<struct<n:int,i:int,part:string>>")) for less in range(distance + 1) for shift in range(-distance, distance + 1)])
     found = x.select(*by, F.col("seq").alias("other"), F.explode(F.array_distinct(looks.cast("array<struct<n:int,i:int,part:string>>"))).alias("key"))
     pairs = parts.withColumn("key", F.col("key").cast("struct<n:int,i:int,part:string>")).join(found, [*by, "key"]).where("seq <> other").select(*by, "seq", "other").distinct()
     near = pairs.where(F.levenshtein("seq", "other", distance) >= 0)
