@@ -34,6 +34,8 @@ DIMENSIONS, SAMPLE, CENTROIDS, ROUNDS = 4096, 500, 4, 8
 #: Groups with a smaller share of their language's sample are dropped.
 LEAST_SHARE = 0.1
 SLACK, BLOCK, FOLDS, HELD = 1.25, 512, 4, 2
+#: Languages whose sizes are sent to every task; those of more are joined by shuffle.
+FEW = 10_000
 #: The score is the share of the best language among all, cosines sharpened by this.
 SHARP = 20.0
 UNKNOWN = "und"
@@ -116,14 +118,15 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
     rows = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"), docs[key_col].cast("string").alias("key"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = rows.select("text").mapInArrow(_frequencies, "place long, texts long").groupBy("place").agg(F.sum("texts").alias("texts")).toPandas()  # DIMENSIONS rows
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    sizes, _ = stage(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    total, few = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*") <= FEW).first()
     df = np.zeros(DIMENSIONS)
     df[counts["place"].to_numpy(np.int64)] = counts["texts"]
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
     # about twice the sample by hash of id and text, then the least of it; both bounds hold for every language
     place = F.shiftrightunsigned(F.xxhash64("key", "text"), 1)
-    drawn = rows.join(sizes, "lang").withColumn("place", place).where(F.col("place") < 2.0 * SAMPLE / F.col("n") * 2.0**63).drop("n")
+    # texts stay where they are, unless there are more languages than every task should know
+    drawn = rows.join(F.broadcast(sizes) if few else sizes, "lang").withColumn("place", place).where(F.col("place") < 2.0 * SAMPLE / F.col("n") * 2.0**63).drop("n")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
     sample = drawn.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("lang", "text", "place")
     found, _ = stage(sample.groupBy("lang").applyInPandas(_clusters(idf), "lang string, centroid binary, reach double"), "centroids")

@@ -48,6 +48,7 @@ def test_blocks_of_languages_do_not_matter(spark, monkeypatch):
     docs = spark.createDataFrame(sample(), "doc_id long, text string, lang string")
     one = sorted(L.identify(docs).collect())
     monkeypatch.setattr(L, "BLOCK", 1)
+    monkeypatch.setattr(L, "FEW", 2)
     two = sorted(L.identify(docs).collect())
     assert [(r.doc_id, r.lang_pred, r.rejected) for r in one] == [(r.doc_id, r.lang_pred, r.rejected) for r in two]
     assert np.allclose([r.score for r in one], [r.score for r in two])
