@@ -117,12 +117,14 @@ def estimate_coverage(contigs: DataFrame, counts: DataFrame, k: int, window: int
     x = contigs.select("sample", "id", F.posexplode(S.kmers("seq", k)).alias("pos", "kmer"))
     c = x.join(counts.select("sample", "kmer", "cnt"), ["sample", "kmer"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
     here = Window.partitionBy("sample", "id").orderBy("pos").rowsBetween(0, window - 1)
-    w = c.withColumns({"mean": F.avg("cnt").over(here), "sd": F.stddev_pop("cnt").over(here), "n": F.count("*").over(here)})
+    w = c.withColumns({"s": F.sum("cnt").over(here), "q": F.sum(F.col("cnt") * F.col("cnt")).over(here), "n": F.count("*").over(here)})
     last = F.max("pos").over(Window.partitionBy("sample", "id"))
     w = w.withColumn("last", last).where((F.col("n") == window) | ((F.col("pos") == 0) & (F.col("last") < window - 1)))
     around = Window.partitionBy("sample", "id").orderBy("pos").rowsBetween(-(window - 1), 0)
-    per = w.withColumn("best", F.min(F.struct("sd", "mean")).over(around))
-    return per.groupBy("sample", "id").agg(F.min("best.mean").alias("coverage"))
+    # n q - s^2 is the spread in whole numbers, so equal spreads are equal
+    spread = F.col("n") * F.col("q") - F.col("s") * F.col("s")
+    per = w.withColumn("best", F.min(F.struct(spread.alias("spread"), "s", "n")).over(around))
+    return per.groupBy("sample", "id").agg(F.min(F.col("best.s") / F.col("best.n")).alias("coverage"))
 
 
 def node_estimates(g: Graph, counts: DataFrame, window: int) -> DataFrame:

@@ -104,22 +104,25 @@ def nodes_from_counts(counts: DataFrame, cutoff: int) -> DataFrame:
 
 
 def steps_of(tokens: DataFrame, *keep: str) -> DataFrame:
-    """Consecutive tokens of each read, all within its row: pos, kmer, next, occ and the read's tag.
+    """Consecutive tokens of each read: pos, kmer, next, occ and the read's tag.
 
     occ is how often the token or the next one occurred before in the read; a read
-    that repeats one gets a tag of its own there.
+    that repeats one gets a tag of its own there.  Reads without a repeat are cut in
+    their own row; the occurrences of the others are numbered in two windows.
     """
     ts = F.col("tokens")
+    step = F.transform(ts, lambda t, i: F.struct(i.alias("pos"), t.alias("kmer"), F.get(ts, i + 1).alias("next")))
+    rows = tokens.select(A, "read_id", *keep, (F.size(F.array_distinct("tokens")) == F.size("tokens")).alias("once"), F.explode(step).alias("s")).select(A, "read_id", *keep, "once", "s.*")
+    single = rows.where("once").withColumn("occ", F.lit(0))
 
-    def before(i, first):
-        return F.size(F.filter(ts, lambda t, j: (j >= first) & (j < i) & (t == F.get(ts, i))))
+    def before(token):
+        return F.row_number().over(Window.partitionBy(A, "read_id", token).orderBy("pos")) - 1
 
-    occ = lambda i: F.when(F.col("once"), F.lit(0)).otherwise(F.greatest(before(i, 0), F.when(i + 1 < F.size(ts), before(i + 1, 1)).otherwise(0)))
-    step = F.transform(ts, lambda t, i: F.struct(i.alias("pos"), t.alias("kmer"), F.get(ts, i + 1).alias("next"), occ(i).alias("occ")))
-    rows = tokens.withColumn("once", F.size(F.array_distinct("tokens")) == F.size("tokens"))
-    rows = rows.select(A, "read_id", *keep, F.explode(step).alias("s")).select(A, "read_id", *keep, "s.*")
+    again = rows.where("NOT once").withColumn("occ", before("kmer"))
+    again = again.withColumn("occ", F.greatest("occ", F.when(F.col("next").isNotNull(), before("next")).otherwise(0)))
     name = F.col("read_id").cast("string")
-    return rows.withColumn("read", F.when(F.col("occ") == 0, name).otherwise(F.concat_ws(AGAIN, name, F.col("occ").cast("string"))))
+    both = single.unionByName(again).drop("once")
+    return both.withColumn("read", F.when(F.col("occ") == 0, name).otherwise(F.concat_ws(AGAIN, name, F.col("occ").cast("string"))))
 
 
 def mate_tags(steps: DataFrame) -> DataFrame:

@@ -458,7 +458,7 @@ def c14_trim_by_coverage(spark, d):
     return C.trim_by_coverage(_contigs(spark, d).withColumnRenamed(A, "sample"), r, KLEN, 2).select("sample", "seq")
 
 
-@query(f"WITH {BASE}, k AS (SELECT n.a, n.id, p, coalesce(rn.cnt, 0) AS c, len(n.seq) - 10 AS m FROM (SELECT *, unnest(range(0, len(seq) - 10)) AS p FROM n) n LEFT JOIN rn ON rn.a = n.a AND rn.id = substr(n.seq, p + 1, 11)), w AS (SELECT *, avg(c) OVER v AS mean, stddev_pop(c) OVER v AS sd, count(*) OVER v AS q FROM k WINDOW v AS (PARTITION BY a, id ORDER BY p ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)), f AS (SELECT * FROM w WHERE q = 5 OR (p = 0 AND m - 1 < 4)), b AS (SELECT *, min({{'sd': sd, 'mean': mean}}) OVER (PARTITION BY a, id ORDER BY p ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS best FROM f) SELECT a AS sample, n.seq, min(best.mean) AS coverage FROM b JOIN n USING (a, id) GROUP BY ALL")
+@query(f"WITH {BASE}, k AS (SELECT n.a, n.id, p, coalesce(rn.cnt, 0) AS c, len(n.seq) - 10 AS m FROM (SELECT *, unnest(range(0, len(seq) - 10)) AS p FROM n) n LEFT JOIN rn ON rn.a = n.a AND rn.id = substr(n.seq, p + 1, 11)), w AS (SELECT *, sum(c) OVER v AS su, sum(c * c) OVER v AS sq, count(*) OVER v AS q FROM k WINDOW v AS (PARTITION BY a, id ORDER BY p ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)), f AS (SELECT * FROM w WHERE q = 5 OR (p = 0 AND m - 1 < 4)), b AS (SELECT *, min({{'v': q * sq - su * su, 's': su, 'n': q}}) OVER (PARTITION BY a, id ORDER BY p ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS best FROM f) SELECT a AS sample, n.seq, min(best.s / best.n) AS coverage FROM b JOIN n USING (a, id) GROUP BY ALL")
 def c13_coverage_estimate(spark, d):
     x = _contigs(spark, d).withColumnRenamed(A, "sample")
     r = raw(spark, d).nodes.select(F.col(A).alias("sample"), F.col("seq").alias("kmer"), "cnt")

