@@ -108,7 +108,8 @@ def steps_of(tokens: DataFrame, *keep: str) -> DataFrame:
 
     occ is how often the token or the next one occurred before in the read; a read
     that repeats one gets a tag of its own there.  Reads without a repeat are cut in
-    their own row; the occurrences of the others are numbered in two windows.
+    their own row; the occurrences of the others are numbered in two windows (a read
+    is known by its id and the columns of ``keep``).
     """
     ts = F.col("tokens")
     step = F.transform(ts, lambda t, i: F.struct(i.alias("pos"), t.alias("kmer"), F.get(ts, i + 1).alias("next")))
@@ -116,7 +117,7 @@ def steps_of(tokens: DataFrame, *keep: str) -> DataFrame:
     single = rows.where("once").withColumn("occ", F.lit(0))
 
     def before(token):
-        return F.row_number().over(Window.partitionBy(A, "read_id", token).orderBy("pos")) - 1
+        return F.row_number().over(Window.partitionBy(A, "read_id", *keep, token).orderBy("pos")) - 1
 
     again = rows.where("NOT once").withColumn("occ", before("kmer"))
     again = again.withColumn("occ", F.greatest("occ", F.when(F.col("next").isNotNull(), before("next")).otherwise(0)))
