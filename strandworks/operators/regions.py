@@ -56,8 +56,9 @@ def spanning_reads(a: DataFrame, regions: DataFrame) -> DataFrame:
     per = hit.groupBy("uid", "name").agg(
         F.bool_or((F.col("pos") <= F.col("r_start")) & (F.col("end_pos") >= F.col("r_end"))).alias("one"),
         F.min("pos").alias("lo"), F.max("end_pos").alias("hi"), F.max("pos").alias("inner_lo"), F.min("end_pos").alias("inner_hi"),
-        F.countDistinct("mate").alias("mates"), F.countDistinct("is_reverse").alias("strands"), F.max("r_start").alias("r_start"), F.max("r_end").alias("r_end"))
-    joint = (F.col("mates") == 2) & (F.col("strands") == 2) & (F.col("inner_lo") <= F.col("inner_hi")) & (F.col("lo") <= F.col("r_start")) & (F.col("hi") >= F.col("r_end"))
+        # a mate is 1 or 2: that both are there shows without counting distinct ones, which would send every row three times
+        (F.min("mate") < F.max("mate")).alias("mates"), (F.min("is_reverse") != F.max("is_reverse")).alias("strands"), F.max("r_start").alias("r_start"), F.max("r_end").alias("r_end"))
+    joint = F.col("mates") & F.col("strands") & (F.col("inner_lo") <= F.col("inner_hi")) & (F.col("lo") <= F.col("r_start")) & (F.col("hi") >= F.col("r_end"))
     n = per.groupBy("uid").agg(F.count("*").alias("reads"), F.count_if(F.col("one") | joint).alias("spanning"))
     return regions.join(n, "uid", "left").na.fill(0, ["reads", "spanning"])
 
