@@ -32,6 +32,11 @@ def enough_entropy(reads: DataFrame, bits: float = 0.75) -> DataFrame:
     return reads.where(S.base_entropy("seq") >= bits)
 
 
+def filter_tests(reads: DataFrame, tests: dict[str, Column]) -> DataFrame:
+    """n and the number of reads that pass each named test, by sample, in one pass."""
+    return reads.groupBy("sample").agg(F.count("*").alias("n"), *[F.count_if(c).alias(name) for name, c in tests.items()])
+
+
 def unpaired_key(seq: str = "seq") -> Column:
     return F.col(seq)
 
@@ -180,13 +185,20 @@ def stitch(pairs: DataFrame, min_overlap: int, max_error: float = 0.0, a: str =
     are one another), r1_ends_in_r2, or none.
     """
     x, y = F.col(a), F.col(b)
-    shortest = F.least(F.length(x), F.length(y))
-    sizes = F.when(shortest >= min_overlap, F.sequence(F.lit(min_overlap), shortest)).otherwise(F.array().cast("array<int>"))
-    if max_error:
-        fits = F.filter(sizes, lambda o: S.mismatches(F.right(x, o), F.left(y, o)) / o <= max_error)
-    else:  # without errors the texts are compared as a whole
-        fits = F.filter(sizes, lambda o: x.substr(F.length(x) - o + 1, o) == y.substr(F.lit(1), o))
-    out = pairs.withColumn("overlap", F.array_max(fits))
+
+    def longest(x, y):
+        shortest = F.least(F.length(x), F.length(y))
+        sizes = F.when(shortest >= min_overlap, F.sequence(F.lit(min_overlap), shortest)).otherwise(F.array().cast("array<int>"))
+        if max_error:
+            fits = F.filter(sizes, lambda o: S.mismatches(F.right(x, o), F.left(y, o)) / o <= max_error)
+        else:  # without errors the texts are compared as a whole, where the second one's first letters come near enough to the first one's end
+            fits = F.filter(sizes, lambda o: x.substr(F.length(x) - o + 1, o) == y.substr(F.lit(1), o))
+            if min_overlap > 0:
+                fits = F.when(F.contains(x, F.left(y, F.lit(min_overlap))), fits).otherwise(F.array().cast("array<int>"))
+        return F.array_max(fits)
+
+    # bound once: a derived mate would be derived again for every overlap tried
+    out = pairs.withColumn("overlap", S.let(F.struct(x.alias("x"), y.alias("y")), lambda m: longest(m["x"], m["y"])))
     whole = (F.col("overlap") == F.length(x)) & (F.col("overlap") == F.length(y))
     status = F.when(F.col("overlap").isNull(), "none").when(whole, "perfect").otherwise("r1_ends_in_r2")
     return out.withColumns({"status": status, "stitched": F.when(F.col("overlap").isNotNull(), F.concat(x, y.substr(F.col("overlap") + 1, F.length(y))))})

@@ -37,9 +37,8 @@ _Q = "list_transform(range(1, len(qual) + 1), lambda i: ascii(substr(qual, i, 1)
 
 @query(f"WITH {X.READS_SQL}, q AS (SELECT read_id, list_filter(range(0, len(qual)), lambda i: {_Q}[i + 1] >= 20) AS g FROM reads) SELECT read_id, coalesce(list_min(g), 0) AS start, coalesce(list_max(g) + 1, 0) AS end_, coalesce(list_max(g) + 1 - list_min(g), 0) AS n FROM q".replace(_Q + "[i + 1]", "(ascii(substr(qual, i + 1, 1)) - 33)"))
 def b01_quality_trim(spark, d):
-    x = X.reads(spark, d).withColumn("b", S.quality_bounds("qual", 20))
-    t = R.quality_trim(X.reads(spark, d), 20).select("read_id", F.length("seq").alias("n"))
-    return x.select("read_id", F.col("b.start").alias("start"), F.col("b.end").alias("end_")).join(t, "read_id")
+    t = R.quality_trim(X.reads(spark, d).withColumn("b", S.quality_bounds("qual", 20)), 20)
+    return t.select("read_id", F.col("b.start").alias("start"), F.col("b.end").alias("end_"), F.length("seq").alias("n"))
 
 
 @query(f"WITH {X.READS_SQL}, w AS (SELECT read_id, i * 5 AS p FROM (SELECT read_id, seq, unnest(range(0, CASE WHEN len(seq) >= 20 THEN (len(seq) - 20) // 5 + 1 ELSE 0 END)) AS i FROM reads) WHERE {_ENTROPY.format('substr(seq, i * 5 + 1, 20)')} >= 1.7) SELECT r.read_id, coalesce(max(p) + 20 - min(p), 0) AS n FROM reads r LEFT JOIN w ON r.read_id = w.read_id GROUP BY r.read_id")
@@ -50,10 +49,7 @@ def b02_entropy_trim(spark, d):
 @query(f"WITH {X.READS_SQL} SELECT sample, count(*) AS n, count(*) FILTER (WHERE list_count(list_filter(range(1, len(qual) + 1), lambda i: ascii(substr(qual, i, 1)) - 33 >= 20)) / len(qual) >= 0.5) AS enough_quality, count(*) FILTER (WHERE {_ENTROPY.format('seq')} >= 1.5) AS enough_entropy FROM reads GROUP BY sample")
 def b03_b04_filter_counts(spark, d):
     r = X.reads(spark, d)
-    n = r.groupBy("sample").agg(F.count("*").alias("n"))
-    q = R.enough_quality(r, 20, 0.5).groupBy("sample").agg(F.count("*").alias("enough_quality"))
-    e = R.enough_entropy(r, 1.5).groupBy("sample").agg(F.count("*").alias("enough_entropy"))
-    return n.join(q, "sample", "left").join(e, "sample", "left").na.fill(0)
+    return R.filter_tests(r, {"enough_quality": S.quality_fraction("qual", 20) >= 0.5, "enough_entropy": S.base_entropy("seq") >= 1.5})
 
 
 @query(f"WITH {X.READS_SQL} SELECT min(read_id) AS read_id, sample FROM reads GROUP BY sample, seq")
@@ -152,7 +148,7 @@ a AS (SELECT CASE WHEN o IS NULL THEN 'none' WHEN o = len(seq1) AND o = len(seq2
 SELECT status, count(*) FILTER (WHERE t = 1) AS before, count(*) FILTER (WHERE t = 2) AS after, count(*) AS combined FROM (SELECT status, 1 AS t FROM st UNION ALL SELECT status, 2 FROM a) GROUP BY status""")
 def b14_stitch_counts(spark, d):
     first = _stitched(spark, d, False)
-    again = R.stitch(first.where("status = 'none'").withColumn("seq2", S.reverse_complement("seq2")).drop("overlap", "status", "stitched"), 31)
+    again = R.stitch(first.where("overlap IS NULL").withColumn("seq2", S.reverse_complement("seq2")).drop("overlap", "status", "stitched"), 31)
     return R.stitch_counts(first, again)
 
 
