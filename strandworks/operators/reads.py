@@ -157,12 +157,12 @@ def drop_constant(reads: DataFrame, bad: DataFrame, k: int, margin: int = 200) -
     bad = staged(bad.select("kmer"))
     size = bad.count()
     n = F.length("seq")
-    near = F.filter(S.upto(n - k + 1), lambda i: (i < margin) | (i + k > n - margin))
+    near = F.filter(S.kmers("seq", k), lambda x, i: (i < margin) | (i + k > n - margin))
     if size <= LITERALS:
         known = [r.kmer for r in bad.collect()]
-        return reads.where(~F.exists(near, lambda i: F.col("seq").substr(i + 1, F.lit(k)).isin(known))) if known else reads
+        return reads.where(~F.exists(near, lambda x: x.isin(known))) if known else reads
     few = F.broadcast(bad) if size <= FEW else bad
-    at = reads.select("read_id", F.explode(F.transform(near, lambda i: F.col("seq").substr(i + 1, F.lit(k)))).alias("kmer"))
+    at = reads.select("read_id", F.explode(F.array_distinct(near)).alias("kmer"))
     hit = at.join(few, "kmer", "left_semi").select("read_id").distinct()
     return reads.join(hit, "read_id", "left_anti")
 

@@ -88,7 +88,8 @@ hc AS (SELECT sample, count(*) FILTER (WHERE sides > 1) AS pc, count(*) FILTER (
 @query(f"WITH {_REPORT} SELECT sample, count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE mate = {m} AND fault = '{f}') AS {n}_{f}" for f in ("quality", "entropy") for m, n in ((1, "r1"), (2, "r2"), (0, "singles"))) + ", coalesce(any_value(du.d), 0) AS pairs_duplicates, coalesce(any_value(ds.d), 0) AS singles_duplicates, coalesce(any_value(pc), 0) AS pairs_constant, coalesce(any_value(c1), 0) AS r1_constant, coalesce(any_value(c2), 0) AS r2_constant, coalesce(any_value(cs), 0) AS singles_constant FROM q LEFT JOIN du USING (sample) LEFT JOIN ds USING (sample) LEFT JOIN hc USING (sample) GROUP BY sample")
 def b07_filter_report(spark, d):
     """All thirteen counters, over pairs of windows and the windows without a mate."""
-    m, r = X.mates(spark, d), X.reads(spark, d)
+    r = staged(X.reads(spark, d))  # read some ten times: for both mates, singles and constant k-mers
+    m = X.mates(spark, d, r)
     alone = r.join(m.select("read_id"), "read_id", "left_anti")
     return R.filter_report(R.pairs(m), alone, 18, 0.55, 1.9, (R.constant_kmers(r, 12, 5, 15.0), 12, 40))
 
