@@ -2,7 +2,6 @@
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from strandworks.operators import graph as G
@@ -28,9 +27,7 @@ def test_reads_on_collapsed_edges_equal_the_collapsed_graph(spark):
         assert sorted(map(tuple, t.select(other.columns).collect())) == sorted(map(tuple, other.collect())) != [], name
 
 
-@pytest.mark.parametrize("small", [0, 2000])
-def test_loops_around_one_node(spark, monkeypatch, small):
-    monkeypatch.setattr(P, "SMALL", small)
+def test_loops_around_one_node(spark, monkeypatch):
     spread = []
     monkeypatch.setattr(P, "_spread", lambda *a, f=P._spread: spread.append(1) or f(*a))
     # a ring with a chord, entered from one ring and left to another, of more steps than one walk
