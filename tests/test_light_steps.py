@@ -1,6 +1,7 @@
 """Islands, loops and bridges without dealing out what they leave alone, against loops over everything."""
 
 import random
+from collections import defaultdict
 
 from strandworks.operators import graph as G
 from strandworks.operators import kmers as K
@@ -46,6 +47,25 @@ def test_loops_are_found_before_the_reads_are_read(spark):
     assert "Exchange hashpartitioning" not in got.edge_reads._jdf.queryExecution().executedPlan().toString()
 
 
+def test_bridges_meet_in_one_aggregate(spark):
+    g, _, edges, node_reads, edge_reads = random_graph(spark)
+    both = {(a, s, d, read) for a, s, d in edges for b, n, read in node_reads if (a, s) == (b, n) and (a, d, read) in node_reads}
+    for by_nodes, on in ((False, edge_reads), (True, both)):
+        heads, tails, ins, outs, want = (defaultdict(set) for _ in range(5))
+        for a, s, d in edges:
+            heads[a, d].add(s), tails[a, s].add(d)
+        for a, s, d, read in on:
+            if s != d:
+                ins[a, d, read].add(s), outs[a, s, read].add(d)
+        for (a, n, read), h in ins.items():
+            t = outs[a, n, read]
+            if len(h) == len(t) == 1 and max(len(heads[a, n]), len(tails[a, n])) > 1:
+                want[a, n, *h, *t].add(read)
+        want = sorted((*k, len(v)) for k, v in want.items() if len(v) > 1)
+        assert rows(G.bridges(g, 1, by_nodes)) == want != [], by_nodes
+    assert rows(G.reads_of_both(g, g.edges.select(K.A, "src", "dst"))) == sorted(both)
+
+
 def test_reads_on_nodes_are_dealt_out_by_node(spark):
     links = spark.createDataFrame([("x", 1, 2, "r", False), ("x", 2, 3, "r", False), ("x", 3, 3, "r", True)], "assembly_id string, src long, dst long, read string, inner boolean")
     at = G.reads_on_nodes(links)
