@@ -77,6 +77,28 @@ def _vectors(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "place", "vector"])
 
 
+def _model(batches):
+    """One row: the exemplars' latent space, from their vectors; no row without exemplars."""
+    got = [batch for batch in batches if batch.num_rows]
+    if not got:
+        return
+    ids, y, place = (np.concatenate([batch.column(c).to_numpy(zero_copy_only=False) for batch in got]) for c in range(3))
+    x = np.concatenate([np.frombuffer(v.as_buffer(), np.float16) for batch in got for v in batch.column(3)]).reshape(-1, DIMENSIONS)
+    del got
+    order = np.lexsort((place, y, ids))  # the same model whatever the order of the rows
+    x, y = x[order].astype(np.float32), y[order]
+    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
+    x *= idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
+    projection = (vectors[:, ::-1][:, :LATENT] * idf[:, None]).astype(np.float32)
+    latent = x @ vectors[:, ::-1][:, :LATENT].astype(np.float32)
+    norm = np.linalg.norm(latent, axis=1, keepdims=True)
+    row = [projection.tobytes(), (latent / np.maximum(norm, 1e-9)).tobytes(), (norm[:, 0] < 1e-6).tobytes(), y.tobytes(), float(y.mean())]
+    names = ["projection", "latent", "empty", "y", "share"]
+    yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: str = "quality", folds: int = FOLDS) -> dict:
     """Exemplars in latent space.  Only labels of ids whose crc32 is not a multiple of ``folds`` are used."""
     text_id = F.col("doc_id").cast("string")
@@ -90,21 +112,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = found.orderBy(order, "doc_id", "label").limit(EXEMPLARS)
     rows = keyed(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "label", "text"])
     vectors = rows.select("doc_id", "text", "label", F.xxhash64("text").alias("place")).mapInArrow(_vectors, "doc_id long, label double, place long, vector binary")
-    got = vectors.orderBy(order, "doc_id", "label", "place").limit(EXEMPLARS).toArrow()
-    y = got.column("label").to_numpy()
-    x = np.frombuffer(b"".join(got.column("vector").to_pylist()), np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
-    order = np.lexsort((got.column("place").to_numpy(), y, got.column("doc_id").to_numpy()))  # the same model whatever the order of the rows
-    x, y = x[order], y[order]
-    if not len(y):
-        return {"share": 0.5, "y": y}
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
-    x = x * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-    projection = (vectors[:, ::-1][:, :LATENT] * idf[:, None]).astype(np.float32)
-    latent = x @ vectors[:, ::-1][:, :LATENT].astype(np.float32)
-    norm = np.linalg.norm(latent, axis=1, keepdims=True)
-    return {"projection": projection, "latent": latent / np.maximum(norm, 1e-9), "empty": norm[:, 0] < 1e-6, "y": y, "share": float(y.mean())}
+    # one task on bounded input: the algebra's copies of a few hundred MB stay off the driver, which gets the model alone
+    made = vectors.orderBy(order, "doc_id", "label", "place").limit(EXEMPLARS).mapInArrow(_model, "projection binary, latent binary, empty binary, y binary, share double").toArrow()
+    if not made.num_rows:
+        return {"share": 0.5, "y": np.zeros(0)}
+    row = made.to_pylist()[0]
+    projection, latent = (np.frombuffer(row[c], np.float32).reshape(-1, LATENT) for c in ("projection", "latent"))
+    return {"projection": projection, "latent": latent, "empty": np.frombuffer(row["empty"], bool), "y": np.frombuffer(row["y"]), "share": row["share"]}
 
 
 def vote(model: dict, x: np.ndarray) -> np.ndarray:

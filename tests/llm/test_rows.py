@@ -256,3 +256,16 @@ def test_quality_edges(spark):
     none = spark.createDataFrame([(1, None), (None, 1), (2, 7)], "doc_id long, quality int")
     assert [r.score for r in quality.classify(docs, none).collect()] == [0.5] * 3
     assert quality.classify(docs.limit(0), none).count() == 0
+
+
+def test_exemplars_are_not_decomposed_on_the_driver(spark, monkeypatch):
+    import numpy as np
+
+    from strandworks.llm import quality
+
+    docs = spark.createDataFrame([(i, f"word{i % 7} other{i % 3} more{i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    monkeypatch.setattr(np.linalg, "eigh", lambda x: 1 / 0)  # tasks have processes of their own
+    model = quality.fit(docs, labels)
+    assert model["latent"].shape == (len(model["y"]), quality.LATENT) and 30 < len(model["y"]) < 60
+    assert quality.fit(docs.limit(0), labels)["share"] == 0.5
