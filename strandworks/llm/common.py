@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -52,6 +53,13 @@ def release(spark: SparkSession, *paths: str) -> None:
     jvm.System.gc()
 
 
+def idle() -> None:
+    """What a task has freed goes back to the system: its Python worker idles beside later stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows; null counts as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

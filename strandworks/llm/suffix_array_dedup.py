@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_buffer
+from .common import idle, text_buffer
 from .repeats import beside, covered, keyed, lone_pieces, repeated_windows, shards
 from .suffix_sort import scratch, suffix_buckets
 
@@ -71,6 +71,7 @@ def _judge(length: int):
             at = pa.array(piece, pa.int64())
             keys = [table.column(c).combine_chunks().take(at) for c in ("shard", "h1", "h2")]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["shard", "h1", "h2", "from", "to"])
+        idle()
 
     return run
 
